@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import line_dedup, quality_rules, substring_dedup
+from pathloom.llm import line_dedup, quality_rules, simhash, substring_dedup
+from pathloom.plans.scratch import materialize
 from pathloom.plans.session import ship_package
 
 
@@ -22,6 +23,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = materialize(simhash.with_fingerprint(docs, "text", shingle=4, keep=["doc_id"]), "op2")
+    labels = simhash.component_labels(marked, "doc_id", distance=4)
+    return marked.join(labels, F.col("_fp") == F.col("_lfp")).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.repeated_words(docs, window=35, rewrite=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -32,7 +40,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_OPERATORS = [op1_line_dedup, op4_substring_dedup, op10_quality_rules]
+_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op4_substring_dedup, op10_quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
