@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import line_dedup, quality_rules, simhash, substring_dedup
+from pathloom.llm import line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup
 from pathloom.plans.scratch import materialize
 from pathloom.plans.session import ship_package
 
@@ -35,12 +35,17 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(docs, window=35, rewrite=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.repeated_bytes(docs, window=400, rewrite=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op4_substring_dedup, op10_quality_rules]
+_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op4_substring_dedup, op9_suffix_array_dedup, op10_quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
