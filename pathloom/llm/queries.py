@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup
+from pathloom.llm import bpe, line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup
 from pathloom.plans.scratch import materialize
 from pathloom.plans.session import ship_package
 
@@ -35,6 +36,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(docs, window=35, rewrite=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.repeated_bytes(docs, window=400, rewrite=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -45,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op4_substring_dedup, op9_suffix_array_dedup, op10_quality_rules]
+_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op4_substring_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
