@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bpe, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup
+from pathloom.llm import bpe, html_extract, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup
 from pathloom.plans.scratch import materialize
 from pathloom.plans.session import ship_package
 
@@ -31,6 +31,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.join(labels, F.col("_fp") == F.col("_lfp")).select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_html(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.repeated_words(docs, window=35, rewrite=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -59,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op4_substring_dedup, op6_best_fit_packing, op8_bpe, op9_suffix_array_dedup, op10_quality_rules]
+_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_substring_dedup, op6_best_fit_packing, op8_bpe, op9_suffix_array_dedup, op10_quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
