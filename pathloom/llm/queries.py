@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bpe, html_extract, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup
+from pathloom.llm import bpe, embedding_dedup, html_extract, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup
 from pathloom.plans.scratch import materialize
 from pathloom.plans.session import ship_package
 
@@ -48,6 +48,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place_pieces(digests, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embedding_dedup.embedding_links(vectors, cosine=0.95).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -64,7 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_substring_dedup, op6_best_fit_packing, op8_bpe, op9_suffix_array_dedup, op10_quality_rules]
+_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_substring_dedup, op6_best_fit_packing, op7_embedding_near_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
