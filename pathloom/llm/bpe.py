@@ -13,19 +13,44 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from pathloom.llm.blocks import put_columns, with_columns
 from pathloom.llm.hashing import text_buffer
 
-#: Pieces remembered by a worker before it starts afresh; bounds memory, not results.
-REMEMBERED = 400_000
+#: Pieces remembered by a worker before the older half is forgotten; bounds memory, not results.
+REMEMBERED = 500_000
 NONE = 1 << 62
+#: Below this, printable characters are in normal form C and one case rule holds for all libraries.
+PLAIN = "\u0250"
+#: The rule that cuts words, as the tokenizer file states it.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+Made = tuple[int, bytes, bytes]
+
+
+class Remembered(dict):
+    """Results of ``make`` by key; of two generations the older is forgotten when the newer is full."""
+
+    def __init__(self, make: Callable, limit: int = REMEMBERED):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit // 2, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
 
 
 class RankTree:
@@ -58,6 +83,13 @@ class RankTree:
             nodes[i] = low
 
 
+def _byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte: itself, or the next unused one from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizer file: BPE with an end-of-word suffix."""
 
@@ -69,23 +101,28 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.token = {i: t.encode() for t, i in (self.vocab | self.special).items()}
+        self.decimal = {i: str(i).encode() for i in self.token}
+        self.alphabet = _byte_alphabet()
+        self.pattern = regex.compile(WORDS)
+        if WORDS not in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\"):
+            raise ValueError(f"{path} cuts words by another rule")
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.words = Remembered(self.lowered)
+        self.pieces = Remembered(self.piece)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply merges to the ids of one word's symbols."""
         n = len(ids)
         if n < 2:
             return ids
-        merges = self.merges
-        rank = lambda a, b: merges.get((a, b), (None,))[0]
-        tree = RankTree([rank(a, b) for a, b in zip(ids, ids[1:])])
+        merges, none = self.merges, (None, 0)
+        rank = lambda a, b: merges.get((a, b), none)[0]
+        tree = RankTree([merges.get(p, none)[0] for p in zip(ids, ids[1:])])
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while (low := tree.root()) != NONE:
             at = low & 0xFFFFFFFF
@@ -104,46 +141,36 @@ class WordBpe:
                 tree.put(before[at], rank(ids[before[at]], ids[at]))
         return [x for x in ids if x >= 0]
 
-    def word(self, symbols: str) -> tuple[int, ...]:
-        """Ids of one word in the byte alphabet of the vocabulary."""
-        known = self.words.get(symbols)
-        if known is None:
-            parts = list(symbols)
-            parts[-1] += self.suffix
-            known = tuple(self.merge([self.vocab[p] for p in parts if p in self.vocab]))
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[symbols] = known
-        return known
-
-    def ids(self, text: str) -> list[int]:
-        """Ids of any text, special tokens' strings included as such."""
-        out: list[int] = []
-        for part in self.cut.split(text) if self.cut else [text]:
+    def word(self, symbols: str) -> Made:
+        """Number, decimal ids and tokens of one word in the byte alphabet of the vocabulary."""
+        parts = list(symbols)
+        parts[-1] += self.suffix
+        return self.made(self.merge([self.vocab[p] for p in parts if p in self.vocab]))
+
+    def made(self, ids: list[int]) -> Made:
+        return len(ids), b" ".join([self.decimal[i] for i in ids]), b" ".join([self.token[i] for i in ids])
+
+    def piece(self, raw: bytes) -> Made:
+        """The same of a text without white space inside, special tokens' strings included as such."""
+        text = raw.decode()
+        low = text.lower()
+        if low.isalpha() and max(low) < PLAIN and max(text) < PLAIN:  # one word, which normalizing only lowers
+            return self.words[low]
+        found: list[Made] = []
+        for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
             if part in self.special:
-                out.append(self.special[part])
-            elif part.isascii() and part.isalpha():
-                out.extend(self.word(part.lower()))
+                found.append(self.made([self.special[part]]))
+            elif part and part.isprintable() and max(part) < PLAIN and max(low := part.lower()) < PLAIN:
+                found += map(self.words.__getitem__, self.pattern.findall(low))
             elif part:
-                plain = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
-                for word, _ in self.library.pre_tokenizer.pre_tokenize_str(plain):
-                    out.extend(self.word(word))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """Tokens by id, joined by one space (the file names no decoder)."""
-        return " ".join(self.token[i] for i in ids if i in self.token)
-
-    def piece(self, raw: bytes) -> tuple[int, bytes, bytes]:
-        """Number, decimal ids and tokens of a text without white space inside."""
-        known = self.pieces.get(raw)
-        if known is None:
-            ids = self.ids(raw.decode())
-            known = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode())
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[raw] = known
-        return known
+                plain = self.library.normalizer.normalize_str(part)
+                found += [self.word(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+        found = [x for x in found if x[0]]
+        return found[0] if len(found) == 1 else (sum(x[0] for x in found), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found]))
+
+    def lowered(self, word: str) -> Made:
+        """A word that is normalized but not yet in the byte alphabet."""
+        return self.word(word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()]))
 
 
 @cache
@@ -164,16 +191,17 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     schema = with_columns(docs.schema, ", ".join(["n_tokens long", *(f"{o} string" for o in outputs)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(tokenizer_path)
+        get = word_bpe(tokenizer_path).pieces.__getitem__
         for batch in batches:
             raw, offs = text_buffer(batch.column(batch.schema.get_field_index(text_col)))
             blob = raw.tobytes()
             counts, made = [], {"ids": [], "decoded": []}
             for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                found = [x for x in map(bpe.piece, blob[a:z].split()) if x[0]]
-                counts.append(sum(x[0] for x in found))
-                made["ids"].append(b" ".join([x[1] for x in found]))
-                made["decoded"].append(b" ".join([x[2] for x in found]))
+                found = [x for x in map(get, blob[a:z].split()) if x[0]]
+                n, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
+                counts.append(sum(n))
+                made["ids"].append(b" ".join(ids))
+                made["decoded"].append(b" ".join(decoded))
             yield put_columns(batch, schema, {"n_tokens": pa.array(counts, pa.int64())} | {o: pa.array(made[o], pa.binary()).cast(pa.string()) for o in outputs})
 
     return docs.mapInArrow(run, schema)
