@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bpe, embedding_dedup, html_extract, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup
+from pathloom.llm import bpe, embedding_dedup, html_extract, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 from pathloom.plans.scratch import materialize
 from pathloom.plans.session import ship_package
 
@@ -41,6 +41,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(docs, window=35, rewrite=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("source", "lang", "text")
+    tokenizers = {token_counts.WORDS: "", "byte_bpe_50k": public_tokenizers.path("byte_bpe_50k.json")}
+    return token_counts.rollup_documents(docs, tokenizers)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
@@ -69,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_substring_dedup, op6_best_fit_packing, op7_embedding_near_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules]
+_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_substring_dedup, op5_token_counts, op6_best_fit_packing, op7_embedding_near_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

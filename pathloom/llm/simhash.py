@@ -141,8 +141,20 @@ def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
 
 
 def component_labels(marked: DataFrame, id_col: str, distance: int) -> DataFrame:
-    """``(_lfp, component_id)`` from a table with ids and fingerprints in ``_fp``."""
+    """``(_lfp, grp, component_id)`` from a table with ids and fingerprints in ``_fp``."""
     least = materialize(marked.groupBy("_fp").agg(F.min(id_col).alias("least")).withColumnRenamed("_fp", "fp"), "simhash-fps")
     groups = materialize(group_fingerprints(least.select("fp"), distance).join(least, "fp"), "simhash-labels")
     smallest = groups.groupBy("grp").agg(F.min("least").alias("component_id"))
-    return materialize(groups.join(smallest, "grp").select(F.col("fp").alias("_lfp"), "component_id"), "simhash-components")
+    return materialize(groups.join(smallest, "grp").select(F.col("fp").alias("_lfp"), "grp", "component_id"), "simhash-components")
+
+
+def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, distance: int = 4) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: that with the smallest id.
+
+    A null id comes after all others; of repeated rows one stays, whichever.
+    """
+    marked = materialize(with_fingerprint(docs, text_col, shingle).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
+    labels = component_labels(marked, id_col, distance)
+    narrow = marked.select("_row", "_fp", F.col(id_col).alias("_id")).join(labels, F.col("_fp") == F.col("_lfp"))
+    stay = narrow.groupBy("grp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    return marked.join(stay, "_row", "left_semi").select(*docs.columns)
