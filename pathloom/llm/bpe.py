@@ -23,6 +23,7 @@ from tokenizers import Tokenizer
 
 from pathloom.llm.blocks import put_columns, with_columns
 from pathloom.llm.hashing import text_buffer
+from pathloom.llm.tokens import byte_alphabet
 
 #: Pieces remembered by a worker before the older half is forgotten; bounds memory, not results.
 REMEMBERED = 500_000
@@ -83,13 +84,6 @@ class RankTree:
             nodes[i] = low
 
 
-def _byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte: itself, or the next unused one from U+0100."""
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
-
-
 class WordBpe:
     """Encoder and decoder for a tokenizer file: BPE with an end-of-word suffix."""
 
@@ -103,7 +97,7 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t.encode() for t, i in (self.vocab | self.special).items()}
         self.decimal = {i: str(i).encode() for i in self.token}
-        self.alphabet = _byte_alphabet()
+        self.alphabet = byte_alphabet()
         self.pattern = regex.compile(WORDS)
         if WORDS not in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\"):
             raise ValueError(f"{path} cuts words by another rule")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import config_lp
 from pathloom.llm.blocks import put_columns, with_columns
-from pathloom.llm.tokens import piece_encoder
+from pathloom.llm.tokens import byte_bpe
 from pathloom.plans.scratch import materialize
 
 
@@ -38,11 +38,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_encoder(tokenizer_path)
+        encoder = byte_bpe(tokenizer_path)
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             rows, piece, start, length, ids = [], [], [], [], []
-            for i, raw in enumerate(encoder.encode(texts)):
+            for i, raw in enumerate(encoder.encode_all(texts)):
                 raw += end
                 n = len(raw) // 4
                 edges = [0, n] if n <= capacity else [0, *range(n % capacity or capacity, n + 1, capacity)]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.blocks import put_columns, with_columns
 from pathloom.llm.hashing import text_buffer
-from pathloom.llm.tokens import piece_encoder
+from pathloom.llm.tokens import byte_bpe
 from pathloom.plans.scratch import materialize, new_path
 
 KEYS = ["source", "lang", "version"]
@@ -44,7 +44,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text_col: str = "t
                     blob = raw.tobytes()
                     n = [len(blob[a:z].split()) for a, z in zip(offs[:-1], offs[1:], strict=True)]
                 else:
-                    n = [len(x) // 4 for x in piece_encoder(path).encode([t or "" for t in column.to_pylist()])]
+                    n = [len(x) // 4 for x in byte_bpe(path).encode_all([t or "" for t in column.to_pylist()])]
                 yield put_columns(batch, schema, {"version": pa.array([version] * len(n), pa.string()), "tokens": pa.array(n, pa.int64()), "n_bytes": size})
 
     return docs.mapInArrow(run, schema)
