@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathloom.functions import dna, names
 from pathloom.functions.names import haplotype_of, sample_of
+from pathloom.operators import context as C
 from pathloom.operators import edges as E
+from pathloom.operators import edits as M
+from pathloom.operators import order as O
 from pathloom.operators import paths as P
 from pathloom.operators import ranges as R
 from pathloom.operators import summary as S
-from pathloom.plans.graph import Graph
+from pathloom.operators import traverse as T
+from pathloom.operators.alignment import local_alignments
+from pathloom.plans.graph import Graph, by_step, with_positions
+from pathloom.plans.session import ship_package
+from pathloom.sources import gfa
 from pathloom.sources.tables import RANGES_SQL, SQL, example_ranges, graph_of_tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,9 +31,13 @@ def register(name: str, sql: str | None = None, extra: str = ""):
     """Add a query on the graph of the tables; ``sql`` may use its views, ``extra`` adds more."""
 
     def add(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
-        _QUERIES[name] = lambda spark, sf_dir: f(graph_of_tables(spark, sf_dir))
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return f(graph_of_tables(spark, sf_dir))
+
+        _QUERIES[name] = query
         if sql:
-            _SQL[name] = f"WITH {SQL}{', ' + extra if extra else ''} {sql}"
+            _SQL[name] = f"WITH RECURSIVE {SQL}{', ' + extra if extra else ''} {sql}"
         return f
 
     return add
@@ -262,8 +274,176 @@ def linear_layout(g: Graph) -> DataFrame:
 
 
 def _md5_orders(g: Graph) -> DataFrame:
-    from pyspark.sql import Window
-
     names = samples(g).select("grp").distinct().withColumn("permutation", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     key = F.md5(F.concat(F.col("permutation").cast("string"), "grp").cast("binary"))
     return names.withColumn("nth", F.row_number().over(Window.partitionBy("permutation").orderBy(key)))
+
+
+# --- steps, windows and contexts ---------------------------------------------------------
+
+_RC = "reverse(translate(seq, 'ACGTN', 'TGCAN'))"
+_ORIENTED = f"CASE WHEN is_rev THEN {_RC} ELSE seq END"
+
+register("w4_step_positions", "SELECT * FROM steps")(lambda g: g.steps)
+register("w5_pangenome_positions", "SELECT node_id, seq, len, rank, pan_pos FROM nodes")(lambda g: g.nodes)
+register(
+    "w6_neighbour_steps", "SELECT path_id, step_rank, coalesce(lag(node_id) OVER w, 0) AS prev_id, coalesce(lead(node_id) OVER w, 0) AS next_id, row_number() OVER w - 1 AS ordinal FROM steps WINDOW w AS (PARTITION BY path_id ORDER BY step_rank)"
+)(lambda g: g.steps.select("path_id", "step_rank", F.coalesce(F.lag("node_id").over(by_step()), F.lit(0)).alias("prev_id"), F.coalesce(F.lead("node_id").over(by_step()), F.lit(0)).alias("next_id"), (F.row_number().over(by_step()) - 1).alias("ordinal")))
+register("w8_visit_index", "SELECT path_id, step_rank, row_number() OVER (PARTITION BY path_id, node_id ORDER BY step_rank) AS visit FROM steps")(lambda g: g.steps.select("path_id", "step_rank", F.row_number().over(Window.partitionBy("path_id", "node_id").orderBy("step_rank")).alias("visit")))
+register("j2_range_steps", "SELECT path_id, start, \"end\", node_id, is_rev, overlap FROM hit", HIT)(lambda g: R.range_steps(g.steps, example_ranges(g)).select("path_id", "start", "end", "node_id", "is_rev", "overlap"))
+register("j3_touching_range_steps", "SELECT r.path_id, r.start, r.\"end\", s.node_id FROM ranges r JOIN steps s ON r.path_id = s.path_id AND s.pos + s.len >= r.start AND s.pos < r.\"end\"", RANGES_SQL)(lambda g: R.range_steps(g.steps, example_ranges(g), touching=True).select("path_id", "start", "end", "node_id"))
+register(
+    "j10_lift_over",
+    "SELECT path_name, \"offset\", node_id, is_rev, \"offset\" - tpos AS node_offset FROM (SELECT p.path_id, path_name, \"offset\" FROM positions p JOIN paths USING (path_id)) p JOIN (SELECT path_id, node_id, NOT is_rev AS is_rev, total - pos - len AS tpos, len AS tlen FROM steps JOIN (SELECT path_id, sum(len)::BIGINT AS total FROM steps GROUP BY path_id) USING (path_id)) t ON p.path_id = t.path_id AND tpos <= \"offset\" AND \"offset\" < tpos + tlen",
+    POSITIONS,
+)(lambda g: R.lift_over(g, _backwards(g), positions(g)))
+register(
+    "j13_first_hits",
+    "SELECT t.path_id AS target_id, q.path_id AS query_id, min(q.step_rank) AS first_rank, max(q.step_rank) AS last_rank FROM steps q JOIN (SELECT DISTINCT path_id, node_id FROM steps JOIN paths USING (path_id) WHERE starts_with(path_name, 'NATION_3#')) t ON q.node_id = t.node_id AND q.path_id <> t.path_id GROUP BY ALL",
+)(lambda g: _first_hits(g))
+_CONTEXT = """ctx AS MATERIALIZED (SELECT c.path_id * 1000 + c.step_rank AS key, s.node_id, s.len FROM steps c JOIN steps s ON c.path_id = s.path_id AND (c.step_rank = s.step_rank OR (s.step_rank < c.step_rank AND c.pos - (s.pos + s.len) < 30) OR (s.step_rank > c.step_rank AND s.pos - (c.pos + c.len) < 30))),
+full_ctx AS (SELECT key FROM ctx GROUP BY key HAVING sum(len) >= 60), multi AS MATERIALIZED (SELECT key, node_id, count(*) AS n, any_value(len) AS len FROM ctx WHERE key IN (SELECT key FROM full_ctx) GROUP BY key, node_id)"""
+register("w9_step_contexts", "SELECT * FROM multi", _CONTEXT)(lambda g: C.contexts(g, _all_steps(g)))
+register(
+    "w10_context_jaccard",
+    "SELECT p.l AS \"left\", p.r AS \"right\", coalesce(i, 0)::BIGINT / (coalesce(a.s, 0) + coalesce(b.s, 0) - coalesce(i, 0))::BIGINT AS jaccard FROM prs p LEFT JOIN sz a ON a.key = p.l LEFT JOIN sz b ON b.key = p.r LEFT JOIN (SELECT x.key AS l, y.key AS r, sum(x.len * least(x.n, y.n)) AS i FROM prs JOIN multi x ON x.key = prs.l JOIN multi y ON y.key = prs.r AND x.node_id = y.node_id GROUP BY x.key, y.key) USING (l, r) WHERE a.s IS NOT NULL OR b.s IS NOT NULL",
+    f"{_CONTEXT}, sz AS (SELECT key, sum(n * len) AS s FROM multi GROUP BY key), prs AS MATERIALIZED (SELECT a.path_id * 1000 + a.step_rank AS l, b.path_id * 1000 + b.step_rank AS r FROM steps a JOIN steps b ON a.node_id = b.node_id AND a.path_id < b.path_id)",
+)(lambda g: _context_pairs(g))
+register(
+    "j14_map_segments",
+    "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, query_start ORDER BY jaccard DESC, query_id = target_id DESC, inverted DESC, target_id DESC, target_start DESC) AS k FROM (SELECT q.path_id AS query_id, q.start AS query_start, q.\"end\" AS query_end, t.path_id AS target_id, t.start AS target_start, t.\"end\" AS target_end, i::BIGINT / (q.\"end\" - q.start + t.\"end\" - t.start - i)::BIGINT AS jaccard, inv * 2 > i AS inverted FROM m JOIN seg q ON q.path_id = m.qp AND q.start = m.qs JOIN seg t ON t.path_id = m.tp AND t.start = m.ts)) WHERE k = 1",
+    """seg AS MATERIALIZED (SELECT path_id, start, lead(start, 1, total) OVER (PARTITION BY path_id ORDER BY start) AS "end" FROM (SELECT path_id, min(pos) AS start, sum(sum(len)) OVER (PARTITION BY path_id)::BIGINT AS total FROM steps GROUP BY path_id, step_rank // 2)),
+    vis AS MATERIALIZED (SELECT g.path_id, g.start, s.node_id, s.len, s.is_rev, row_number() OVER (PARTITION BY g.path_id, g.start, s.node_id ORDER BY step_rank) AS k FROM steps s JOIN seg g ON s.path_id = g.path_id AND s.pos >= g.start AND s.pos < g."end"),
+    m AS (SELECT a.path_id AS qp, a.start AS qs, b.path_id AS tp, b.start AS ts, sum(a.len)::BIGINT AS i, sum(CASE WHEN a.is_rev <> b.is_rev THEN a.len ELSE 0 END)::BIGINT AS inv FROM vis a JOIN vis b ON a.node_id = b.node_id AND a.k = b.k GROUP BY ALL)""",
+)(lambda g: _pair_segments(g))
+
+# --- sequences and files -----------------------------------------------------------------
+
+register(
+    "f_scalar_functions",
+    f"SELECT node_id, {_RC} AS rc, regexp_replace(seq, 'N+', 'N', 'g') AS crushed, (length(seq) - length(replace(seq, 'N', '')))::BIGINT AS uncalled, substr({_RC}, 1, 1) AS first_rev, least(1.0, round(-ln(2.0 * ((1 + node_id % 7) / 8.0) / (1 + (1 + node_id % 7) / 8.0)), 9))::DOUBLE AS dist, (node_id & 15)::BIGINT AS mod16 FROM nodes",
+)(
+    lambda g: g.nodes.select(
+        "node_id", dna.reverse_complement(F.col("seq")).alias("rc"), dna.crush_n(F.col("seq")).alias("crushed"), dna.uncalled(F.col("seq")).cast("long").alias("uncalled"), F.substring(dna.oriented(F.col("seq"), F.lit(True)), 1, 1).alias("first_rev"),
+        F.least(F.lit(1.0), F.round(-F.log(2.0 * ((1 + F.col("node_id") % 7) / 8.0) / (1 + (1 + F.col("node_id") % 7) / 8.0)), 9)).alias("dist"), F.col("node_id").bitwiseAND(15).alias("mod16"),
+    )
+)
+register(
+    "f_path_names",
+    "SELECT path_id, split_part(path_name, '#', 1) AS sample, split_part(path_name, '#', 1) || '#' || split_part(path_name, '#', 2) AS haplotype, path_name || ':' || 3 || '-' || 9 AS sub, regexp_replace(path_name, '#[^#]*$', '') AS before_last FROM paths",
+)(lambda g: g.paths.select("path_id", sample_of(F.col("path_name")).alias("sample"), haplotype_of(F.col("path_name")).alias("haplotype"), names.subpath(F.col("path_name"), F.lit(3), F.lit(9)).alias("sub"), names.prefix(F.col("path_name"), "#", 7).alias("before_last")))
+register("s15_path_fasta", f"SELECT path_id, '>' || path_name || chr(10) || coalesce(s, '') AS value FROM paths LEFT JOIN (SELECT path_id, string_agg({_ORIENTED}, '' ORDER BY step_rank) AS s FROM steps JOIN nodes USING (node_id, len) GROUP BY path_id) USING (path_id)")(gfa.path_fasta)
+register("s15_flat_fasta", "SELECT -1::BIGINT AS line, '>flat' AS value UNION ALL SELECT i, substr(s, (i * 80 + 1)::BIGINT, 80) FROM (SELECT s, unnest(range(0, (length(s) + 79) // 80)) AS i FROM (SELECT string_agg(seq, '' ORDER BY rank) AS s FROM nodes))")(lambda g: gfa.flat_fasta(g, "flat"))
+_SIGN = "CASE WHEN {} THEN '-' ELSE '+' END"
+register(
+    "s6_gfa_lines",
+    f"SELECT 'H' || chr(9) || 'VN:Z:1.0' AS value UNION ALL SELECT concat_ws(chr(9), 'S', node_id, seq, 'DP:i:' || depth, 'RC:i:' || depth * len) FROM nodes JOIN depths USING (node_id) UNION ALL SELECT concat_ws(chr(9), 'L', from_id, {_SIGN.format('from_rev')}, to_id, {_SIGN.format('to_rev')}, '0M') FROM edges UNION ALL SELECT concat_ws(chr(9), 'P', path_name, coalesce(w, ''), '*') FROM paths LEFT JOIN (SELECT path_id, string_agg(node_id || {_SIGN.format('is_rev')}, ',' ORDER BY step_rank) AS w FROM steps GROUP BY path_id) USING (path_id)",
+)(lambda g: gfa.gfa_lines(g, annotate=True).select("value"))
+
+# --- graphs from graphs ------------------------------------------------------------------
+
+register("m4_chop", "SELECT row_number() OVER (ORDER BY rank, k) AS node_id, substr(seq, (k * 16 + 1)::BIGINT, 16) AS seq FROM (SELECT rank, seq, unnest(range(0, (len + 15) // 16)) AS k FROM nodes)")(lambda g: M.chop(g, 16).nodes.select("node_id", "seq"))
+register(
+    "m4_chop_steps",
+    "SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY step_rank, CASE WHEN is_rev THEN -k ELSE k END) - 1 AS step_rank, p.node_id, is_rev FROM steps s JOIN piece p ON p.old = s.node_id",
+    "piece AS (SELECT row_number() OVER (ORDER BY rank, k) AS node_id, old, k FROM (SELECT rank, node_id AS old, unnest(range(0, (len + 15) // 16)) AS k FROM nodes))",
+)(lambda g: M.chop(g, 16).steps.select("path_id", "step_rank", "node_id", "is_rev"))
+register("m8_crush", "SELECT node_id, regexp_replace(seq, 'N+', 'N', 'g') AS seq FROM nodes")(lambda g: M.crush(g).nodes.select("node_id", "seq"))
+register(
+    "m9_flip_paths",
+    "SELECT s.path_id, path_name || CASE WHEN t THEN '_inv' ELSE '' END AS path_name, CASE WHEN t THEN n - 1 - step_rank ELSE step_rank END AS step_rank, node_id, is_rev <> t AS is_rev FROM steps s JOIN (SELECT path_id, count(*) AS n, sum(CASE WHEN is_rev THEN len ELSE -len END) > 0 AS t FROM steps GROUP BY path_id) USING (path_id) JOIN paths USING (path_id)",
+)(lambda g: (lambda f: f.steps.join(f.paths, "path_id").select("path_id", "path_name", "step_rank", "node_id", "is_rev"))(M.flip_paths(g)))
+register(
+    "m10_inject",
+    "SELECT 'r' || path_id AS path_name, string_agg(b, '' ORDER BY p) AS seq FROM (SELECT r.path_id, s.pos + i AS p, o[(i + 1)::BIGINT] AS b FROM ranges r JOIN (SELECT path_id, pos, o, unnest(range(0, len)) AS i FROM (SELECT s.path_id, s.pos, s.len, CASE WHEN is_rev THEN reverse(translate(seq, 'ACGTN', 'TGCAN')) ELSE seq END AS o FROM steps s JOIN nodes USING (node_id))) s ON r.path_id = s.path_id AND s.pos + i >= r.start AND s.pos + i < r.\"end\") GROUP BY path_id",
+    RANGES_SQL,
+)(lambda g: _injected(g))
+register("m20_reverse_order", "SELECT (SELECT count(*) FROM nodes) - rank AS node_id, seq FROM nodes")(lambda g: M.renumber(g, O.reverse(g)).nodes.select("node_id", "seq"))
+register("t13_target_order", "SELECT node_id, row_number() OVER (ORDER BY a IS NULL, coalesce(a, rank), coalesce(b, 0), node_id) - 1 AS nth FROM nodes LEFT JOIN (SELECT node_id, min(path_id) AS a, arg_min(r, path_id) AS b FROM (SELECT node_id, path_id, min(step_rank) AS r FROM steps JOIN paths USING (path_id) WHERE starts_with(path_name, 'NATION_3#') GROUP BY ALL) GROUP BY node_id) USING (node_id)")(lambda g: O.by_paths(g, reference(g)))
+register("u1_squeeze", "SELECT node_id, seq FROM nodes UNION ALL SELECT node_id + (SELECT max(node_id) FROM nodes), seq FROM nodes")(lambda g: M.squeeze([g, g], "_").nodes.select("node_id", "seq"))
+register("u2_common_paths", "SELECT path_name FROM paths WHERE path_name LIKE '%#BUILDING#%' INTERSECT SELECT path_name FROM lengths WHERE length_bp > 50")(lambda g: g.paths.where("path_name LIKE '%#BUILDING#%'").select("path_name").intersect(g.path_lengths().where("length_bp > 50").select("path_name")))
+register("u5_inverse_extract", "SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM degrees WHERE degree > 40)")(lambda g: M.extract(g, g.degrees().where("degree > 40").select("node_id"), inverse=True).nodes.select("node_id"))
+register(
+    "m14_extract_ranges",
+    "SELECT path_name || CASE WHEN s = 0 AND e = length_bp THEN '' ELSE ':' || s || '-' || e END AS path_name, n AS step_count FROM (SELECT path_id, min(pos) AS s, max(pos + len) AS e, count(*) AS n FROM (SELECT *, step_rank - row_number() OVER (PARTITION BY path_id ORDER BY step_rank) AS r FROM steps WHERE node_id IN (SELECT node_id FROM hit JOIN paths USING (path_id) WHERE starts_with(path_name, 'NATION_3#'))) GROUP BY path_id, r) JOIN lengths USING (path_id)",
+    HIT,
+)(lambda g: (lambda x: x.path_lengths().select("path_name", "step_count"))(M.extract(g, ranges=example_ranges(g).join(reference(g), "path_id", "left_semi"))))
+register("m11_prune", "SELECT node_id FROM degrees WHERE degree <= 50")(lambda g: M.prune(g, max_degree=50).nodes.select("node_id"))
+_GROW = "SELECT t.node_id, min(least(t.l, u.l)) AS l FROM {} t JOIN nbrs ON t.node_id = nbrs.a JOIN {} u ON u.node_id = nbrs.b GROUP BY t.node_id"
+_LABELS = "nbrs AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM edges UNION SELECT to_id, from_id FROM edges UNION SELECT node_id, node_id FROM nodes), l0 AS (SELECT node_id, node_id AS l FROM nodes), " + ", ".join(f"l{i + 1} AS MATERIALIZED ({_GROW.format(f'l{i}', f'l{i}')})" for i in range(8))
+register("c1_components", "SELECT node_id, l AS component FROM l8", _LABELS)(S.components)
+register(
+    "g33_component_sizes",
+    "SELECT component, n_nodes, bp, coalesce(longest_path, 0)::BIGINT AS longest_path, coalesce(path_mass, 0)::BIGINT AS path_mass FROM (SELECT l AS component, count(*) AS n_nodes, sum(len)::BIGINT AS bp FROM l8 JOIN nodes USING (node_id) GROUP BY l) LEFT JOIN (SELECT component, max(x) AS longest_path, sum(x) AS path_mass FROM (SELECT l AS component, path_id, sum(len) AS x FROM steps JOIN l8 USING (node_id) GROUP BY ALL) GROUP BY component) USING (component)",
+    _LABELS,
+)(S.component_sizes)
+_WAYS = "ways AS MATERIALIZED (SELECT (from_id - 1) * 2 + from_rev::INT AS h, (to_id - 1) * 2 + to_rev::INT AS t FROM edges UNION SELECT (to_id - 1) * 2 + (NOT to_rev)::INT, (from_id - 1) * 2 + (NOT from_rev)::INT FROM edges)"
+register("c6_distances", "SELECT h, min(k) AS steps FROM (SELECT 0 AS h, 0 AS k UNION ALL SELECT t, 1 FROM ways WHERE h = 0 UNION ALL SELECT b.t, 2 FROM ways a JOIN ways b ON b.h = a.t WHERE a.h = 0) GROUP BY h", _WAYS)(lambda g: T.distances(g, g.nodes.where("node_id = 1").select(F.lit(0).cast("long").alias("h")), 2))
+_KMERS = f"{_WAYS}, o AS MATERIALIZED (SELECT (node_id - 1) * 2 AS h, node_id, FALSE AS is_rev, seq, len FROM nodes UNION ALL SELECT (node_id - 1) * 2 + 1, node_id, TRUE, {_RC}, len FROM nodes), km AS (SELECT node_id, is_rev, i AS \"offset\", h, substr(seq, (i + 1)::BIGINT, 3) AS kmer FROM (SELECT *, unnest(range(0, len)) AS i FROM o) UNION ALL SELECT km.node_id, km.is_rev, \"offset\", t, substr(kmer || o.seq, 1, 3) FROM km JOIN ways USING (h) JOIN o ON o.h = t WHERE length(kmer) < 3)"
+register("c9_kmers", "SELECT kmer, node_id, is_rev, \"offset\"::INT AS \"offset\" FROM km WHERE length(kmer) = 3", _KMERS)(lambda g: T.kmers(g, 3))
+register("g36_unique_kmers", "SELECT count(DISTINCT kmer) AS unique_kmers FROM km WHERE length(kmer) = 3", _KMERS)(lambda g: T.unique_kmers(g, 3))
+register(
+    "g35_node_tension",
+    "SELECT node_id, r * depth AS total, CASE WHEN depth > 0 THEN r END AS mean FROM (SELECT node_id, CASE WHEN r < 1 THEN 1 / r ELSE r END AS r FROM (SELECT node_id, (len + 3.0)::DOUBLE / len AS r FROM nodes)) JOIN depths USING (node_id)",
+)(lambda g: O.tension(g, _stretched(g)))
+register("sw1_alignments")(lambda g: _neighbour_alignments(g))
+register("c14_untangle")(lambda g: C.untangle(g, reference(g), reference(g)))
+register("c12_break_points")(lambda g: C.break_points(g, reference(g), g.paths.where("startswith(path_name, 'NATION_4#')").select("path_id"), 100))
+register("t1_topological_order")(lambda g: O.topological(g))
+
+
+def _backwards(g: Graph) -> Graph:
+    """Every path turned over."""
+    n = g.steps.groupBy("path_id").agg(F.count(F.lit(1)).alias("n"))
+    s = g.steps.join(n, "path_id").select("path_id", (F.col("n") - 1 - F.col("step_rank")).alias("step_rank"), "node_id", (~F.col("is_rev")).alias("is_rev"))
+    return g.with_(steps=with_positions(s, g.nodes))
+
+
+def _first_hits(g: Graph) -> DataFrame:
+    t = g.steps.join(reference(g), "path_id", "left_semi").select(F.col("path_id").alias("target_id"), "node_id").distinct()
+    q = g.steps.select(F.col("path_id").alias("query_id"), "node_id", "step_rank")
+    return q.join(t, "node_id").where("target_id <> query_id").groupBy("target_id", "query_id").agg(F.min("step_rank").alias("first_rank"), F.max("step_rank").alias("last_rank"))
+
+
+def _all_steps(g: Graph) -> DataFrame:
+    return g.steps.select((F.col("path_id") * 1000 + F.col("step_rank")).alias("key"), "path_id", "step_rank", F.lit(30).alias("before"), F.lit(30).alias("after"))
+
+
+def _context_pairs(g: Graph) -> DataFrame:
+    key = F.col("path_id") * 1000 + F.col("step_rank")
+    a = g.steps.select("node_id", F.col("path_id").alias("pa"), key.alias("left"))
+    b = g.steps.select("node_id", F.col("path_id").alias("pb"), key.alias("right"))
+    c = C.contexts(g, _all_steps(g))
+    full = c.select("key").distinct()
+    pairs = a.join(b, "node_id").where("pa < pb").select("left", "right")
+    known = pairs.join(full.withColumnRenamed("key", "left"), "left", "left_semi").union(pairs.join(full.withColumnRenamed("key", "right"), "right", "left_semi").select("left", "right")).distinct()
+    return C.context_jaccard(c, c, known)
+
+
+def _pair_segments(g: Graph) -> DataFrame:
+    """The best match of each segment of two steps among all."""
+    w = Window.partitionBy("path_id").orderBy("start")
+    total = g.path_lengths().select("path_id", "length_bp")
+    s = g.steps.groupBy("path_id", F.expr("step_rank div 2").alias("k")).agg(F.min("pos").alias("start")).join(total, "path_id")
+    s = s.select("path_id", "start", F.coalesce(F.lead("start").over(w), "length_bp").alias("end"))
+    return C.map_segments(g, s, s).drop("self_coverage", "nth")
+
+
+def _injected(g: Graph) -> DataFrame:
+    r = example_ranges(g).select("path_id", "start", "end", F.concat(F.lit("r"), F.col("path_id").cast("string")).alias("name"))
+    # A path may end before its range does, or before it starts.
+    r = r.join(g.path_lengths().select("path_id", "length_bp"), "path_id").where("start < length_bp").drop("length_bp")
+    f = gfa.path_fasta(M.inject(g, r))
+    return f.select(F.substring_index(F.expr("substring(value, 2)"), "\n", 1).alias("path_name"), F.substring_index("value", "\n", -1).alias("seq")).where("startswith(path_name, 'r')")
+
+
+def _stretched(g: Graph) -> DataFrame:
+    """Each node drawn three units longer than it is."""
+    end = F.explode(F.array(F.lit(0), F.lit(1))).alias("end")
+    return g.nodes.select("node_id", "len", end).select("node_id", "end", (F.col("end") * (F.col("len") + 3)).cast("double").alias("x"), F.lit(0.0).alias("y"))
+
+
+def _neighbour_alignments(g: Graph) -> DataFrame:
+    """Each node aligned with the next by id."""
+    a, b = g.nodes.select("node_id", F.col("seq").alias("a")), g.nodes.select((F.col("node_id") - 1).alias("node_id"), F.col("seq").alias("b"))
+    return local_alignments(a.join(b, "node_id"))
