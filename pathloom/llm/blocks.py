@@ -12,6 +12,8 @@ holds more than a bucket, whose number grows with the keys.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +31,39 @@ BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 24 << 20
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving freed memory back to the system at the end of each task.
+
+    Idle workers stay with their executor; what their allocators keep would count on.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return unused memory of the Arrow pool and of malloc."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, text_col: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``most`` text bytes, or one row."""
+    _, offs = text_buffer(batch.column(batch.schema.get_field_index(text_col)))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _encode(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
@@ -47,14 +82,11 @@ def pack(docs: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES) -> Data
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
-            _, offs = text_buffer(batch.column(batch.schema.get_field_index(text_col)))
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(offs, offs[at] + block_bytes, side="right")) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_encode(batch.slice(at, to - at))], pa.binary())], ["block_id", "payload"])
-                number, at = number + 1, to
+            for part in slices(batch, text_col, block_bytes):
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_encode(part)], pa.binary())], ["block_id", "payload"])
+                number += 1
 
-    return materialize(docs.mapInArrow(cut, "block_id long, payload binary"), "blocks")
+    return materialize(docs.mapInArrow(lean(cut), "block_id long, payload binary"), "blocks")
 
 
 def bucket_count(blocks: DataFrame, keys_per_block: int) -> int:
@@ -105,7 +137,7 @@ def send(blocks: DataFrame, keys: Callable[[pa.RecordBatch, list[bytes] | None],
                 block = batch.column(0)[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in cut], pa.int32()), pa.array([block] * len(cut), pa.int64()), pa.array([k.tobytes() for _, k in cut], pa.binary())], ["bucket", "block_id", "keys"])
 
-    return blocks.mapInArrow(emit, "bucket int, block_id long, keys binary")
+    return blocks.mapInArrow(lean(emit), "bucket int, block_id long, keys binary")
 
 
 def _shared(table: pa.Table) -> pa.Table:

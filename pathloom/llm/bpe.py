@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from pathloom.llm.blocks import put_columns, with_columns
+from pathloom.llm.blocks import lean, put_columns, slices, with_columns
 from pathloom.llm.hashing import text_buffer
 from pathloom.llm.tokens import byte_alphabet
 
@@ -186,7 +186,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = word_bpe(tokenizer_path).pieces.__getitem__
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             raw, offs = text_buffer(batch.column(batch.schema.get_field_index(text_col)))
             blob = raw.tobytes()
             counts, made = [], {"ids": [], "decoded": []}
@@ -198,4 +198,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
                 made["decoded"].append(b" ".join(decoded))
             yield put_columns(batch, schema, {"n_tokens": pa.array(counts, pa.int64())} | {o: pa.array(made[o], pa.binary()).cast(pa.string()) for o in outputs})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

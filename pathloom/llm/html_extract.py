@@ -15,7 +15,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pathloom.llm.blocks import put_columns, with_columns
+from pathloom.llm.blocks import lean, put_columns, slices, with_columns
 
 # Element names, and words of class, id and role that name a page's furniture.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -224,8 +224,8 @@ def extract_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
     schema = with_columns(pages.schema, "text string, n_chars long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, html_col)):
             texts = [main_text(h) if h else "" for h in batch.column(batch.schema.get_field_index(html_col)).to_pylist()]
             yield put_columns(batch, schema, {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(lean(run), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm import config_lp
-from pathloom.llm.blocks import put_columns, with_columns
+from pathloom.llm.blocks import lean, put_columns, slices, with_columns
 from pathloom.llm.tokens import byte_bpe
 from pathloom.plans.scratch import materialize
 
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(tokenizer_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             rows, piece, start, length, ids = [], [], [], [], []
             for i, raw in enumerate(encoder.encode_all(texts)):
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
             new = {"piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary())}
             yield put_columns(batch.take(pa.array(rows, pa.int64())), schema, new)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -78,7 +78,7 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
                 seen[n] += 1
             yield put_columns(batch, numbered_schema, {"_task": pa.array([task] * batch.num_rows, pa.int32()), "_nth": pa.array(nth, pa.int64())})
 
-    numbered = materialize(pieces.mapInArrow(number, numbered_schema), "pieces")
+    numbered = materialize(pieces.mapInArrow(lean(number), numbered_schema), "pieces")
     by_task = materialize(numbered.groupBy("_task", "length").count(), "piece-counts")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in by_task.groupBy("length").agg(F.sum("count")).collect():  # at most `capacity` rows
@@ -103,7 +103,7 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
                 offset[at] = shift[k] + inside % each[k] * n
             yield put_columns(batch, schema, {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())})
 
-    return joined.mapInArrow(place, schema)
+    return joined.mapInArrow(lean(place), schema)
 
 
 def _slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, ...]]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.blocks import put_columns, with_columns
+from pathloom.llm.blocks import lean, put_columns, with_columns
 from pathloom.llm.hashing import text_buffer
 from pathloom.plans.components import connected_components
 from pathloom.plans.scratch import materialize
@@ -67,7 +67,7 @@ def with_fingerprint(docs: DataFrame, text_col: str, shingle: int, out: str = "_
             fps = np.array([fingerprint(blob[a:b], shingle) for a, b in zip(offs[:-1], offs[1:], strict=True)], dtype=np.uint64).view(np.int64)
             yield put_columns(batch, schema, {out: pa.array(fps, pa.int64())})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def segments(n: int, distance: int) -> list[tuple[int, int, int]]:

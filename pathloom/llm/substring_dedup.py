@@ -127,4 +127,4 @@ def repeated_words(docs: DataFrame, text_col: str = "text", window: int = 35, re
             new[text_col] = pa.array(kept, pa.binary()).cast(pa.string())
         return B.put_columns(batch, schema, new)
 
-    return both.mapInArrow(finish, schema)
+    return both.mapInArrow(B.lean(finish), schema)

@@ -192,7 +192,7 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", window: int = 400, r
                 block = batch.column(0)[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "block_id", "payload"])
 
-    sent = B.answer(blocks, found).mapInArrow(spans, "bucket int, block_id long, payload binary")
+    sent = B.answer(blocks, found).mapInArrow(B.lean(spans), "bucket int, block_id long, payload binary")
     merged = sent.groupBy("bucket").applyInArrow(lambda t: _merge(t, window), "block_id long, ranges binary")
     answers = merged.groupBy("block_id").agg(F.collect_list("ranges").alias("found"))
     schema = B.with_columns(docs.schema, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -229,7 +229,7 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", window: int = 400, r
             new[text_col] = pa.array(texts, pa.binary()).cast(pa.string())
         return B.put_columns(batch, schema, new)
 
-    return B.answer(blocks, answers).mapInArrow(finish, schema)
+    return B.answer(blocks, answers).mapInArrow(B.lean(finish), schema)
 
 
 def _without(blob: bytes, a: int, z: int, cuts: list[tuple[int, int]]) -> bytes:

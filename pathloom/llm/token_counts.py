@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.blocks import put_columns, with_columns
+from pathloom.llm.blocks import lean, put_columns, slices, with_columns
 from pathloom.llm.hashing import text_buffer
 from pathloom.llm.tokens import byte_bpe
 from pathloom.plans.scratch import materialize, new_path
@@ -35,7 +35,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text_col: str = "t
     schema = with_columns(kept.schema, "version string, tokens long, n_bytes long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             column = batch.column(batch.schema.get_field_index(text_col))
             raw, offs = text_buffer(column)
             size = pa.array(offs[1:] - offs[:-1], pa.int64())
@@ -47,7 +47,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str], text_col: str = "t
                     n = [len(x) // 4 for x in byte_bpe(path).encode_all([t or "" for t in column.to_pylist()])]
                 yield put_columns(batch, schema, {"version": pa.array([version] * len(n), pa.string()), "tokens": pa.array(n, pa.int64()), "n_bytes": size})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def deltas(changes: DataFrame) -> DataFrame:

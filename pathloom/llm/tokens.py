@@ -12,7 +12,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import tiktoken
 from tokenizers import Tokenizer
@@ -35,7 +35,7 @@ class ByteBpe:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = [t["content"] for t in spec["added_tokens"]]
@@ -44,6 +44,11 @@ class ByteBpe:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The file's own library; large, so only loaded when a text needs it."""
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         """All ids of a text, without special tokens around it."""
         if UNSURE.search(text) or self.special and self.special.search(text):
