@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import blocks as B
-from pathloom.llm.hashing import BYTE_VALUES, runs, text_buffer, windows
+from pathloom.llm.hashing import BYTE_VALUES, mix, runs, text_buffer, windows
 from pathloom.llm.suffix_sort import common_prefix, deep_shallow_sort
 from pathloom.plans.scratch import materialize
 
@@ -70,7 +70,8 @@ def anchors(raw: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray,
         new[1:] = (place[whole[1:]] != place[whole[:-1]]) | (whole[1:] != whole[:-1] + 1) | (text[whole[1:]] != text[whole[:-1]])
         first = np.flatnonzero(new)
         last = np.concatenate((first[1:], [len(whole)])) - 1
-        for x, y in zip(out, (h[place[whole[first]]], place[whole[first]] + at, whole[first] + at, whole[last] + at), strict=True):
+        # Anchors have the smallest hashes; mixed again they fill all buckets alike.
+        for x, y in zip(out, (mix(h[place[whole[first]]]), place[whole[first]] + at, whole[first] + at, whole[last] + at), strict=True):
             x.append(y)
     kinds = (np.uint64, np.int64, np.int64, np.int64)
     return tuple(np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in zip(out, kinds, strict=True))
