@@ -140,33 +140,40 @@ def send(blocks: DataFrame, keys: Callable[[pa.RecordBatch, list[bytes] | None],
     return blocks.mapInArrow(lean(emit), "bucket int, block_id long, keys binary")
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(table: pa.Table, most: int) -> pa.Table:
     parts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("keys")]
     of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
     keys = np.concatenate(parts)
     order = np.argsort(keys, kind="stable")
     keys, of = keys[order], of[order]
-    same = keys[1:] == keys[:-1]
-    keep = np.zeros(len(keys), dtype=bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    keys, of = keys[keep], of[keep]
-    order = np.argsort(of, kind="stable")
-    keys, of = keys[order], of[order]
-    ids, starts = np.unique(of, return_index=True)
+    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    held = np.repeat(np.diff(edge), np.diff(edge))  # by how many blocks, for each place
     blocks = table.column("block_id").to_numpy()
-    return pa.table({"block_id": pa.array(blocks[ids], pa.int64()), "keys": pa.array([x.tobytes() for x in np.split(keys, starts[1:])] if len(ids) else [], pa.binary())})
-
-
-def shared(sent: DataFrame) -> DataFrame:
-    """``(block_id, found)``: for each block, its keys that another block has too."""
-    answers = sent.groupBy("bucket").applyInArrow(_shared, "block_id long, keys binary")
-    return answers.groupBy("block_id").agg(F.collect_list("keys").alias("found"))
+    out: dict[str, list] = {"block_id": [], "keys": [], "hot": []}
+    for hot, mask in ((False, (held > 1) & (held <= most)), (True, (held > 1) & (held > most))):
+        k, o = keys[mask], of[mask]
+        order = np.argsort(o, kind="stable")
+        k, o = k[order], o[order]
+        ids, starts = np.unique(o, return_index=True)
+        out["block_id"] += blocks[ids].tolist()
+        out["keys"] += [x.tobytes() for x in np.split(k, starts[1:])] if len(ids) else []
+        out["hot"] += [hot] * len(ids)
+    return pa.table({"block_id": pa.array(out["block_id"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "hot": pa.array(out["hot"], pa.bool_())})
+
+
+def shared(sent: DataFrame, most: int = 1 << 62) -> DataFrame:
+    """``(block_id, found, hot)``: for each block, its keys that another block has too.
+
+    Keys that more than ``most`` blocks have are in ``hot`` instead of ``found``.
+    """
+    answers = sent.groupBy("bucket").applyInArrow(lambda t: _shared(t, most), "block_id long, keys binary, hot boolean")
+    pick = lambda c: F.collect_list(F.when(c, F.col("keys")))
+    return answers.groupBy("block_id").agg(pick(~F.col("hot")).alias("found"), pick(F.col("hot")).alias("hot"))
 
 
 def answer(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """``(block_id, payload, found)``; ``found`` is null where nothing came back."""
-    return blocks.join(found, "block_id", "left").select("block_id", "payload", "found")
+    """``(block_id, payload, ...)`` with the other columns of ``found``, null where nothing came back."""
+    return blocks.join(found, "block_id", "left").select("block_id", "payload", *[c for c in found.columns if c != "block_id"])
 
 
 def with_columns(schema: T.StructType, extra: str) -> T.StructType:

@@ -92,9 +92,9 @@ def repeated_words(docs: DataFrame, text_col: str = "text", window: int = 35, re
     width = window - v + 1
     blocks = B.pack(docs, text_col)
     buckets = B.bucket_count(blocks, B.BLOCK_BYTES // 6 * len(difference_cover(v)) // v)
-    found = B.shared(B.send(blocks, lambda batch, _: _Texts(batch, text_col).anchors(v, width)[1], buckets))
+    found = B.shared(B.send(blocks, lambda batch, _: _Texts(batch, text_col).anchors(v, width)[1], buckets)).select("block_id", "found")
     found = materialize(found, "anchors")
-    again = B.shared(B.send(B.answer(blocks, found), lambda batch, back: _Texts(batch, text_col).candidates(window, back)[1], buckets))
+    again = B.shared(B.send(B.answer(blocks, found), lambda batch, back: _Texts(batch, text_col).candidates(window, back)[1], buckets)).select("block_id", "found")
     # Both answers meet the block once more: the first gives its candidates, the second which of them repeat.
     both = B.answer(blocks, found.withColumnRenamed("found", "anchors").join(again, "block_id", "left").selectExpr("block_id", "array(anchors, found) AS found"))
     schema = B.with_columns(docs.schema, "n_words long, n_removed long, kept_sha256 string")

@@ -12,6 +12,11 @@ and the reversed prefixes before it are ordered by deep-shallow sorting; joining
 neighbours of the suffix order from the longest common prefix downwards, and looking
 for the nearest prefix in each joined interval, finds every window that occurs twice
 without comparing all pairs.
+
+A passage that a large part of all documents share would make one group of them.  Anchors
+whose k-gram stands in more than a bounded number of blocks therefore don't form a
+group: there the windows themselves are exchanged by hash, each once per block, which
+spreads a hot passage over all buckets and finds the same repeats.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from pathloom.plans.scratch import materialize
 
 PLACE_BITS = 22
 SEGMENT = 1 << 21
+#: Blocks that may share a k-gram before its windows are exchanged one by one.
+GROUP_BLOCKS = 64
 
 
 def _gram(window: int) -> int:
@@ -82,19 +89,47 @@ def _anchors_of(batch: pa.RecordBatch, text_col: str, window: int):
     return raw, anchors(raw, offs, window)
 
 
-def _spans(batch: pa.RecordBatch, text_col: str, window: int, found: list[bytes] | None) -> pa.RecordBatch:
-    """The distinct spans of a block whose k-gram occurs again, ordered by k-gram."""
+def _window_keys(raw: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of the windows at ascending ``starts``, other ones than those of k-grams."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for at in range(0, max(0, len(raw) - window + 1), SEGMENT):
+        a, z = np.searchsorted(starts, (at, at + SEGMENT))
+        if z > a:
+            piece = BYTE_VALUES[raw[at : at + SEGMENT + window - 1]] * np.uint64(0xA24BAED4963EE407)
+            out[a:z] = windows(piece, window)[starts[a:z] - at]
+    return out
+
+
+def _starts(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All window starts of ascending runs ``first..last``."""
+    n = last - first + 1
+    return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, dtype=np.int64)
+
+
+def _spans(batch: pa.RecordBatch, text_col: str, window: int, found: list[bytes] | None, hot: list[bytes] | None) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """The distinct spans of a block whose k-gram occurs again, ordered by k-gram; the hot
+    windows' distinct keys; and the runs of windows that these are of."""
     raw, (keys, anchor, first, last) = _anchors_of(batch, text_col, window)
-    again = np.flatnonzero(B.is_in(keys, B.keys_of(found)) | B.is_in(keys, B.repeated(keys)))
+    is_hot = B.is_in(keys, B.keys_of(hot))
+    again = np.flatnonzero((B.is_in(keys, B.keys_of(found)) | B.is_in(keys, B.repeated(keys))) & ~is_hot)
     blob = raw.tobytes()
     spans: dict[tuple[int, int, bytes], list[int]] = defaultdict(list)
     for key, a, f, z in zip(keys[again].tolist(), anchor[again].tolist(), first[again].tolist(), last[again].tolist(), strict=True):
         spans[key, a - f, blob[f : z + window]].append(a)
     order = sorted(spans, key=lambda s: s[0])
-    return pa.RecordBatch.from_arrays(
+    rows = pa.RecordBatch.from_arrays(
         [pa.array([s[0] for s in order], pa.uint64()), pa.array([s[1] for s in order], pa.int32()), pa.array([s[2] for s in order], pa.large_binary()), pa.array([spans[s] for s in order], pa.list_(pa.int64()))],
         ["key", "before", "span", "anchors"],
     )
+    runs_ = np.stack((first[is_hot], last[is_hot]), axis=1)
+    return rows, np.unique(_window_keys(raw, _starts(first[is_hot], last[is_hot]), window)), runs_
+
+
+def _hot_repeats(raw: np.ndarray, runs_: np.ndarray, found: np.ndarray, window: int) -> np.ndarray:
+    """Starts of the hot windows that occur again, here or in another block."""
+    starts = _starts(runs_[:, 0], runs_[:, 1])
+    keys = _window_keys(raw, starts, window)
+    return starts[B.is_in(keys, found) | B.is_in(keys, B.repeated(keys))]
 
 
 def repeated_offsets(spans: list[tuple[int, bytes]], window: int) -> list[list[tuple[int, int]]]:
@@ -179,31 +214,39 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", window: int = 400, r
     """
     blocks = B.pack(docs, text_col)
     per_block = 2 * B.BLOCK_BYTES // (window - _gram(window) + 2)
-    found = materialize(B.shared(B.send(blocks, lambda batch, _: _anchors_of(batch, text_col, window)[1][0], B.bucket_count(blocks, per_block))), "suffix-anchors")
+    sent = B.send(blocks, lambda batch, _: _anchors_of(batch, text_col, window)[1][0], B.bucket_count(blocks, per_block))
+    found = materialize(B.shared(sent, GROUP_BLOCKS), "suffix-anchors")
     buckets = B.bucket_count(blocks, per_block * window // 8)
+    kinds = "kind string, bucket int, block_id long, payload binary"
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                mine = _spans(B.decode(batch.column(1)[i].as_py()), text_col, window, batch.column(2)[i].as_py())
+                mine, keys, runs_ = _spans(B.decode(batch.column(1)[i].as_py()), text_col, window, batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
                 at, rows = 0, []
-                for b, keys in B.by_bucket(mine.column(0).to_numpy(), buckets):
-                    rows.append((b, B._encode(mine.slice(at, len(keys)))))
-                    at += len(keys)
+                for b, of_bucket in B.by_bucket(mine.column(0).to_numpy(), buckets):
+                    rows.append(("span", b, B._encode(mine.slice(at, len(of_bucket)))))
+                    at += len(of_bucket)
+                rows += [("window", b, k.tobytes()) for b, k in B.by_bucket(keys, buckets)]
+                if len(runs_):
+                    rows.append(("run", -1, runs_.tobytes()))
                 block = batch.column(0)[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "block_id", "payload"])
-
-    sent = B.answer(blocks, found).mapInArrow(B.lean(spans), "bucket int, block_id long, payload binary")
-    merged = sent.groupBy("bucket").applyInArrow(lambda t: _merge(t, window), "block_id long, ranges binary")
-    answers = merged.groupBy("block_id").agg(F.collect_list("ranges").alias("found"))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "bucket", "block_id", "payload"])
+
+    made = materialize(B.answer(blocks, found).mapInArrow(B.lean(emit), kinds), "suffix-spans", partition_by="kind")
+    merged = made.where("kind = 'span'").select("bucket", "block_id", "payload").groupBy("bucket").applyInArrow(lambda t: _merge(t, window), "block_id long, ranges binary")
+    ranges = merged.groupBy("block_id").agg(F.collect_list("ranges").alias("ranges"))
+    hot = B.shared(made.where("kind = 'window'").select("bucket", "block_id", F.col("payload").alias("keys"))).select("block_id", F.col("found").alias("again"))
+    hot_runs = made.where("kind = 'run'").select("block_id", F.col("payload").alias("runs")).join(hot, "block_id", "left")
+    answers = ranges.join(hot_runs, "block_id", "full").select("block_id", "ranges", "runs", "again")
     schema = B.with_columns(docs.schema, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield _rewrite(B.decode(batch.column(1)[i].as_py()), batch.column(2)[i].as_py())
+                yield _rewrite(B.decode(batch.column(1)[i].as_py()), *(batch.column(c)[i].as_py() for c in (2, 3, 4)))
 
-    def _rewrite(batch: pa.RecordBatch, found: list[bytes] | None) -> pa.RecordBatch:
+    def _rewrite(batch: pa.RecordBatch, found: list[bytes] | None, hot: bytes | None, again: list[bytes] | None) -> pa.RecordBatch:
         column = batch.column(batch.schema.get_field_index(text_col))
         raw, offs = text_buffer(column)
         edge = np.zeros(len(raw) + 1, dtype=np.int32)
@@ -211,6 +254,10 @@ def repeated_bytes(docs: DataFrame, text_col: str = "text", window: int = 400, r
             anchor, low, high = np.frombuffer(part, dtype=np.int64).reshape(-1, 3).T
             np.add.at(edge, anchor - high, 1)
             np.add.at(edge, anchor - low + window, -1)
+        if hot:
+            starts_ = _hot_repeats(raw, np.frombuffer(hot, dtype=np.int64).reshape(-1, 2), B.keys_of(again), window)
+            np.add.at(edge, starts_, 1)
+            np.add.at(edge, starts_ + window, -1)
         gone = np.cumsum(edge[:-1]) > 0
         total = np.concatenate(([0], np.cumsum(gone)))
         removed = total[offs[1:]] - total[offs[:-1]]

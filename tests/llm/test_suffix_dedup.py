@@ -59,7 +59,13 @@ def test_offsets_against_all_pairs():
 
 
 @pytest.mark.parametrize("window", [8, 40, 400])
-def test_against_brute_force(spark, window):
+@pytest.mark.parametrize("group_blocks", [0, 2, 64])
+def test_against_brute_force(spark, window, group_blocks, monkeypatch):
+    import pathloom.llm.blocks as blocks
+    import pathloom.llm.suffix_dedup as m
+
+    monkeypatch.setattr(m, "GROUP_BLOCKS", group_blocks)
+    monkeypatch.setattr(blocks.pack, "__defaults__", (900,))  # many blocks
     rng = random.Random(window)
     word = lambda: "".join(rng.choices("abcdeé語", k=rng.randint(1, 7)))
     passage = " ".join(word() for _ in range(window))
