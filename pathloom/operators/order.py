@@ -315,3 +315,20 @@ def path_tension(g: Graph, layout: DataFrame, window: int) -> DataFrame:
         return out.assign(ratio=out.layout_dist / out.nuc_dist)
 
     return p.groupBy("path_id").applyInPandas(run, "path_id long, start long, end long, layout_dist double, nuc_dist long, ratio double")
+
+
+def cycle_breaking(g: Graph, max_bp: int = 1 << 20, max_steps: int = 64) -> DataFrame:
+    """The topological order of the graph without the edges that close short cycles."""
+    from pathloom.operators.traverse import break_cycles
+
+    bare = g.with_(paths=g.paths.limit(0), steps=g.steps.limit(0))
+    return topological(break_cycles(bare, max_bp, max_steps), heads_first=False)
+
+
+def by_strands(g: Graph) -> DataFrame:
+    """Nodes as either of their strands comes first in the order of the strand-split graph."""
+    from pathloom.operators.traverse import split_strands
+
+    bare = split_strands(g.with_(paths=g.paths.limit(0), steps=g.steps.limit(0)))
+    first = topological(bare).groupBy(F.floor((F.col("node_id") + 1) / 2).alias("node_id")).agg(F.min("nth").alias("k"))
+    return dense_index(first, ["k", "node_id"], "nth").select("node_id", "nth")

@@ -150,36 +150,63 @@ def non_reference_ranges(g: Graph, reference: DataFrame, least: int = 0, show_st
     return out.where(F.col("end") - F.col("start") >= least).drop("run")
 
 
-def bins(g: Graph, width: int) -> DataFrame:
-    """Coverage, inversion, mean path position and extent of each path in bins of the graph's axis.
+def _bin_pieces(g: Graph, width: int) -> DataFrame:
+    """Steps cut at bin borders: ``bin``, and the path's bases ``a..z`` (from 1) on each piece.
 
-    A step is cut into one row for each bin it overlaps, never into bases.  Inside a
-    reversed step bases run in node order too.
+    A step gives one row for each bin it overlaps, never one a base.  Inside a reversed
+    step bases run in node order too.
     """
     s = g.steps.join(g.nodes.select("node_id", "pan_pos"), "node_id")
     first, last = F.floor(F.col("pan_pos") / width), F.floor((F.col("pan_pos") + F.col("len") - 1) / width)
     s = s.withColumn("b", F.explode(F.sequence(first, last)))
     lo, hi = F.greatest(F.col("b") * width, F.col("pan_pos")), F.least((F.col("b") + 1) * width, F.col("pan_pos") + F.col("len"))
-    s = s.withColumn("lo", lo).withColumn("hi", hi).withColumn("n", F.col("hi") - F.col("lo"))
-    at = F.col("pos") + F.col("lo") - F.col("pan_pos")
-    s = s.withColumn("sum_pos", F.col("n") * at + F.expr("(n * (n - 1)) div 2"))
-    total = g.path_lengths().select("path_id", "length_bp")
-    out = s.groupBy("path_id", (F.col("b") + 1).alias("bin")).agg(
-        F.sum("n").alias("bases"), F.sum(F.when(F.col("is_rev"), F.col("n")).otherwise(0)).alias("rev"), F.sum("sum_pos").alias("sp"), F.min(F.col("lo") + 1).alias("first_nucl"), F.max("hi").alias("last_nucl")
-    )
-    return out.join(total, "path_id").select(
-        "path_id", "bin", (F.col("bases") / width).alias("mean_cov"), (F.col("rev") / F.col("bases")).alias("mean_inv"), (F.col("sp") / F.col("bases") / F.col("length_bp")).alias("mean_pos"), "first_nucl", "last_nucl"
+    at = F.col("pos") - F.col("pan_pos")
+    return s.select("path_id", (F.col("b") + 1).alias("bin"), "is_rev", (at + lo + 1).alias("a"), (at + hi).alias("z"))
+
+
+def bin_ranges(g: Graph, width: int) -> DataFrame:
+    """``(path_id, bin, nth, first, second)``: runs of a path's bases in a bin, on one strand.
+
+    Forward runs are (first, last) and reverse runs (last, first); of a run of one base the
+    leading number, or for reverse runs the second, is zero.
+    """
+    w = Window.partitionBy("path_id", "bin").orderBy("a")
+    goes_on = (F.lag("z").over(w) + 1 == F.col("a")) & (F.lag("is_rev").over(w) == F.col("is_rev"))
+    p = _bin_pieces(g, width).withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("nth", F.sum("new").over(w))
+    r = p.groupBy("path_id", "bin", "nth").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.first("is_rev").alias("is_rev"))
+    one = F.col("a") == F.col("z")
+    first = F.when(F.col("is_rev"), F.col("z")).otherwise(F.when(one, 0).otherwise(F.col("a")))
+    second = F.when(F.col("is_rev"), F.when(one, 0).otherwise(F.col("a"))).otherwise(F.col("z"))
+    return r.select("path_id", "bin", "nth", first.cast("long").alias("first"), second.cast("long").alias("second"))
+
+
+def bins(g: Graph, width: int) -> DataFrame:
+    """Coverage, inversion, mean path position and extent of each path in bins of the graph's axis.
+
+    ``first_nucl`` and ``last_nucl`` are taken from the first and last of the bin's ranges.
+    """
+    p = _bin_pieces(g, width).withColumn("n", F.col("z") - F.col("a") + 1)
+    sums = p.groupBy("path_id", "bin").agg(
+        F.sum("n").alias("bases"), F.sum(F.when(F.col("is_rev"), F.col("n")).otherwise(0)).alias("rev"), F.sum(F.col("n") * (F.col("a") - 1) + F.expr("(n * (n - 1)) div 2")).alias("sp")
     )
+    r = bin_ranges(g, width).groupBy("path_id", "bin").agg(F.min_by("first", "nth").alias("first_nucl"), F.max_by(F.when(F.col("second") == 0, F.col("first")).otherwise(F.col("second")), "nth").alias("last_nucl"))
+    out = sums.join(r, ["path_id", "bin"]).join(g.path_lengths().select("path_id", "length_bp"), "path_id")
+    return out.select("path_id", "bin", (F.col("bases") / width).alias("mean_cov"), (F.col("rev") / F.col("bases")).alias("mean_inv"), (F.col("sp") / F.col("bases") / F.col("length_bp")).alias("mean_pos"), "first_nucl", "last_nucl")
 
 
-def bin_links(g: Graph, width: int) -> DataFrame:
+def bin_links(g: Graph, width: int, drop_gap_links: bool = False) -> DataFrame:
     """``(path_id, from_bin, to_bin)``: jumps of more than one bin between successive bases.
 
-    Each path also enters its first bin from 0 and leaves its last one to 0.
+    Each path also enters its first bin from 0 and leaves its last one to 0.  Gap links go
+    ahead over bins the path never visits; without them the ends at 0 are left out too.
     """
     s = g.steps.join(g.nodes.select("node_id", "pan_pos"), "node_id")
     s = s.withColumn("b0", F.floor(F.col("pan_pos") / width) + 1).withColumn("b1", F.floor((F.col("pan_pos") + F.col("len") - 1) / width) + 1)
     jump = s.withColumn("prev", F.lag("b1").over(by_step())).where(F.abs(F.col("b0") - F.col("prev")) > 1).select("path_id", F.col("prev").alias("from_bin"), F.col("b0").alias("to_bin"))
+    if drop_gap_links:
+        own = s.select("path_id", F.explode(F.sequence("b0", "b1")).alias("bin")).distinct()
+        following = own.select("path_id", F.col("bin").alias("from_bin"), F.lead("bin").over(Window.partitionBy("path_id").orderBy("bin")).alias("next_bin"))
+        return jump.join(following, ["path_id", "from_bin"]).where("from_bin > to_bin OR next_bin < to_bin").select("path_id", "from_bin", "to_bin")
     ends = s.groupBy("path_id").agg(F.min_by("b0", "step_rank").alias("b0"), F.max_by("b1", "step_rank").alias("b1"))
     zero = F.lit(0).cast("long")
     return jump.union(ends.select("path_id", zero, "b0")).union(ends.select("path_id", "b1", zero))

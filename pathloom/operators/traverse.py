@@ -180,3 +180,39 @@ def furcation_edges(g: Graph, k: int, max_furcations: int) -> DataFrame:
             break
     id_, rev = lambda c: F.floor(F.col(c) / 2) + 1, lambda c: F.col(c) % 2 == 1
     return canonical_edges(found.distinct().select(id_("a").alias("from_id"), rev("a").alias("from_rev"), id_("b").alias("to_id"), rev("b").alias("to_rev")))
+
+
+def reverse_complement_graph(g: Graph) -> Graph:
+    """Every node turned over; edges and steps follow, so paths spell what they did."""
+    from pathloom.operators.edits import renumber
+    from pathloom.plans.prefix import dense_index
+
+    return renumber(g, dense_index(g.nodes.select("node_id", "rank"), ["rank"], "nth").select("node_id", "nth", F.lit(True).alias("flip")))
+
+
+def split_strands(g: Graph) -> Graph:
+    """Each node as two forward ones, ``2 * id - 1`` and, reversed, ``2 * id``; no step is reversed then."""
+    from pathloom.functions.dna import reverse_complement
+    from pathloom.plans.graph import with_pan_pos
+
+    new = lambda i, r: F.col(i) * 2 - 1 + F.col(r).cast("long")
+    both = g.nodes.select("node_id", "seq", "rank", F.explode(F.array(F.lit(False), F.lit(True))).alias("rev"))
+    nodes = with_pan_pos(both.select(new("node_id", "rev").alias("node_id"), F.when(F.col("rev"), reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), (F.col("rank") * 2 + F.col("rev").cast("long")).alias("rank")))
+    way = follow(g)
+    edges = way.select((F.col("h") + 1).alias("from_id"), F.lit(False).alias("from_rev"), (F.col("t") + 1).alias("to_id"), F.lit(False).alias("to_rev"))
+    steps = g.steps.withColumn("node_id", new("node_id", "is_rev")).withColumn("is_rev", F.lit(False))
+    return Graph(nodes, edges, g.paths, steps)
+
+
+def single_stranded(g: Graph) -> bool:
+    """Whether no edge and no step turns to the other strand."""
+    return g.edges.where("from_rev <> to_rev").isEmpty() and g.steps.where("is_rev").isEmpty()
+
+
+def component_ends(g: Graph) -> DataFrame:
+    """``(component, heads, tails)``: how many nodes of a component have no way in, or none on."""
+    from pathloom.operators.summary import components
+
+    d = g.degrees().join(components(g), "node_id")
+    n = lambda c: F.count(F.when(c, 1))
+    return d.groupBy("component").agg(n(F.col("deg_l") == 0).alias("heads"), n(F.col("deg_r") == 0).alias("tails"))

@@ -246,16 +246,24 @@ register(
     "w2_non_reference_ranges",
     "SELECT path_id, start, \"end\" FROM (SELECT path_id, min(pos) AS start, max(pos + len) AS \"end\" FROM (SELECT *, step_rank - row_number() OVER (PARTITION BY path_id ORDER BY step_rank) AS r FROM steps WHERE node_id NOT IN (SELECT node_id FROM steps WHERE path_id IN (SELECT path_id FROM paths WHERE starts_with(path_name, 'NATION_3#')))) GROUP BY path_id, r) WHERE \"end\" - start >= 10",
 )(lambda g: P.non_reference_ranges(g, reference(g), 10))
-_BASES = "cut AS (SELECT path_id, step_rank, is_rev, pos, pan_pos, b, greatest(b * 500, pan_pos) AS lo, least((b + 1) * 500, pan_pos + len) AS hi FROM (SELECT s.*, pan_pos, unnest(range(pan_pos // 500, (pan_pos + s.len - 1) // 500 + 1)) AS b FROM steps s JOIN nodes USING (node_id)))"
+_BASES = """cut AS MATERIALIZED (SELECT path_id, step_rank, is_rev, b + 1 AS bin, pos - pan_pos + greatest(b * 500, pan_pos) + 1 AS a, pos - pan_pos + least((b + 1) * 500, pan_pos + len) AS z FROM (SELECT s.*, pan_pos, unnest(range(pan_pos // 500, (pan_pos + s.len - 1) // 500 + 1)) AS b FROM steps s JOIN nodes USING (node_id))),
+    runs AS MATERIALIZED (SELECT path_id, bin, nth, CASE WHEN is_rev THEN max(z) WHEN min(a) = max(z) THEN 0 ELSE min(a) END AS first, CASE WHEN NOT is_rev THEN max(z) WHEN min(a) = max(z) THEN 0 ELSE min(a) END AS second FROM (SELECT *, sum(new) OVER w AS nth FROM (SELECT *, CASE WHEN lag(z) OVER w + 1 = a AND lag(is_rev) OVER w = is_rev THEN 0 ELSE 1 END AS new FROM cut WINDOW w AS (PARTITION BY path_id, bin ORDER BY a)) WINDOW w AS (PARTITION BY path_id, bin ORDER BY a)) GROUP BY path_id, bin, nth, is_rev)"""
+register("w15_bin_ranges", "SELECT path_id, bin, nth::BIGINT AS nth, first, second FROM runs", _BASES)(lambda g: P.bin_ranges(g, 500))
 register(
     "g28_bins",
-    "SELECT path_id, b + 1 AS bin, sum(hi - lo)::BIGINT / 500 AS mean_cov, sum(CASE WHEN is_rev THEN hi - lo ELSE 0 END)::BIGINT / sum(hi - lo)::BIGINT AS mean_inv, sum((hi - lo) * (pos + lo - pan_pos) + (hi - lo) * (hi - lo - 1) // 2)::BIGINT / sum(hi - lo)::BIGINT / length_bp AS mean_pos, min(lo + 1) AS first_nucl, max(hi) AS last_nucl FROM cut JOIN lengths USING (path_id) GROUP BY path_id, b, length_bp",
+    "SELECT path_id, bin, bases / 500 AS mean_cov, rev / bases AS mean_inv, sp / bases / length_bp AS mean_pos, first_nucl, last_nucl FROM (SELECT path_id, bin, sum(z - a + 1)::BIGINT AS bases, sum(CASE WHEN is_rev THEN z - a + 1 ELSE 0 END)::BIGINT AS rev, sum((z - a + 1) * (a - 1) + (z - a + 1) * (z - a) // 2)::BIGINT AS sp FROM cut GROUP BY path_id, bin) JOIN (SELECT path_id, bin, arg_min(first, nth) AS first_nucl, arg_max(CASE WHEN second = 0 THEN first ELSE second END, nth) AS last_nucl FROM runs GROUP BY path_id, bin) USING (path_id, bin) JOIN lengths USING (path_id)",
     _BASES,
 )(lambda g: P.bins(g, 500))
+_STEP_BINS = "sb AS MATERIALIZED (SELECT path_id, step_rank, pan_pos // 500 + 1 AS b0, (pan_pos + s.len - 1) // 500 + 1 AS b1 FROM steps s JOIN nodes USING (node_id))"
+register(
+    "g29_bin_links_without_gaps",
+    "SELECT j.path_id, pb AS from_bin, b0 AS to_bin FROM (SELECT *, lag(b1) OVER (PARTITION BY path_id ORDER BY step_rank) AS pb FROM sb) j WHERE abs(b0 - pb) > 1 AND (pb > b0 OR EXISTS (SELECT 1 FROM sb o WHERE o.path_id = j.path_id AND (o.b0 > pb AND o.b0 < j.b0 OR o.b1 > pb AND o.b1 < j.b0)))",
+    _STEP_BINS,
+)(lambda g: P.bin_links(g, 500, drop_gap_links=True))
 register(
     "g29_bin_links",
     "SELECT path_id, pb AS from_bin, b0 AS to_bin FROM (SELECT *, lag(b1) OVER (PARTITION BY path_id ORDER BY step_rank) AS pb FROM sb) WHERE abs(b0 - pb) > 1 UNION ALL SELECT path_id, 0, arg_min(b0, step_rank) FROM sb GROUP BY path_id UNION ALL SELECT path_id, arg_max(b1, step_rank), 0 FROM sb GROUP BY path_id",
-    "sb AS (SELECT path_id, step_rank, pan_pos // 500 + 1 AS b0, (pan_pos + s.len - 1) // 500 + 1 AS b1 FROM steps s JOIN nodes USING (node_id))",
+    _STEP_BINS,
 )(lambda g: P.bin_links(g, 500))
 register("g30_haplo_bins", "SELECT node_id, path_id, visits FROM (SELECT *, count(*) OVER (PARTITION BY node_id) AS k FROM (SELECT node_id, path_id, count(*) AS visits FROM steps GROUP BY node_id, path_id)) WHERE k >= 30 AND k < (SELECT count(*) FROM paths)")(lambda g: P.haplo_bins(g, 30, 1))
 register(
