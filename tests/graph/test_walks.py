@@ -100,12 +100,15 @@ def test_alignment_against_plain_table(a, b):
                 h[i][j] = max(0, h[i - 1][j - 1] + (scores[0] if a[i - 1] == b[j - 1] else scores[1]), h[i - 1][j] + scores[2], h[i][j - 1] + scores[2])
         assert alignment.score_matrix(a, b, *scores).tolist() == h
         s, i, j, x, y = alignment.align(a, b, *scores)
+        assert alignment.best_score(a, b, *scores) == (s, i, j)
         assert s == max(map(max, h)) == h[i][j] and x.replace("-", "") in a and y.replace("-", "") in b
 
 
 def test_alignment_rows(spark):
     df = spark.createDataFrame([(1, "TGTTACGG", "GGTTGACTACGAACG"), (2, None, "A")], "k long, a string, b string")
     rows = {r.k: r for r in alignment.local_alignments(df, match=3, mismatch=-3, gap=-2).collect()}
+    short = {r.k: (r.score, r.end_a, r.end_b) for r in alignment.local_alignments(df, match=3, mismatch=-3, gap=-2, traced=False).collect()}
+    assert short == {k: (r.score, r.end_a, r.end_b) for k, r in rows.items()}
     assert (rows[1].aligned_a, rows[1].aligned_b, rows[1].score) == ("GTT-AC", "GTTGAC", 13) and rows[2].score == 0
 
 
