@@ -21,7 +21,8 @@ def running_sum(df: DataFrame, key: str, value: Column, out: str, bucket: int =
     sums = d.groupBy("_b").agg(F.sum("_v").alias("_s"))
     before = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     inside = F.coalesce(F.sum("_v").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return d.withColumn("_i", inside).join(before, "_b").withColumn(out, F.col("_o") + F.col("_i")).drop("_b", "_v", "_i", "_o")
+    # A left join: where nobody asks for the sum, the optimizer drops all of this.
+    return d.withColumn("_i", inside).join(before, "_b", "left").withColumn(out, F.col("_o") + F.col("_i")).drop("_b", "_v", "_i", "_o")
 
 
 def dense_index(df: DataFrame, order: list[str], out: str) -> DataFrame:

@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 def spark():
     from pathloom.plans.session import local_session
 
-    session = local_session(8, 8, "4g")
+    session = local_session(8, 4, "4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
