@@ -113,3 +113,32 @@ def flat_fasta(g: Graph, name: str, width: int = 80) -> DataFrame:
     lines = n.groupBy("line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pan_pos", part.alias("p")))), lambda x: x["p"]), "").alias("value"))
     head = g.nodes.sparkSession.createDataFrame([(-1, f">{name}")], "line long, value string")
     return head.union(lines.select("line", "value"))
+
+
+def write_components(g: Graph, path: str) -> None:
+    """One sub-folder a connected component in each of the four tables."""
+    from pathloom.operators.edits import explode_components
+    from pathloom.operators.summary import components
+
+    for name, table in explode_components(g, materialize(components(g), "components")).items():
+        table.write.partitionBy("component").parquet(f"{path}/{name}")
+
+
+def read_component(spark: SparkSession, path: str, component: int) -> Graph:
+    """One component of a folder that :func:`write_components` made."""
+    t = {n: spark.read.parquet(f"{path}/{n}").where(F.col("component") == component).drop("component") for n in ("nodes", "edges", "paths", "steps")}
+    return Graph(t["nodes"], t["edges"].select("from_id", "from_rev", "to_id", "to_rev"), t["paths"], t["steps"])
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or folder in whatever store holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def sequence_records(sequences: DataFrame, id_col: str, seq_col: str, quality: str | None = None) -> DataFrame:
+    """``value``: FASTA records, or FASTQ with one made-up quality letter for all bases."""
+    name, seq = F.col(id_col).cast("string"), F.col(seq_col)
+    if quality is None:
+        return sequences.select(F.concat(F.lit(">"), name, F.lit("\n"), seq).alias("value"))
+    return sequences.select(F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), F.repeat(F.lit(quality), F.length(seq))).alias("value"))

@@ -83,3 +83,14 @@ def test_side_files(spark, tmp_path, bubble):
     gfa.write_gfa(bubble, f"file://{tmp_path}/a.gfa")
     (tmp_path / "list").write_text(f"file://{tmp_path}/a.gfa\n")
     assert len(gfa.load_graphs(spark, f"file://{tmp_path}/list")) == 1
+
+
+def test_stored_components_and_records(spark, tmp_path, bubble):
+    gfa.write_components(bubble, f"file://{tmp_path}/parts")
+    one = gfa.read_component(spark, f"file://{tmp_path}/parts", 10)
+    assert [r.node_id for r in one.nodes.collect()] == [10] and spelled(one) == {3: "CATG"}
+    assert gfa.read_component(spark, f"file://{tmp_path}/parts", 1).edges.count() == 11
+    assert gfa.stored_bytes(spark, f"file://{tmp_path}/g.gfa") == len(BUBBLE)
+    u = traverse.unitigs(bubble)
+    assert any(r.value.endswith("\nCATG\n+\nIIII") for r in gfa.sequence_records(u, "unitig", "seq", "I").collect())
+    assert all(r.value.startswith(">") for r in gfa.sequence_records(u, "unitig", "seq").collect())
