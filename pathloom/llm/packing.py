@@ -26,7 +26,8 @@ from pathloom.plans.scratch import materialize
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, text_col: str = "text") -> DataFrame:
-    """A row for each piece: the columns of ``docs`` but the text, ``piece``, ``start``, ``length``, ``ids``.
+    """A row for each piece: the columns of ``docs`` but the text, ``piece``, ``start``, ``length``, ``ids``;
+    and ``_task`` and ``_nth``, the piece's number among those of its length in its task.
 
     ``ids`` are the piece's token ids as little-endian unsigned 32-bit bytes; ``end_id``
     closes each document.  Only documents of more than ``capacity`` tokens are cut, into
@@ -34,11 +35,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     piece that holds the end alone.
     """
     kept = docs.drop(text_col)
-    schema = with_columns(kept.schema, "piece int, start long, length long, ids binary")
+    schema = with_columns(kept.schema, "piece int, start long, length long, ids binary, _task int, _nth long")
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(tokenizer_path)
+        task, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in (part for whole in batches for part in slices(whole, text_col)):
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             rows, piece, start, length, ids = [], [], [], [], []
@@ -52,33 +54,40 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
                     start.append(a)
                     length.append(z - a)
                     ids.append(raw[4 * a : 4 * z])
-            new = {"piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary())}
+            new = _numbers(task, seen, length)
+            new |= {"piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary())}
             yield put_columns(batch.take(pa.array(rows, pa.int64())), schema, new)
 
     return docs.mapInArrow(lean(run), schema)
 
 
+def _numbers(task: int, seen: dict[int, int], lengths: list[int]) -> dict[str, pa.Array]:
+    nth = []
+    for n in lengths:
+        nth.append(seen[n])
+        seen[n] += 1
+    return {"_task": pa.array([task] * len(nth), pa.int32()), "_nth": pa.array(nth, pa.int64())}
+
+
 def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` plus ``sequence_id`` and ``offset``: the fewest sequences that the program finds.
 
     ``pieces`` has ``length`` from 1 to ``capacity``; its other columns are carried, and
     columns named like a result replaced.  In every sequence the pieces follow each other
     from offset 0 without gaps.  Repeated rows are separate pieces; none give none.
+    Numbers from :func:`token_pieces` are used where they are there, which saves a pass.
     """
     kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset", "_task", "_nth")]
-    pieces = pieces.select(*kept)
+    numbers = [c for c in ("_task", "_nth") if c in pieces.columns]
+    pieces = pieces.select(*kept, *(numbers if len(numbers) == 2 else []))
     numbered_schema = with_columns(pieces.schema, "_task int, _nth long")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            nth = []
-            for n in batch.column(batch.schema.get_field_index("length")).to_pylist():
-                nth.append(seen[n])
-                seen[n] += 1
-            yield put_columns(batch, numbered_schema, {"_task": pa.array([task] * batch.num_rows, pa.int32()), "_nth": pa.array(nth, pa.int64())})
+            yield put_columns(batch, numbered_schema, _numbers(task, seen, batch.column(batch.schema.get_field_index("length")).to_pylist()))
 
-    numbered = materialize(pieces.mapInArrow(lean(number), numbered_schema), "pieces")
+    numbered = materialize(pieces if len(numbers) == 2 else pieces.mapInArrow(lean(number), numbered_schema), "pieces")
     by_task = materialize(numbered.groupBy("_task", "length").count(), "piece-counts")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in by_task.groupBy("length").agg(F.sum("count")).collect():  # at most `capacity` rows
@@ -87,7 +96,7 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_task.select("_task", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     joined = numbered.join(offsets, ["_task", "length"]).withColumn("_nth", F.col("_nth") + F.col("_before")).select(*kept, "_nth")
-    schema = with_columns(pieces.schema, "sequence_id long, offset long")
+    schema = with_columns(pieces.select(*kept).schema, "sequence_id long, offset long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

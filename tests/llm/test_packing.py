@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pathloom.llm import config_lp
-from pathloom.llm.packing import pack_documents
+from pathloom.llm.packing import pack_documents, place_pieces
 from pathloom.llm.tokens import byte_bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,3 +92,5 @@ def test_documents(spark):
         assert sum(r.length for r in own) <= 256
     assert len(by_sequence) <= 1 + 1.02 * sum(r.length for r in rows) / 256
     assert pack_documents(df.limit(0), PATH).count() == 0
+    again = place_pieces(df.selectExpr("doc_id AS k", "1 + doc_id % 9 AS length", "'x' AS _task"), 16).collect()
+    assert sorted(r.k for r in again) == list(range(len(texts))) and again[0].asDict().keys() == {"k", "length", "sequence_id", "offset"}
