@@ -1,0 +1,172 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash candidates, exact verdicts.
+
+Each text sends one key for each band of its MinHash signature.  Texts that share a key
+are candidates, and each candidate is judged by the exact similarity of its shingle sets,
+so bands decide only which pairs are looked at: with 28 bands of five values a pair at
+similarity 0.8 is missed once in 65,000.
+
+Copies are one entry.  Entries are first judged against the hubs of their buckets, those
+that meet most others (the text that a group's copies were made from), and then only
+pairs of groups that no link joins yet, so dense groups are not compared pair by pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from pathloom.llm.blocks import lean, put_columns, with_columns
+from pathloom.llm.hashing import mix, text_buffer
+from pathloom.plans.components import connected_components
+from pathloom.plans.scratch import materialize
+
+SEED = 42
+BANDS, VALUES = 28, 5
+#: Shingles hashed at once, so that one very long text stays cheap.
+CHUNK = 1 << 11
+#: Most bits of the filter that spares texts without a candidate the way to the verdict.
+FILTER_BITS = 1 << 26
+
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, BANDS * VALUES, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RNG.integers(0, 1 << 63, BANDS * VALUES, dtype=np.uint64)[:, None]
+_SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``width``-word shingles of a text, A-Z in lower case.
+
+    Words are separated by 0x20 and 0x09-0x0D; fewer words than a shingle count as one.
+    """
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    starts = np.concatenate(([0], np.cumsum(lengths + 1)))
+    n = max(1, len(words) - width + 1)
+    last = starts[min(width, len(words)) :][:n] - 1
+    h64 = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h64(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=n))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of the MinHash signature of a set that is not empty."""
+    least = np.full(BANDS * VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), CHUNK):
+        np.minimum(least, (hashes[None, at : at + CHUNK] * _FACTORS + _SHIFTS).min(axis=1), out=least)
+    key = _SALTS.copy()
+    for column in least.reshape(BANDS, VALUES).T:
+        key = mix(key ^ column)
+    return key
+
+
+def _with_bands(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``docs`` plus ``_key`` (equal for copies), ``_n`` (shingles) and ``_bands``."""
+    schema = with_columns(docs.schema, "_key binary, _n long, _bands array<long>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = text_buffer(batch.column(batch.schema.get_field_index(text_col)))
+            blob = raw.tobytes()
+            texts = [blob[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            sets = [shingles(t, width) for t in texts]
+            keys = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
+            found = [bands(s).view(np.int64) if len(s) else np.zeros(0, dtype=np.int64) for s in sets]
+            ends = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64)))
+            yield put_columns(batch, schema, {"_key": pa.array(keys, pa.binary()), "_n": pa.array([len(s) for s in sets], pa.int64()), "_bands": listed})
+
+    return docs.mapInArrow(lean(run), schema)
+
+
+def _sets(marked: DataFrame, rows: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``(_row, hashes)``: the shingle sets, as bytes, of the texts of ``rows`` and a few others.
+
+    A bitmap of hashed rows says which texts to read, so no text is shuffled.
+    """
+    size = 1 << 15
+    while size < min(FILTER_BITS, 16 * rows.count()):
+        size *= 2
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    found = rows.select(at("_row").alias("bit")).groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()
+    wanted = np.zeros(size // 8, dtype=np.uint8)
+    for r in found:
+        wanted[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
+            if not batch.num_rows:
+                continue
+            raw, offs = text_buffer(batch.column(1))
+            blob = raw.tobytes()
+            sets = [shingles(blob[a:b], width).tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["_row", "hashes"])
+
+    return marked.select("_row", text_col, at("_row").alias("_bit")).mapInArrow(lean(run), "_row long, hashes binary")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets share at least ``percent`` of their union."""
+    side = lambda c: sets.select(F.col("_row").alias(c), F.col("hashes").alias(f"h{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common * 100 >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(lean(run), "a long, b long")
+
+
+def _joined(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with ``grp``, equal where links connect them."""
+    c = connected_components(links).withColumnRenamed("node", "_row")
+    return rows.join(c, "_row", "left").withColumn("grp", F.coalesce("component", "grp")).drop("component")
+
+
+def shingle_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near copies, with the columns of ``docs``: that with the smallest id.
+
+    Two texts are near copies if their ``width``-word shingles have a Jaccard similarity of at
+    least ``percent`` hundredths; groups are connected by such links.  Texts without words
+    are copies of each other.  A null id comes after all others; of repeated rows one
+    stays, whichever.
+    """
+    marked = materialize(_with_bands(docs, text_col, width).withColumn("_row", F.monotonically_increasing_id()), "shingle-docs")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row")).alias("m")
+    entries = materialize(marked.groupBy("_key").agg(first).select("m.*"), "shingle-entries")
+    keys = marked.select("_row", "_n", "_bands").join(entries.select("_row"), "_row", "left_semi").select("_row", "_n", F.explode("_bands").alias("v"))
+    # Most keys belong to one text only and go before anything is joined.
+    keys = materialize(keys.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("v"))).where("k > 1"), "shingle-keys")
+    weight = materialize(keys.groupBy("_row").agg(F.sum("k").alias("weight")), "shingle-rows")
+    keys = keys.join(weight, "_row")
+    hubs = keys.groupBy("v").agg(F.max(F.struct("weight", "_row", "_n")).alias("h")).select("v", F.col("h._row").alias("hub"), F.col("h._n").alias("hub_n"))
+    keys = materialize(keys.join(hubs, "v").select("v", "_row", "_n", "hub", "hub_n"), "shingle-buckets")
+    sets = materialize(_sets(marked, weight.select("_row"), text_col, width), "shingle-sets")
+    # No pair whose sizes differ more can be alike.
+    close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    stars = keys.where((F.col("_row") != F.col("hub")) & close(F.col("_n"), F.col("hub_n"))).select(F.greatest("_row", "hub").alias("a"), F.least("_row", "hub").alias("b")).distinct()
+    one = materialize(_joined(weight.select("_row").withColumn("grp", F.col("_row")), _alike(stars, sets, percent)), "shingle-groups")
+    k = materialize(keys.select("v", "_row", "_n").join(one, "_row"), "shingle-members")
+    # Only buckets that still hold two groups have pairs left.
+    k = k.join(k.groupBy("v").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("v"), "v", "left_semi")
+    x, y = k.toDF("v", "a", "na", "ga"), k.toDF("v", "b", "nb", "gb")
+    rest = x.join(y, "v").where((F.col("a") > F.col("b")) & (F.col("ga") != F.col("gb")) & close(F.col("na"), F.col("nb"))).select("a", "b", "ga", "gb").distinct()
+    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "shingle-pairs")
+    links = _alike(rest.select("a", "b"), sets, percent).join(rest, ["a", "b"]).select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    two = connected_components(links).withColumnRenamed("node", "grp")
+    group = one.join(two, "grp", "left").select("_row", F.coalesce("component", "grp").alias("grp"))
+    stay = entries.join(group, "_row", "left").groupBy(F.coalesce("grp", "_row").alias("grp")).agg(F.min(F.struct("none", "id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    return marked.join(stay, "_row", "left_semi").select(*docs.columns)

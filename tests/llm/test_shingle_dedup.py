@@ -1,0 +1,71 @@
+import random
+
+import pytest
+from test_native import prose
+
+from pathloom.llm.shingle_dedup import bands, shingle_dedup, shingles
+
+
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, text, n):
+    """``text`` with ``n`` of its words replaced."""
+    w = text.split(" ")
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"edit{rng.randint(0, 10**9)}"
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    out = []
+    for _ in range(60):
+        base = " ".join(word() for _ in range(rng.randint(80, 400)))
+        out += [base, base.upper()] + [edited(rng, base, max(1, round(len(base.split()) * share))) for share in (0.005, 0.015, 0.02, 0.022, 0.025, 0.03, 0.05)]
+    return out + ["", None, " \n", "one two", "One  two", "one three", "a b c d e", "a b c d e f"]
+
+
+def test_planted_near_copies(spark, texts):
+    """Every pair at 0.8 or more is linked, no other, against all pairs."""
+    sets = [plain_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    between = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] & sets[j] or not sets[i] | sets[j]:
+                s = jaccard(sets[i], sets[j])
+                between += 0.8 <= s < 0.85
+                if s >= 0.8:
+                    a, b = label[i], label[j]
+                    label = [min(a, b) if x in (a, b) else x for x in label]
+    assert between > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in shingle_dedup(df).collect()) == sorted(set(label))
+
+
+def test_bands_meet_at_the_threshold(texts):
+    """Pairs just above 0.8 share a band."""
+    sets = [shingles((t or "").encode(), 5) for t in texts if len((t or "").split()) > 20]
+    pairs = [(a, b) for i, a in enumerate(sets) for b in sets[max(0, i - 9) : i] if 0.8 <= jaccard(set(a.tolist()), set(b.tolist())) < 1]
+    assert len(pairs) > 100 and all((bands(a) == bands(b)).any() for a, b in pairs)
+
+
+def test_pipeline_stage_links_them(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(3)
+    base = prose(rng, 30)
+    near = edited(rng, base, 4)
+    assert 0.8 <= jaccard(plain_shingles(base), plain_shingles(near)) < 0.97
+    rows = [(1, base, "en", "s", len(base)), (2, near, "en", "s", len(near)), (None, near, "en", "s", len(near)), (3, prose(rng, 30), "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()) == [1, 3]
+    assert corpus_pipeline.near_copies(spark, df.limit(0), "").count() == 0
