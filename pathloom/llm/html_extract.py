@@ -3,12 +3,14 @@
 The first pass judges each block alone: by the region it stands in, its link density,
 its length and its share of stop words.  Blocks too short (or too odd) to judge stay
 open, and the second pass gives them the label of the nearest decided neighbours in
-their region.
+their region.  Stop words are those of four languages; prose without them stays open too,
+and on a page where they find no text, length and link density alone decide.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,6 +41,8 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.3
 LINKS = 0.4
+#: Share of letters and digits among the characters of prose.
+LETTERS = 0.8
 GOOD, BAD, OPEN = 1, -1, 0
 
 _NAMES = re.compile(r"[^a-z0-9]+")
@@ -158,7 +162,23 @@ def _alone(b: _Block) -> int:
         return OPEN
     if density >= STOP_HIGH or density >= STOP_LOW and (b.region or len(b.text) >= LONG):
         return GOOD
-    return OPEN if b.region or density >= STOP_LOW or b.heading else BAD
+    if b.region or density >= STOP_LOW or b.heading:
+        return OPEN
+    return OPEN if _prose(b.text) else BAD
+
+
+def _prose(text: str) -> bool:
+    """Whether a text is mostly letters and digits, of whatever language."""
+    solid = [c for c in text if not c.isspace()]
+    return sum(unicodedata.category(c)[0] in "LMN" for c in solid) >= LETTERS * len(solid)
+
+
+def _by_length(b: _Block) -> int:
+    """The label of a block of a page on which no stop list fits: long prose is text."""
+    if b.outside or b.region or b.heading or b.linked > LINKS * len(b.text.replace(" ", "")):
+        return OPEN
+    wide = sum(unicodedata.east_asian_width(c) in "WF" for c in b.text)
+    return GOOD if len(b.text) + 2 * wide >= SHORT and _prose(b.text) else OPEN
 
 
 def _settle(blocks: list[_Block], labels: list[int]) -> list[int]:
@@ -208,7 +228,10 @@ def main_text(html: str) -> str:
         # A page that marks its article has no text elsewhere.
         for b in blocks:
             b.outside = b.outside or not b.region
-    labels = _settle(blocks, [_alone(b) for b in blocks])
+    labels = [_alone(b) for b in blocks]
+    if GOOD not in labels:
+        labels = [_by_length(b) if label == OPEN else label for b, label in zip(blocks, labels, strict=True)]
+    labels = _settle(blocks, labels)
     return "\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label == GOOD)
 
 

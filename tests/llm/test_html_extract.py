@@ -53,3 +53,23 @@ def test_rows(spark):
     rows = {r.page_id: r for r in extract_html(df).collect()}
     assert [rows[i].text for i in (1, 2, 3)] == ["", "", WANT] and rows[3].n_chars == len(WANT)
     assert extract_html(df).count() == 5 and extract_html(df.limit(0)).count() == 0
+
+
+FOREIGN = [
+    ["Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita.", "Ahi quanto a dir qual era è cosa dura esta selva selvaggia e aspra e forte che nel pensier rinova la paura!"],
+    ["Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.", "Все смешалось в доме Облонских. Жена узнала, что муж был в связи с бывшею в их доме француженкою-гувернанткой."],
+    ["话说天下大势,分久必合,合久必分。周末七国分争,并入于秦。及秦灭之后,楚、汉分争,又并入于汉。", "汉朝自高祖斩白蛇而起义,一统天下,后来光武中兴,传至献帝,遂分为三国。推其致乱之由,殆始于桓、灵二帝。"],
+]
+
+
+@pytest.mark.parametrize("texts", FOREIGN)
+def test_unmarked_page_in_another_language(texts):
+    links = "<div>" + "".join(f"<a href='/{i}'>{texts[0]}</a> " for i in range(3)) + "</div>"
+    page = f"<html><body>{NAV}{links}<div>{''.join(f'<p>{x}</p>' for x in texts)}</div>{AROUND[2]}<p>{'=*= ' * 40}</p></body></html>"
+    assert main_text(page) == "\n".join(texts)
+
+
+def test_unmarked_page_with_a_paragraph_of_names():
+    names = "Anna Schmidt, Bernardo Costa, Chiara Bianchi, Dmitri Ivanov, Elif Yilmaz, Farid Haddad, Grace Okafor, Hiro Tanaka."
+    page = f"<html><body>{NAV}<p>{SENTENCE} {SENTENCE} {SENTENCE}</p><p>{names}</p><p>{SENTENCE} {SENTENCE} {SENTENCE}</p></body></html>"
+    assert names in main_text(page).split("\n")
