@@ -395,8 +395,8 @@ register(
     "SELECT node_id, r * depth AS total, CASE WHEN depth > 0 THEN r END AS mean FROM (SELECT node_id, CASE WHEN r < 1 THEN 1 / r ELSE r END AS r FROM (SELECT node_id, (len + 3.0)::DOUBLE / len AS r FROM nodes)) JOIN depths USING (node_id)",
 )(lambda g: O.tension(g, _stretched(g)))
 register("sw1_alignments")(lambda g: _neighbour_alignments(g))
-register("c14_untangle")(lambda g: C.untangle(g, reference(g), reference(g)))
-register("c12_break_points")(lambda g: C.break_points(g, reference(g), g.paths.where("startswith(path_name, 'NATION_4#')").select("path_id"), 100))
+register("c14_untangle")(lambda g: C.untangle(g, g.paths, reference(g)))
+register("c12_break_points")(lambda g: C.break_points(g, reference(g), g.paths, 100))
 register("t1_topological_order")(lambda g: O.topological(g))
 
 

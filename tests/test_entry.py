@@ -50,3 +50,22 @@ def test_graph_queries_equal_their_sql(spark):
         if _key(map(tuple, got.select(*[f"`{c}`" for c in cols]).collect())) != _key(want):
             wrong.append(name)
     assert not wrong
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_untangle_and_break_points_take_all_paths(spark):
+    """Every path that meets a reference path has its rows."""
+    from pathloom.plans import queries as Q
+    from pathloom.sources.tables import graph_of_tables
+
+    g = graph_of_tables(spark, DATA)
+    names = {r.path_id: r.path_name for r in g.paths.collect()}
+    visits = {}
+    for r in g.steps.select("path_id", "node_id").distinct().collect():
+        visits.setdefault(r.path_id, set()).add(r.node_id)
+    targets = [p for p, n in names.items() if n.startswith("NATION_3#")]
+    meet = {(t, q) for t in targets for q, nodes in visits.items() if nodes & visits.get(t, set())}
+    assert len({q for _, q in meet}) > 2 * len(targets)
+    assert {r.query_id for r in Q.queries()["c14_untangle"](spark, DATA).select("query_id").distinct().collect()} == {q for _, q in meet}
+    got = {(r.target_id, r.query_id) for r in Q.queries()["c12_break_points"](spark, DATA).collect()}
+    assert got == {(t, q) for t, q in meet if t != q}
