@@ -184,30 +184,32 @@ def normalize(g: Graph, rounds: int = 10) -> Graph:
     return g
 
 
-def nearest_reference(g: Graph, positions: DataFrame, reference: DataFrame, max_steps: int = 100, radius: int = 10_000) -> DataFrame:
+def nearest_reference(g: Graph, positions: DataFrame, reference: DataFrame, radius: int = 10_000) -> DataFrame:
     """``(node_id, ref_id, ref_offset, steps)``: the nearest reference step of each node of ``positions``.
 
-    Walks leave the node both ways, a frontier join a step, up to ``radius`` bases; of
-    equally near steps the one with the smallest path and offset counts.
+    Walks leave the node both ways, a frontier join a step, up to ``radius`` bases, which
+    alone ends them; of equally near steps the one with the smallest path and offset counts.
     """
     way = g.edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     way = materialize(way.union(way.select("b", "a")).distinct().join(g.nodes.select(F.col("node_id").alias("b"), "len"), "b").select("a", "b", "len"), "both-ways")
     on = g.steps.join(reference.select("path_id"), "path_id", "left_semi").groupBy("node_id").agg(F.min(F.struct("path_id", "pos")).alias("m"))
     on = materialize(on.select("node_id", F.col("m.path_id").alias("ref_id"), F.col("m.pos").alias("ref_offset")), "reference-nodes")
     todo = materialize(positions.select(F.col("node_id").alias("start")).distinct().select("start", F.col("start").alias("node_id"), F.lit(0).cast("long").alias("bp")), "searching")
-    done = None
-    seen = todo.select("start", "node_id")
-    for k in range(max_steps + 1):
+    done, seen, k = None, todo, 0
+    while True:
         hit = todo.join(on, "node_id").groupBy("start").agg(F.min(F.struct("ref_id", "ref_offset")).alias("m")).select("start", "m.ref_id", "m.ref_offset", F.lit(k).alias("steps"))
         hit = materialize(hit, "reference-hits")
-        done = hit if done is None else done.union(hit)
+        if done is None or not hit.isEmpty():
+            done = hit if done is None else done.union(hit)
         rest = todo.join(hit, "start", "left_anti")
         new = rest.join(way, rest.node_id == way.a).select("start", F.col("b").alias("node_id"), (F.col("bp") + F.col("len")).alias("bp")).where(F.col("bp") <= radius)
-        new = new.groupBy("start", "node_id").agg(F.min("bp").alias("bp")).join(seen, ["start", "node_id"], "left_anti")
-        todo = materialize(new, "searching")
+        # A later way to a node goes on only if it is shorter in bases.
+        new = new.groupBy("start", "node_id").agg(F.min("bp").alias("bp")).join(seen.withColumnRenamed("bp", "old"), ["start", "node_id"], "left").where("old IS NULL OR bp < old")
+        todo = materialize(new.join(done.select("start"), "start", "left_anti").select("start", "node_id", "bp"), "searching")
         if todo.isEmpty():
             break
-        seen = materialize(seen.union(todo.select("start", "node_id")), "searched")
+        seen = materialize(seen.union(todo).groupBy("start", "node_id").agg(F.min("bp").alias("bp")), "searched")
+        k += 1
     return done.withColumnRenamed("start", "node_id")
 
 

@@ -56,3 +56,13 @@ def test_streams_equal_batches(spark, tmp_path):
     q.stop()
     batch = events.windowed_depth(spark.read.parquet(f"{tmp_path}/in"))
     assert sorted(map(str, spark.table("depth_windows").collect())) == sorted(map(str, batch.collect()))
+
+
+def test_nearest_reference_beyond_many_short_nodes(spark, tmp_path):
+    """The radius in bases alone ends the search."""
+    n = 105
+    text = "".join(f"S\t{i}\tA\n" for i in range(1, n + 1)) + "".join(f"L\t{i}\t+\t{i + 1}\t+\t0M\n" for i in range(1, n)) + "P\tr\t1+\t*\n"
+    g = load(spark, tmp_path, text)
+    last = g.nodes.where(f"node_id = {n}")
+    assert [(r.ref_offset, r.steps) for r in sampling.nearest_reference(g, last, g.paths).collect()] == [(0, n - 1)]
+    assert sampling.nearest_reference(g, last, g.paths, radius=n - 2).isEmpty()
