@@ -63,7 +63,7 @@ COMMANDS = {
     "extract": lambda g, a: edits.extract(g, ranges=_ranges(g, a)),
     "inject": lambda g, a: edits.inject(g, _ranges(g, a).select("path_id", "start", "end", "name")),
     "prune": lambda g, a: edits.prune(g, max_degree=a.number),
-    "break": lambda g, a: traverse.break_cycles(g, a.number, 64),
+    "break": lambda g, a: traverse.break_cycles(g, a.number),
     "cover": lambda g, a: sampling.path_cover(g, a.number),
     "priv": lambda g, a: sampling.private_paths(g, seed=a.seed),
 }

@@ -317,7 +317,7 @@ def path_tension(g: Graph, layout: DataFrame, window: int) -> DataFrame:
     return p.groupBy("path_id").applyInPandas(run, "path_id long, start long, end long, layout_dist double, nuc_dist long, ratio double")
 
 
-def cycle_breaking(g: Graph, max_bp: int = 1 << 20, max_steps: int = 64) -> DataFrame:
+def cycle_breaking(g: Graph, max_bp: int = 1 << 20, max_steps: int | None = None) -> DataFrame:
     """The topological order of the graph without the edges that close short cycles."""
     from pathloom.operators.traverse import break_cycles
 

@@ -117,23 +117,31 @@ def acyclic_components(g: Graph) -> DataFrame:
     return c.select("component").distinct().join(bad, "component", "left").select("component", F.col("bad").isNull().alias("acyclic"))
 
 
-def cycle_edges(g: Graph, max_bp: int, max_steps: int) -> DataFrame:
-    """Canonical edges that close a directed cycle of at most ``max_bp`` bases within ``max_steps`` edges.
+def cycle_edges(g: Graph, max_bp: int, max_steps: int | None = None) -> DataFrame:
+    """Canonical edges that close a directed cycle of at most ``max_bp`` bases (and ``max_steps`` edges, if given).
 
-    Walks carry their start; an edge back to it closes a cycle.
+    Walks carry their start; an edge back to it closes a cycle.  A walk goes on only where it
+    is the first or the shortest yet, so the search ends by itself.
     """
     way = follow(g)
     size = g.nodes.select(handle(F.col("node_id"), F.lit(False)).alias("n2"), "len")
     way = materialize(way.join(size, F.col("n2") == F.col("t") - F.col("t") % 2).select("h", "t", "len"), "ways")
     start = F.col("h").alias("start")
     walk = materialize(way.select(start, F.col("h").alias("prev"), F.col("t").alias("h"), F.col("len").alias("bp")).where(F.col("bp") <= max_bp), "walks")
-    closing = None
-    for _ in range(max_steps):
+    closing = walk.where("false").select(F.col("prev").alias("a"), F.col("h").alias("b"))
+    seen, k = None, 0
+    while max_steps is None or k < max_steps:
+        k += 1
         hit = walk.where("h = start").select(F.col("prev").alias("a"), F.col("h").alias("b")).distinct()
-        closing = hit if closing is None else closing.union(hit)
+        if not hit.isEmpty():
+            closing = closing.union(hit)
         # Of several ways to a handle the shortest stands for all.
-        grown = walk.where("h <> start").groupBy("start", "h").agg(F.min("bp").alias("bp"))
-        grown = grown.join(way, "h").select("start", F.col("h").alias("prev"), F.col("t").alias("h"), (F.col("bp") + F.col("len")).alias("bp")).where(F.col("bp") <= max_bp)
+        best = walk.where("h <> start").groupBy("start", "h").agg(F.min("bp").alias("bp"))
+        if seen is not None:
+            best = best.join(seen.withColumnRenamed("bp", "old"), ["start", "h"], "left").where("old IS NULL OR bp < old").drop("old")
+        best = materialize(best, "walks")
+        seen = materialize(best if seen is None else seen.union(best).groupBy("start", "h").agg(F.min("bp").alias("bp")), "walked")
+        grown = best.join(way, "h").select("start", F.col("h").alias("prev"), F.col("t").alias("h"), (F.col("bp") + F.col("len")).alias("bp")).where(F.col("bp") <= max_bp)
         walk = materialize(grown, "walks")
         if walk.isEmpty():
             break
@@ -141,7 +149,7 @@ def cycle_edges(g: Graph, max_bp: int, max_steps: int) -> DataFrame:
     return canonical_edges(closing.distinct().select(id_("a").alias("from_id"), rev("a").alias("from_rev"), id_("b").alias("to_id"), rev("b").alias("to_rev")))
 
 
-def break_cycles(g: Graph, max_bp: int, max_steps: int, rounds: int = 1) -> Graph:
+def break_cycles(g: Graph, max_bp: int, max_steps: int | None = None, rounds: int = 1) -> Graph:
     """Without the edges that close short cycles; paths over them are removed."""
     for _ in range(rounds):
         gone = materialize(cycle_edges(g, max_bp, max_steps), "cycle-edges")

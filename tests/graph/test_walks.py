@@ -119,3 +119,11 @@ def test_break_points(bubble):
     assert (front.query_rank, front.target_rank) in {(2, 2), (2, 3)} and ("target", "query2", "front") not in rows
     assert rows["target", "query3", "back"].query_rank == 5 and rows["target", "query3", "back"].target_rank == 5
     assert all(0 <= r.jaccard <= 1 for r in rows.values())
+
+
+def test_long_cycles_of_short_nodes(spark, tmp_path):
+    """Base pairs alone bound the search: 66 nodes of one base lie within a size of 100."""
+    n = 66
+    text = "".join(f"S\t{i}\tA\n" for i in range(1, n + 1)) + "".join(f"L\t{i}\t+\t{i % n + 1}\t+\t0M\n" for i in range(1, n + 1))
+    g = load(spark, tmp_path, text)
+    assert traverse.cycle_edges(g, 100).count() == n
