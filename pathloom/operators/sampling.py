@@ -94,35 +94,53 @@ def private_paths(g: Graph, epsilon: float = 0.01, target_depth: float = 1.0, le
     """Replace the paths by walks drawn with the exponential mechanism from those that paths share.
 
     A walk grows by a step chosen with weight ``exp(epsilon * u / 2)`` and ``u`` the logarithm of
-    how many paths go on so; it ends at ``bp`` bases or when fewer than ``least`` paths go on.
+    how many paths that follow the whole walk go on so; it ends at ``bp`` bases or when fewer
+    than ``least`` of them go on.  Walks that end short of ``bp`` are kept.
     """
-    pairs = g.step_pairs().select("path_id", handle(F.col("node_id"), F.col("is_rev")).alias("a"), handle(F.col("node_id2"), F.col("is_rev2")).alias("b"))
-    both = pairs.union(pairs.select("path_id", F.col("b") + 1 - 2 * (F.col("b") % 2), F.col("a") + 1 - 2 * (F.col("a") % 2))).toDF("path_id", "a", "b")
-    shared = both.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    counted = materialize(shared, "shared-steps")
     c = components(g)
-    n = g.nodes.join(c, "node_id").select("component", F.lit(0).alias("kind"), F.col("node_id").alias("a"), F.col("len").alias("b"), F.lit(0).cast("long").alias("n"))
-    e = counted.join(c, F.col("node_id") == F.floor(F.col("a") / 2) + 1).select("component", F.lit(1).alias("kind"), "a", "b", "n")
+    n = g.nodes.join(c, "node_id").select("component", F.lit(0).cast("long").alias("path_id"), F.lit(-1).cast("long").alias("step_rank"), F.col("node_id").alias("a"), F.col("len").cast("long").alias("b"))
+    e = g.steps.join(c, "node_id").select("component", "path_id", F.col("step_rank").cast("long").alias("step_rank"), handle(F.col("node_id"), F.col("is_rev")).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = dict(zip(pdf.a[pdf.kind == 0].tolist(), pdf.b[pdf.kind == 0].tolist(), strict=True))
-        ahead: dict[int, list[tuple[int, int]]] = {}
-        for r in pdf[pdf.kind == 1].sort_values(["a", "b"]).itertuples():
-            ahead.setdefault(r.a, []).append((r.b, r.n))
+        nodes, taken = pdf[pdf.step_rank < 0], pdf[pdf.step_rank >= 0].sort_values(["path_id", "step_rank"])
+        size = dict(zip(nodes.a.tolist(), nodes.b.tolist(), strict=True))
+        # Both readings of each path; a walk is matched by places in them.
+        reads, owner = [], []
+        for p, t in taken.groupby("path_id", sort=True):
+            for _, r in t.groupby(t.step_rank - np.arange(len(t))):
+                h = r.a.tolist()
+                reads += [h, [x ^ 1 for x in reversed(h)]]
+                owner += [p, p]
+        at: dict[int, list[tuple[int, int]]] = {}
+        for k, read in enumerate(reads):
+            for i, h in enumerate(read):
+                at.setdefault(h, []).append((k, i))
+
+        def ways(places: list[tuple[int, int]]) -> list[tuple[int, list[tuple[int, int]], int]]:
+            on: dict[int, list[tuple[int, int]]] = {}
+            for k, i in places:
+                if i + 1 < len(reads[k]):
+                    on.setdefault(reads[k][i + 1], []).append((k, i + 1))
+            counted = [(h, x, len({owner[k] for k, _ in x})) for h, x in sorted(on.items())]
+            return [w for w in counted if w[2] >= least]
+
         component = int(pdf.component.iloc[0])
         rng = np.random.default_rng([seed, component])
-        goal, total, rows, k, starts = target_depth * sum(size.values()), 0, [], 0, sorted(ahead)
+        goal, total, rows, k = target_depth * sum(size.values()), 0, [], 0
+        starts = [h for h in sorted(at) if ways(at[h])]
         sensitivity = math.log(2)
         while starts and total < goal:
-            h, length, i = starts[rng.integers(len(starts))], 0, 0
+            h = starts[rng.integers(len(starts))]
+            places, length, i = at[h], 0, 0
             while True:
                 rows.append((component, k, i, h // 2 + 1, bool(h & 1)))
                 length += size[h // 2 + 1]
                 i += 1
-                if h not in ahead or length >= bp:
+                ahead = ways(places) if length < bp else []
+                if not ahead:
                     break
-                weight = np.array([math.exp(epsilon * math.log1p(n) / (2 * sensitivity)) for _, n in ahead[h]])
-                h = ahead[h][rng.choice(len(weight), p=weight / weight.sum())][0]
+                weight = np.array([math.exp(epsilon * math.log1p(m) / (2 * sensitivity)) for _, _, m in ahead])
+                h, places, _ = ahead[rng.choice(len(weight), p=weight / weight.sum())]
             total += length
             k += 1
         return pd.DataFrame(rows, columns=["component", "k", "step_rank", "node_id", "is_rev"])

@@ -31,6 +31,13 @@ def test_private_paths(bubble):
     assert sorted(map(str, made.steps.collect())) == sorted(map(str, sampling.private_paths(bubble, epsilon=1.0, target_depth=2.0, seed=3).steps.collect()))
 
 
+def test_private_walks_follow_whole_walks(spark, tmp_path):
+    """A-B on two paths and B-C on two others give no walk A-B-C."""
+    text = "".join(f"S\t{i}\tA\n" for i in (1, 2, 3)) + "L\t1\t+\t2\t+\t0M\nL\t2\t+\t3\t+\t0M\n" + "P\ta\t1+,2+\t*\nP\tb\t1+,2+\t*\nP\tc\t2+,3+\t*\nP\td\t2+,3+\t*\n"
+    made = sampling.private_paths(load(spark, tmp_path, text), epsilon=1.0, target_depth=20.0, seed=1)
+    assert {r.step_count for r in made.path_lengths().collect()} == {2}
+
+
 def test_normalize(spark, tmp_path):
     text = "S\t1\tAC\nS\t2\tGGT\nS\t3\tGGA\nS\t4\tTT\nL\t1\t+\t2\t+\t0M\nL\t1\t+\t3\t+\t0M\nL\t2\t+\t4\t+\t0M\nL\t3\t+\t4\t+\t0M\nP\ta\t1+,2+,4+\t*\nP\tb\t1+,3+,4+\t*\n"
     g = load(spark, tmp_path, text)
