@@ -176,6 +176,18 @@ def answer(blocks: DataFrame, found: DataFrame) -> DataFrame:
     return blocks.join(found, "block_id", "left").select("block_id", "payload", *[c for c in found.columns if c != "block_id"])
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that differ from all ``columns``, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def with_columns(schema: T.StructType, extra: str) -> T.StructType:
     """``schema`` plus the columns of ``extra``, which replace columns of the same name."""
     new = T.StructType.fromDDL(extra)

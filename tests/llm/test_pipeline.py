@@ -4,7 +4,7 @@ import re
 import public_tokenizers
 import pytest
 from test_native import plain_base, plain_lines, prose, words
-from test_simhash import plain_components, plain_fingerprint
+from test_simhash_similar import plain_firsts
 from test_suffix_dedup import brute as plain_repeats
 from tokenizers import Tokenizer
 
@@ -81,16 +81,13 @@ def test_stages(spark, docs):
     two = step("line_dedup", one)
     assert rows_of(two) == want
 
-    label = plain_components([plain_fingerprint(t, 4) for _, t, _, _, _ in want], 4)
-    least = {}
-    for r, c in zip(want, label, strict=True):
-        least[c] = min(least.get(c, r[0]), r[0])
-    want = [r for r in want if r[0] in set(least.values())]
+    stay, _ = plain_firsts([r[1] for r in want])  # ``want`` is ordered by id
+    want = [want[i] for i in stay]
     three = step("simhash_near_dedup", two)
     assert rows_of(three) == want
 
     four = step("suffix_array_dedup", three)
-    lost = {r[0]: b[1] for r, b in zip(want, plain_repeats([r[1] for r in want], 400), strict=True)}
+    lost = {r[0]: b[1] for r, b in zip(want, plain_repeats([r[1] for r in want], corpus_pipeline.PASSAGE), strict=True)}
     got = rows_of(four)
     assert [r[0] for r in got] == [r[0] for r in want] and any(lost.values())
     for r, before in zip(got, want, strict=True):
