@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -31,6 +32,9 @@ FURNITURE = frozenset(
     "subscribe subscription newsletter signup login signin search toolbar pagination pager skip skiplink complementary contentinfo form".split()
 )
 FURNITURE_PAGE_ONLY = frozenset("header".split())
+# Last parts of a name that tell a state, and of names about search that tell a text.
+STATES = frozenset("active allowed closed count counts disabled enabled off on open ready support supported".split())
+FOUND = frozenset("article page result results".split())
 STOP_WORDS = frozenset(
     "a about after all also an and any are as at be been but by can could did do does each for from had has have he her his how i if in into is it its just like may more most my no not of on one or other our out over she so some such than that the their them then there these they this to under up was we were what when where which who will with would you your "
     "au aux avec ce ces cette comme dans de des du elle en est et être il ils je la le les leur lui mais ne nous on ou où par pas plus pour qu que qui sa se ses son sont sur tout un une vous y "
@@ -43,12 +47,25 @@ STOP_LOW, STOP_HIGH = 0.15, 0.3
 LINKS = 0.4
 #: Share of letters and digits among the characters of prose.
 LETTERS = 0.8
+#: So many times the text of marked articles must stand elsewhere for them to be teasers.
+REST = 3
 GOOD, BAD, OPEN = 1, -1, 0
 
 _NAMES = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _names_furniture(name: str, region: int) -> bool:
+    """Whether a class, id or role names furniture: by its last part, or by its first unless a state follows."""
+    parts = [x for x in _NAMES.split(name) if x and not x.isdigit()]
+    if not parts:
+        return False
+    first, last = parts[0], parts[-1]
+    if last in FURNITURE or not region and FURNITURE_PAGE_ONLY & {first, last}:
+        return True
+    return first in FURNITURE and last not in STATES and not (first == "search" and last in FOUND)
+
+
 class _Block:
     __slots__ = ("text", "linked", "outside", "region", "heading")
 
@@ -65,6 +82,7 @@ class _Blocks(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # element, outside the article, region
         self.parts: list[str] = []
         self.linked = self.links = self.breaks = self.regions = 0
+        self.depth: Counter[str] = Counter()  # open elements of each name
 
     def _end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -96,10 +114,13 @@ class _Blocks(HTMLParser):
         if tag == "a":
             self.links += 1
         self.open.append((tag, outside, region))
+        self.depth[tag] += 1
 
     handle_startendtag = handle_starttag
 
     def _close_open(self, tag: str) -> None:
+        if not self.depth[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self._pop_to(i)
@@ -114,25 +135,29 @@ class _Blocks(HTMLParser):
             if name in ("class", "id", "role", "aria-label"):
                 if tag in ("html", "body"):
                     continue
-                words = set(_NAMES.split(value))
-                if words & FURNITURE or not region and tag not in MAIN and words & FURNITURE_PAGE_ONLY:
+                # An article's own names tell its kind or state, not that it is furniture.
+                if tag not in MAIN and any(_names_furniture(x, region) for x in value.split()):
                     return True
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                 return True
         return False
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.depth[tag]:  # a stray end: nothing to look for
+            if tag == "p":
+                self._end_block()
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 if tag in BLOCK or tag in OUTSIDE or any(t in BLOCK for t, _, _ in self.open[i:]):
                     self._end_block()
                 self._pop_to(i)
                 return
-        if tag == "p":
-            self._end_block()
 
     def _pop_to(self, i: int) -> None:
-        self.links -= sum(t == "a" for t, _, _ in self.open[i:])
+        for t, _, _ in self.open[i:]:
+            self.links -= t == "a"
+            self.depth[t] -= 1
         del self.open[i:]
 
     def handle_data(self, data: str) -> None:
@@ -224,7 +249,9 @@ def main_text(html: str) -> str:
     parser = _Blocks()
     parser.feed(html)
     blocks = parser.finish()
-    if any(b.region and not b.outside for b in blocks):
+    marked = sum(len(b.text) for b in blocks if b.region and not b.outside)
+    rest = sum(len(b.text) for b in blocks if not b.region and _alone(b) == GOOD)
+    if marked and rest <= REST * marked:
         # A page that marks its article has no text elsewhere.
         for b in blocks:
             b.outside = b.outside or not b.region

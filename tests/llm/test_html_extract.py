@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -73,3 +74,41 @@ def test_unmarked_page_with_a_paragraph_of_names():
     names = "Anna Schmidt, Bernardo Costa, Chiara Bianchi, Dmitri Ivanov, Elif Yilmaz, Farid Haddad, Grace Okafor, Hiro Tanaka."
     page = f"<html><body>{NAV}<p>{SENTENCE} {SENTENCE} {SENTENCE}</p><p>{names}</p><p>{SENTENCE} {SENTENCE} {SENTENCE}</p></body></html>"
     assert names in main_text(page).split("\n")
+
+
+STORY = ["The old harbour was empty when the boats came back from the long night at sea and all of the men were tired.", "Nobody had seen the light on the rocks, and it was only by chance that the last of them turned in time to be safe."]
+
+
+@pytest.mark.parametrize("attrs", ['class="post share-enabled"', 'class="entry comment-count-3"', 'id="search-results-article"', 'class="comments-closed story"'])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_of_states_are_no_furniture(tag, attrs):
+    page = f"<html><body><nav>Home | News</nav><{tag} {attrs}>" + "".join(f"<p>{x}</p>" for x in STORY) + f"</{tag}></body></html>"
+    assert main_text(page) == "\n".join(STORY)
+
+
+@pytest.mark.parametrize("name", ["site-footer", "main-nav", "sidebar-left", "cookie-banner", "related-posts", "comment-list", "comment-body", "page-header"])
+def test_names_of_furniture(name):
+    page = "<body><div>" + "".join(f"<p>{x}</p>" for x in STORY) + f'</div><div class="{name}"><p>{STORY[0][::-1]} the and of to in is it was</p></div></body>'
+    assert main_text(page) == "\n".join(STORY)
+
+
+def test_a_teaser_is_not_the_article():
+    page = "<body><div>" + "".join(f"<p>{x}</p>" for x in STORY) + '</div><article class="teaser"><p>Read this short one.</p></article></body>'
+    assert STORY[0] in main_text(page) and STORY[1] in main_text(page)
+
+
+def test_unlisted_languages():
+    polish = "Stary port był pusty, kiedy łodzie wróciły z długiej nocy na morzu, a wszyscy ludzie byli bardzo zmęczeni i głodni."
+    chinese = "渔船在漫长的黑夜之后终于回到了港口,所有的人都非常疲惫,没有人看到礁石上的灯光,只有最后一条船及时转向才得以平安归来。"
+    for text in (polish, chinese):
+        assert main_text(f"<body><div class='nav'>a b</div><div><p>{text}</p><p>{text[::-1]}</p></div></body>") == f"{text}\n{text[::-1]}"
+
+
+def test_broken_pages_take_linear_time():
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert main_text("<p>" + "<b>x</i>" * n) is not None
+        assert main_text("<ul>" + "<li><i>" * n) is not None
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
