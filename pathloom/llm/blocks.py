@@ -117,11 +117,11 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Sorted keys, cut by equal ranges of their value."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    at = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
-    for b in np.flatnonzero(at[1:] > at[:-1]):
-        yield int(b), keys[at[b] : at[b + 1]]
+    """Sorted keys, cut by equal ranges of their value (of its upper half, so ``buckets`` is below 2**32)."""
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edge = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(of) else [0]
+    for a, z in zip(edge[:-1], edge[1:], strict=True):
+        yield int(of[a]), keys[a:z]
 
 
 def send(blocks: DataFrame, keys: Callable[[pa.RecordBatch, list[bytes] | None], np.ndarray], buckets: int) -> DataFrame:

@@ -2,10 +2,13 @@
 
 A configuration is how many items of each length share a bin.  The program covers the
 length histogram with the fewest (fractional) bins.  Each length has a weight; a
-knapsack by dynamic programming prices the best configuration under the weights, which
-then shrink for the lengths it covers.  The average of the rounds is the fractional
-solution.  Rounding takes whole multiples of its configurations, and what remains is
-packed by fullest configurations, the longest item first.
+knapsack by dynamic programming prices the best configurations under the weights, which
+shrink for the lengths that these cover.  The averaged weights are nearly the program's
+dual prices.  A second run starts from them and uses whole bins at once: what it covers
+shrinks in weight, so that all lengths are used up at one pace, and by configurations
+that the prices call (almost) best.  The last twentieth, where too few items of each
+length are left for that, is packed by best fit, the longest item first, together with the items of
+those bins whose configurations left most room, where that saves bins.
 
 Everything here works on a histogram of at most ``capacity`` lengths, whatever the
 number of items.
@@ -13,109 +16,201 @@ number of items.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+Config = dict[int, int]
+#: Shares of the program's bins, those with most room first, that are opened again for the best fit.
+OPENED = (0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.6)
+
+
+def price(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack: for each room, the most weight that fits, and the item taken last (0 for a free token).
 
-def price(weights: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack: the configuration of most weight; ``weights[l]`` is that of length l, 0 for none."""
+    ``weights[l]`` is that of an item of length l, 0 for none.  On ties the longest item is taken.
+    """
     best = np.zeros(capacity + 1)
     choice = np.zeros(capacity + 1, dtype=np.int64)
+    lengths = np.flatnonzero(weights)[::-1]
+    value = weights[lengths]
+    fits = len(lengths) - np.searchsorted(lengths[::-1], np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        # A length without weight never beats leaving one token free.
-        # On ties the longest item comes first: short ones fit anywhere later.
-        value = weights[c:0:-1] + best[:c]
-        at = int(value.argmax())
-        if value[at] > best[c - 1]:
-            best[c], choice[c] = value[at], c - at
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c]:
-            out[int(choice[c])] = out.get(int(choice[c]), 0) + 1
-            c -= int(choice[c])
+        best[c] = best[c - 1]
+        if fits[c] < len(lengths):
+            total = value[fits[c] :] + best[c - lengths[fits[c] :]]
+            at = int(total.argmax())
+            if total[at] > best[c]:
+                best[c], choice[c] = total[at], lengths[fits[c] + at]
+    return best, choice
+
+
+def _filled(choice: np.ndarray, first: int, room: int) -> Config:
+    """The item ``first`` and the best that fits beside it."""
+    out = {first: 1}
+    while room > 0:
+        item = int(choice[room])
+        if item:
+            out[item] = out.get(item, 0) + 1
+            room -= item
         else:
-            c -= 1
+            room -= 1
     return out
 
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int, step: float, rate: float) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often each is used, by multiplicative weights.
-
-    A weight starts at its item's share of a bin (the price that the volume bound gives
-    it) and falls by ``exp(-rate)`` for each time its length is covered in full.  A small
-    rate keeps the prices near the volume, so that priced configurations stay full.
-    """
+def _priced(weights: np.ndarray, best: np.ndarray, choice: np.ndarray, urgent: np.ndarray, slack: float) -> Iterator[Config]:
+    """Configurations within ``slack`` of the best price that share no length, the most urgent length first."""
+    capacity = len(best) - 1
+    lengths = np.flatnonzero(weights)
+    lengths = lengths[np.argsort(-urgent[lengths], kind="stable")]
+    good = weights[lengths] + best[capacity - lengths] >= best[capacity] * (1 - slack)
+    done: set[int] = set()
+    for length in lengths[good].tolist():
+        if length not in done:
+            config = _filled(choice, length, capacity - length)
+            if done.isdisjoint(config):
+                done |= config.keys()
+                yield config
+
+
+def dual_prices(counts: np.ndarray, capacity: int, rounds: int = 150, rate: float = 2.0, step: float = 0.1, slack: float = 0.02) -> tuple[np.ndarray, float]:
+    """Averaged weights, scaled so that no configuration is worth more than one bin; and the
+    number of bins that they prove to be needed."""
     lengths = np.flatnonzero(counts)
-    if not len(lengths):
-        return []
-    weights = np.zeros(capacity + 1)
-    weights[lengths] = lengths / capacity
-    covered = np.zeros(capacity + 1)
-    used: dict[tuple, float] = {}
-    for _ in range(rounds):
-        config = price(weights, capacity)
-        at, times = np.array(list(config)), np.array(list(config.values()))
-        # So many bins that the scarcest length of the configuration is covered by one step.
-        bins = float((counts[at] / times).min()) * step
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + bins
-        covered[at] += bins * times / counts[at]
-        weights[at] = at / capacity * np.exp(-rate * covered[at])
-        if covered[lengths].min() >= 1:
+    ratio = lengths / capacity
+    weights, covered, total = np.zeros(capacity + 1), np.zeros(capacity + 1), np.zeros(capacity + 1)
+    found, least = np.zeros(capacity + 1), 0.0
+    for t in range(rounds):
+        weights[lengths] = ratio * np.exp(-rate * (covered[lengths] - covered[lengths].mean()))
+        best, choice = price(weights, capacity)
+        total += weights / best[capacity]
+        if t % 10 == 9:
+            scaled = total / price(total, capacity)[0][capacity]
+            bins = float(scaled @ counts)
+            if bins > least:
+                found, least = scaled, bins
+        for config in _priced(weights, best, choice, weights, slack):
+            at, times = np.array(list(config)), np.array(list(config.values()))
+            covered[at] += step * float((counts[at] / times).min()) * times / counts[at]
+    return found, least
+
+
+def _in_stock(config: Config, left: np.ndarray, capacity: int) -> Config:
+    """The configuration as far as the items last, its room filled with the longest that fit."""
+    out = {a: n for a, k in config.items() if (n := min(k, int(left[a])))}
+    room = capacity - sum(a * k for a, k in out.items())
+    if out == config or not out:
+        return out
+    while room:
+        fits = np.flatnonzero(left[1 : room + 1])[::-1] + 1
+        item = next((a for a in fits.tolist() if out.get(a, 0) < left[a]), None)
+        if item is None:
             break
-    share = max(1.0, covered[lengths].max())
-    return [(dict(k), x / share) for k, x in used.items()]
-
-
-def fullest(left: np.ndarray, capacity: int) -> dict[int, int]:
-    """A configuration of what is left: the longest item, then what fills the bin best."""
-    top = int(np.flatnonzero(left)[-1])
-    out, room = {top: 1}, capacity - top
-    stock = left.copy()
-    stock[top] -= 1
-    # Exact fit by few items first, then the longest that fits.
-    while room > 0 and stock[1 : room + 1].any():
-        pick = None
-        if stock[room]:
-            pick = room
-        else:
-            a = np.flatnonzero(stock[1:room]) + 1
-            pair = a[(stock[room - a] > 0) & ((room - a != a) | (stock[a] > 1))]
-            pick = int(pair[-1]) if len(pair) else int(a[-1]) if len(a) else None
-        if pick is None:
-            break
-        out[pick] = out.get(pick, 0) + 1
-        stock[pick] -= 1
-        room -= pick
+        out[item] = out.get(item, 0) + 1
+        room -= item
     return out
 
 
-def plan(counts: np.ndarray, capacity: int, rounds: int = 500, step: float = 0.5, rate: float = 0.03, phases: int = 5) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations that together use each length exactly ``counts[length]`` times.
+def rounded(counts: np.ndarray, capacity: int, base: np.ndarray, rate: float, slack: float, rest: float, rounds: int = 400) -> tuple[list[tuple[Config, int]], np.ndarray]:
+    """Whole bins from priced configurations until ``rest`` of all tokens is left, and what is left.
 
-    Each phase solves the program for what is left and keeps the whole multiples of its
-    configurations that waste almost nothing; phases end when one places less than a
-    tenth of what it was given.
+    The weights are ``base`` times a factor that falls as a length is used up.
     """
-    left = counts.astype(np.int64).copy()
-    out: list[tuple[dict[int, int], int]] = []
-
-    def take(config: dict[int, int], most: int) -> None:
-        times = min(most, *(int(left[length]) // n for length, n in config.items()))
-        if times > 0:
-            for length, n in config.items():
-                left[length] -= times * n
+    left, size = counts.astype(np.int64).copy(), np.arange(capacity + 1)
+    tokens = int(left @ size)
+    out: list[tuple[Config, int]] = []
+    weights, urgent = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    step = 0.1
+    for _ in range(rounds):
+        before = int(left @ size)
+        if before <= rest * tokens:
+            break
+        lengths = np.flatnonzero(left)
+        used = 1 - left[lengths] / counts[lengths]
+        # A trace of the volume fills what room the prices leave.
+        volume = lengths / capacity
+        weights[:] = 0
+        weights[lengths] = np.maximum(base[lengths], 1e-6 * volume) * np.exp(-rate * (used - used.min())) + 1e-4 * volume
+        urgent[lengths] = weights[lengths] / lengths
+        for config in _priced(weights, *price(weights, capacity), urgent, slack):
+            config = _in_stock(config, left, capacity)
+            if not config:
+                continue
+            most = min(int(left[a]) // k for a, k in config.items())
+            times = min(most, max(1, int(step * min(counts[a] / k for a, k in config.items()))))
+            for a, k in config.items():
+                left[a] -= k * times
             out.append((config, times))
+        placed = before - int(left @ size)
+        if not placed:
+            slack = 2 * slack + 0.01
+        elif placed * 200 < tokens:
+            step = min(1.0, step * 1.5)
+    return out, left
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
+    """Best-fit decreasing on a histogram: each item goes to the fullest bin with room, bins alike at once."""
+    rooms: dict[int, list[tuple[Config, int]]] = {}
+
+    def put(room: int, config: Config, times: int) -> None:
+        if times:
+            rooms.setdefault(room, []).append((config, times))
+
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[length])
+        while left:
+            room = min((r for r in rooms if r >= length), default=None)
+            if room is None:
+                each = capacity // length
+                put(capacity - each * length, {length: each}, left // each)
+                if left % each:
+                    put(capacity - left % each * length, {length: left % each}, 1)
+                break
+            config, times = rooms[room].pop()
+            if not rooms[room]:
+                del rooms[room]
+            each = room // length
+            full = min(times, left // each)
+            put(room - each * length, config | {length: each}, full)
+            times, left = times - full, left - full * each
+            if times and left:  # fewer items than the next of these bins takes
+                put(room - left * length, config | {length: left}, 1)
+                times, left = times - 1, 0
+            put(room, config, times)
+    return [x for group in rooms.values() for x in group]
+
+
+def _opened(taken: list[tuple[Config, int]], left: np.ndarray, capacity: int, share: float) -> tuple[list[tuple[Config, int]], np.ndarray]:
+    """The plan without the ``share`` of its bins that have most room, and all items that are loose then."""
+    loose, kept = left.copy(), []
+    bins = int(share * sum(times for _, times in taken))
+    for config, times in sorted(taken, key=lambda x: sum(a * k for a, k in x[0].items())):
+        out = min(bins, times)
+        bins -= out
+        for a, k in config.items():
+            loose[a] += k * out
+        if times > out:
+            kept.append((config, times - out))
+    return kept, loose
+
+
+def plan(counts: np.ndarray, capacity: int, rest: float = 0.05) -> list[tuple[Config, int]]:
+    """Whole configurations that together use each length exactly ``counts[length]`` times.
 
-    for _ in range(phases):
-        before = int(left.sum())
-        for config, x in sorted(fractional(left, capacity, rounds, step, rate), key=lambda c: -c[1]):
-            if sum(length * n for length, n in config.items()) * 500 >= capacity * 499:
-                take(config, int(x))
-        if (before - int(left.sum())) * 10 < before or not left.any():
-            break
-    while left.any():
-        take(fullest(left, capacity), int(left.sum()))
-    return out
+    The program is rounded from its dual prices and from the volume's (a lower bound that
+    is better where many items are short); the result with the fewer bins counts.
+    """
+    if not counts.any():
+        return []
+    volume = np.arange(capacity + 1) / capacity * (counts > 0)
+    found, best = None, 0
+    for base in (dual_prices(counts, capacity)[0], volume):
+        taken, left = rounded(counts, capacity, base, 1.0, 0.01, rest)
+        for share in OPENED:
+            kept, again = _opened(taken, left, capacity, share)
+            out = kept + best_fit(again, capacity)
+            bins = sum(times for _, times in out)
+            if found is None or bins < best:
+                found, best = out, bins
+    return found

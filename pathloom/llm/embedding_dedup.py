@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.blocks import fresh
 from pathloom.plans.components import connected_components
 from pathloom.plans.scratch import materialize
 
@@ -189,12 +190,13 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     names = ("n_links", "component_id", "kept")
     carried = [c for c in vectors.columns if c.lower() not in names]
+    ok, vec, k1, k2 = fresh(carried, "ok", "v", "k1", "k2")
     v = F.col(vector_col).cast("array<double>")
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    marked = vectors.select(*carried).withColumn("_ok", fine).withColumn("_v", F.when(F.col("_ok"), v))
+    marked = vectors.select(*carried).withColumn(ok, fine).withColumn(vec, F.when(F.col(ok), v))
     # Equal arrays have equal keys; two hashes keep unequal ones apart.
-    marked = marked.withColumn("_k1", F.xxhash64("_v")).withColumn("_k2", F.xxhash64(F.lit(1), "_v"))
-    classes = marked.where("_ok").groupBy("_k1", "_k2").agg(F.first("_v").alias("v"), F.count(F.lit(1)).alias("size"), F.min(id_col).alias("least"))
+    marked = marked.withColumn(k1, F.xxhash64(vec)).withColumn(k2, F.xxhash64(F.lit(1), vec))
+    classes = marked.where(F.col(ok)).groupBy(F.col(k1).alias("_k1"), F.col(k2).alias("_k2")).agg(F.first(vec).alias("v"), F.count(F.lit(1)).alias("size"), F.min(id_col).alias("least"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     dims = [r[0] for r in classes.select(F.size("v")).distinct().collect()]
     found = None
@@ -209,8 +211,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     per_class = materialize(per_class.withColumn("component", F.coalesce("component", "cid")), "vector-groups")
     smallest = per_class.groupBy("component").agg(F.min("least").alias("_least"))
     labels = per_class.join(smallest, "component").select(
-        F.col("_k1").alias("_j1"), F.col("_k2").alias("_j2"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.col("_least").alias("_component")
+        "_k1", "_k2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.col("_least").alias("_component")
     )
-    out = marked.join(labels, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")) & F.col("_ok"), "left")
-    component = F.when(F.col("_ok"), F.col("_component")).otherwise(F.col(id_col))
-    return out.select(*carried, F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
+    out = marked.join(labels, (marked[k1] == labels["_k1"]) & (marked[k2] == labels["_k2"]) & marked[ok], "left")
+    component = F.when(marked[ok], labels["_component"]).otherwise(marked[id_col])
+    return out.select(*[marked[c] for c in carried], F.coalesce(labels["_links"], F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), marked[id_col].eqNullSafe(component).alias("kept"))

@@ -13,6 +13,7 @@ from math import ceil, floor, sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.llm.blocks import fresh
 from pathloom.plans.scratch import materialize
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,42 +32,44 @@ def line_dedup(docs: DataFrame, text_col: str = "text", site_col: str = "source"
     Repeated rows with one id are one document.  An empty table gives an empty table.
     """
     kept_cols = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    base = materialize(docs.select(*kept_cols, F.monotonically_increasing_id().alias("_row")), "lines-docs")
+    row = fresh(kept_cols, "row")[0]
+    base = materialize(docs.select(*kept_cols, F.monotonically_increasing_id().alias(row)), "lines-docs")
     lines = (
-        base.select("_row", F.col(id_col).alias("_id"), F.col(site_col).alias("_site"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_line"))
-        .select("_row", "_id", "_site", "_pos", F.btrim("_line", F.lit(SPACES)).alias("_line"))
-        .where("_line <> ''")
+        base.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+        .select("row", "id", "site", "pos", F.btrim("line", F.lit(SPACES)).alias("line"))
+        .where("line <> ''")
         # Two 64-bit hashes: at 10**12 lines one of them alone would meet another by chance.
-        .select("_row", "_id", "_site", "_pos", F.xxhash64("_line").alias("_h"), F.xxhash64(F.lit(1), "_line").alias("_g"))
+        .select("row", "id", "site", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     )
     error = 3 * 1.04 / sqrt(1 << lg_k)
     low, high = floor(min_sites * (1 - error)), ceil(min_sites * (1 + error))
     # A line without any site has no sketch entry and an estimate of zero.
     spread = materialize(
-        lines.groupBy("_h", "_g")
-        .agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.col("_site").cast("string"), lg_k)).alias("_sites"), F.min("_id").alias("_home"))
-        .where(F.col("_sites") >= low),
+        lines.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.min("id").alias("home")).where(F.col("sites") >= low),
         "lines-spread",
     )
-    near = spread.where(F.col("_sites") <= high)
-    exact = lines.select("_h", "_g", "_site").join(near.select("_h", "_g"), ["_h", "_g"], "left_semi").groupBy("_h", "_g", "_site").agg(F.lit(1).alias("_one"))
-    exact = exact.groupBy("_h", "_g").agg(F.count("_site").alias("_n")).where(F.col("_n") >= min_sites)
-    wide = spread.where(F.col("_sites") > high).select("_h", "_g", "_home").union(near.join(exact, ["_h", "_g"], "left_semi").select("_h", "_g", "_home"))
+    near = spread.where(F.col("sites") <= high)
+    exact = lines.select("h", "g", "site").join(near.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g", "site").agg(F.lit(1).alias("one"))
+    exact = exact.groupBy("h", "g").agg(F.count("site").alias("n")).where(F.col("n") >= min_sites)
+    wide = spread.where(F.col("sites") > high).select("h", "g", "home").union(near.join(exact, ["h", "g"], "left_semi").select("h", "g", "home"))
+    # The rows of a line that stands on a third of all pages are split among tasks: broadcast
+    # where the wide lines are few, by the adaptive skew join (no row is aggregated there) else.
     gone = (
-        lines.join(wide, ["_h", "_g"])
-        .where(~F.col("_id").eqNullSafe(F.col("_home")) & F.col("_home").isNotNull())
-        .groupBy("_row")
-        .agg(F.collect_list("_pos").alias("_gone"))
+        lines.join(wide, ["h", "g"])
+        .where(~F.col("id").eqNullSafe(F.col("home")) & F.col("home").isNotNull())
+        .groupBy("row")
+        .agg(F.collect_list("pos").alias("gone"))
     )
-    split = F.split(text_col, "\n")
-    solid = F.filter(split, lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_gone")
-    out = base.join(gone, "_row", "left").withColumn("_split", split)
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda p: F.get("_split", p)), "\n"))
+    held = base.select(F.col(row).alias("row"), F.struct(*[F.col(c) for c in kept_cols]).alias("doc"))
+    old = F.col("doc").getField(text_col)
+    out = held.join(gone, "row", "left").withColumn("split", F.split(old, "\n"))
+    solid = F.filter("split", lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    left = F.array_except(F.sequence(F.lit(0), F.size("split") - 1), "gone")
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.transform(left, lambda p: F.get("split", p)), "\n"))
     return out.select(
-        *[(text if c == text_col else F.col(c)).alias(c) for c in kept_cols],
+        *[(text if c == text_col else F.col("doc").getField(c)).alias(c) for c in kept_cols],
         F.coalesce(F.size(solid), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

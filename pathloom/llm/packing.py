@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.llm import config_lp
-from pathloom.llm.blocks import lean, put_columns, slices, with_columns
+from pathloom.llm.blocks import fresh, lean, put_columns, slices, with_columns
 from pathloom.llm.tokens import byte_bpe
 from pathloom.plans.scratch import materialize
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, text_col: str = "text", numbers: tuple[str, str] = ("_task", "_nth")) -> DataFrame:
     """A row for each piece: the columns of ``docs`` but the text, ``piece``, ``start``, ``length``, ``ids``;
-    and ``_task`` and ``_nth``, the piece's number among those of its length in its task.
+    and in the columns ``numbers`` its task and the piece's number there among those of its length.
 
     ``ids`` are the piece's token ids as little-endian unsigned 32-bit bytes; ``end_id``
     closes each document.  Only documents of more than ``capacity`` tokens are cut, into
@@ -35,7 +35,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     piece that holds the end alone.
     """
     kept = docs.drop(text_col)
-    schema = with_columns(kept.schema, "piece int, start long, length long, ids binary, _task int, _nth long")
+    schema = with_columns(kept.schema, "piece int, start long, length long, ids binary, `{numbers[0]}` int, `{numbers[1]}` long".format(numbers=numbers))
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,54 +54,57 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
                     start.append(a)
                     length.append(z - a)
                     ids.append(raw[4 * a : 4 * z])
-            new = _numbers(task, seen, length)
+            new = _numbers(task, seen, length, numbers)
             new |= {"piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": pa.array(ids, pa.binary())}
             yield put_columns(batch.take(pa.array(rows, pa.int64())), schema, new)
 
     return docs.mapInArrow(lean(run), schema)
 
 
-def _numbers(task: int, seen: dict[int, int], lengths: list[int]) -> dict[str, pa.Array]:
+def _numbers(task: int, seen: dict[int, int], lengths: list[int], names: tuple[str, str]) -> dict[str, pa.Array]:
     nth = []
     for n in lengths:
         nth.append(seen[n])
         seen[n] += 1
-    return {"_task": pa.array([task] * len(nth), pa.int32()), "_nth": pa.array(nth, pa.int64())}
+    return {names[0]: pa.array([task] * len(nth), pa.int32()), names[1]: pa.array(nth, pa.int64())}
 
 
-def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int, numbers: tuple[str, str] | None = None) -> DataFrame:
     """``pieces`` plus ``sequence_id`` and ``offset``: the fewest sequences that the program finds.
 
-    ``pieces`` has ``length`` from 1 to ``capacity``; its other columns are carried, and
-    columns named like a result replaced.  In every sequence the pieces follow each other
-    from offset 0 without gaps.  Repeated rows are separate pieces; none give none.
-    Numbers from :func:`token_pieces` are used where they are there, which saves a pass.
+    ``pieces`` has ``length`` from 1 to ``capacity``; its other columns are carried,
+    whatever their names, and columns named like a result replaced.  In every sequence
+    the pieces follow each other from offset 0 without gaps.  Repeated rows are separate
+    pieces; none give none.  ``numbers`` names the columns of :func:`token_pieces` with
+    the pieces' numbers, which saves a pass; they are not carried.
     """
-    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset", "_task", "_nth")]
-    numbers = [c for c in ("_task", "_nth") if c in pieces.columns]
-    pieces = pieces.select(*kept, *(numbers if len(numbers) == 2 else []))
-    numbered_schema = with_columns(pieces.schema, "_task int, _nth long")
+    known = numbers or ()
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset") and c not in known]
+    task_col, nth_col = numbers or fresh(kept, "task", "nth")
+    before_col = fresh([*kept, task_col, nth_col], "before")[0]
+    pieces = pieces.select(*kept, *known)
+    numbered_schema = with_columns(pieces.schema, f"`{task_col}` int, `{nth_col}` long")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            yield put_columns(batch, numbered_schema, _numbers(task, seen, batch.column(batch.schema.get_field_index("length")).to_pylist()))
+            yield put_columns(batch, numbered_schema, _numbers(task, seen, batch.column(batch.schema.get_field_index("length")).to_pylist(), (task_col, nth_col)))
 
-    numbered = materialize(pieces if len(numbers) == 2 else pieces.mapInArrow(lean(number), numbered_schema), "pieces")
-    by_task = materialize(numbered.groupBy("_task", "length").count(), "piece-counts")
+    numbered = materialize(pieces if numbers else pieces.mapInArrow(lean(number), numbered_schema), "pieces")
+    by_task = materialize(numbered.groupBy(task_col, "length").count(), "piece-counts")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in by_task.groupBy("length").agg(F.sum("count")).collect():  # at most `capacity` rows
         counts[length] = n
     slots = _slots(config_lp.plan(counts, capacity))
-    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_task.select("_task", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    joined = numbered.join(offsets, ["_task", "length"]).withColumn("_nth", F.col("_nth") + F.col("_before")).select(*kept, "_nth")
+    before = Window.partitionBy("length").orderBy(task_col).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = by_task.select(task_col, "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias(before_col))
+    joined = numbered.join(offsets, [task_col, "length"]).withColumn(nth_col, F.col(nth_col) + F.col(before_col)).select(*kept, nth_col)
     schema = with_columns(pieces.select(*kept).schema, "sequence_id long, offset long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column(batch.schema.get_field_index("length")).to_numpy()
-            nth = batch.column(batch.schema.get_field_index("_nth")).to_numpy()
+            nth = batch.column(batch.schema.get_field_index(nth_col)).to_numpy()
             sequence, offset = np.empty(len(nth), dtype=np.int64), np.empty(len(nth), dtype=np.int64)
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
@@ -133,4 +136,5 @@ def _slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their token ids and places in sequences of ``capacity`` tokens."""
-    return place_pieces(token_pieces(docs, tokenizer_path, end_id, capacity, text_col), capacity)
+    numbers = tuple(fresh(docs.columns, "task", "nth"))
+    return place_pieces(token_pieces(docs, tokenizer_path, end_id, capacity, text_col, numbers), capacity, numbers)

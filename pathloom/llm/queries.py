@@ -51,7 +51,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "_task", "_nth")
-    return packing.place_pieces(digests, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.place_pieces(digests, 1024, numbers=("_task", "_nth")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.blocks import lean, put_columns, with_columns
+from pathloom.llm.blocks import fresh, lean, put_columns, with_columns
 from pathloom.llm.hashing import text_buffer
 from pathloom.plans.components import connected_components
 from pathloom.plans.scratch import materialize
@@ -134,10 +134,11 @@ def simhash_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     An empty table gives an empty table; input columns named like a result are replaced.
     """
     kept = [c for c in docs.columns if c.lower() not in ("fingerprint", "component_id")]
-    marked = materialize(with_fingerprint(docs.select(*kept), text_col, shingle), "simhash-docs")
-    labels = component_labels(marked, id_col, distance)
-    out = marked.join(labels, marked["_fp"] == labels["_lfp"])
-    return out.select(*[marked[c] for c in kept], F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fp = fresh(kept, "fp")[0]
+    marked = materialize(with_fingerprint(docs.select(*kept), text_col, shingle, fp), "simhash-docs")
+    labels = component_labels(marked.select(F.col(id_col), F.col(fp).alias("_fp")), id_col, distance)
+    out = marked.join(labels.select("_lfp", F.col("component_id").alias("_lid")), marked[fp] == labels["_lfp"])
+    return out.select(*[marked[c] for c in kept], F.lower(F.lpad(F.hex(marked[fp]), 16, "0")).alias("fingerprint"), F.col("_lid").alias("component_id"))
 
 
 def component_labels(marked: DataFrame, id_col: str, distance: int) -> DataFrame:
@@ -153,8 +154,9 @@ def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     A null id comes after all others; of repeated rows one stays, whichever.
     """
-    marked = materialize(with_fingerprint(docs, text_col, shingle).withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    labels = component_labels(marked, id_col, distance)
-    narrow = marked.select("_row", "_fp", F.col(id_col).alias("_id")).join(labels, F.col("_fp") == F.col("_lfp"))
-    stay = narrow.groupBy("grp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
-    return marked.join(stay, "_row", "left_semi").select(*docs.columns)
+    fp, row = fresh(docs.columns, "fp", "row")
+    marked = materialize(with_fingerprint(docs, text_col, shingle, fp).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    narrow = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("_fp"), F.col(row).alias("row"))
+    labels = component_labels(narrow, "id", distance)
+    stay = narrow.join(labels, F.col("_fp") == F.col("_lfp")).groupBy("grp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("m")).select(F.col("m.row").alias(row))
+    return marked.join(stay, row, "left_semi").select(*docs.columns)

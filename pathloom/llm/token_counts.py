@@ -2,23 +2,27 @@
 
 Totals by source, language and tokenizer version are never recounted: each batch of
 changes becomes signed deltas (an insert adds, a delete takes away, a revised count does
-both), aggregated before they are stored.  A batch is staged and then renamed to its
-name, so it is committed whole or not at all, and committing it again changes nothing.
-Totals are sums over the committed batches, which may be folded into one.
+both), aggregated before they are stored.  A batch is staged under a name of its own and
+then renamed to its place, which fails if there is something: so it is committed whole
+or not at all, by one of two writers, and committing it again changes nothing.  (On a
+store whose rename is not atomic, only one writer may commit at a time.)  Totals are
+sums over the committed batches; a fold replaces all those it has seen.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.llm.blocks import lean, put_columns, slices, with_columns
 from pathloom.llm.hashing import text_buffer
 from pathloom.llm.tokens import byte_bpe
-from pathloom.plans.scratch import materialize, new_path
+from pathloom.plans.scratch import drop, materialize, new_path
 
 KEYS = ["source", "lang", "version"]
 WORDS = "words"
@@ -79,49 +83,109 @@ class TokenRollup:
     def _path(self, name: str):
         return self._hadoop.Path(f"{self.path}/{name}")
 
-    def committed(self) -> list[str]:
-        """Names of the committed batches."""
+    def _names(self, kind: str) -> list[str]:
         if not self._fs.exists(self._hadoop.Path(self.path)):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._hadoop.Path(self.path))]
-        return sorted(n.removeprefix("batch-") for n in names if n.startswith("batch-"))
+        return sorted(n.removeprefix(f"{kind}-") for n in names if n.startswith(f"{kind}-"))
+
+    def _folded(self) -> tuple[str | None, set[str]]:
+        """The last fold and the batches in it (a name for each batch, as many as were ever committed)."""
+        folds = self._names("fold")
+        if not folds:
+            return None, set()
+        at = f"{self.path}/fold-{folds[-1]}"
+        return f"{at}/sums", {r.name for r in self.spark.read.schema("name string").parquet(f"{at}/names").collect()}
+
+    def committed(self) -> list[str]:
+        """Names of the committed batches, folded ones included."""
+        return sorted({*self._names("batch"), *self._folded()[1]})
+
+    def _put(self, staged: str, name: str) -> bool:
+        """Rename a staged folder; False, and the folder is gone, if something has the name."""
+        jvm, target = self.spark._jvm, self._path(name)
+        context = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(self._fs.makeQualified(self._path(staged)), self._fs.makeQualified(target), none)
+        except Py4JJavaError:
+            if not self._fs.exists(target):
+                raise
+            self._fs.delete(self._path(staged), True)
+            return False
+        return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch once; False if it was there already."""
-        target = self._path(f"batch-{batch}")
-        if self._fs.exists(target):
+        """Apply a batch once; False if it was there already, or another writer was first."""
+        if batch in self.committed():
             return False
-        staged = f"staging-{batch}-{id(changes)}"
-        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/{staged}")
-        if self._fs.exists(target) or not self._fs.rename(self._path(staged), target):
-            self._fs.delete(self._path(staged), True)
+        staged = f"staging-{uuid.uuid4().hex}"
+        deltas(changes).write.parquet(f"{self.path}/{staged}")
+        return self._put(staged, f"batch-{batch}")
+
+    def fold(self) -> bool:
+        """Add all committed batches up into one table; False if another fold came first.
+
+        Batches committed meanwhile are not in it and still count.  What was folded stays
+        until the next fold, for readers that have begun.
+        """
+        last, old = self._folded()
+        batches = [n for n in self._names("batch") if n not in old]
+        folds = self._names("fold")
+        if not batches:
+            return False
+        staged = f"staging-{uuid.uuid4().hex}"
+        self._sums(last, batches).write.parquet(f"{self.path}/{staged}/sums")
+        self.spark.createDataFrame([(n,) for n in sorted({*old, *batches})], "name string").coalesce(1).write.parquet(f"{self.path}/{staged}/names")
+        if not self._put(staged, f"fold-{int(folds[-1]) + 1 if folds else 1:012d}"):
             return False
+        for name in folds[:-1]:
+            self._fs.delete(self._path(f"fold-{name}"), True)
+        for name in old:
+            self._fs.delete(self._path(f"batch-{name}"), True)
         return True
 
+    def _sums(self, fold: str | None, batches: list[str]) -> DataFrame:
+        paths = [*([fold] if fold else []), *[f"{self.path}/batch-{n}" for n in batches]]
+        if not paths:
+            return self.spark.createDataFrame([], STORED)
+        rows = self.spark.read.schema(STORED).parquet(*paths)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
     def totals(self) -> DataFrame:
         """``source, lang, version, n_docs, n_tokens``; keys whose documents are all gone are left out."""
-        names = self.committed()
-        if not names:
-            return self.spark.createDataFrame([], STORED)
-        rows = self.spark.read.schema(STORED).parquet(*[f"{self.path}/batch-{n}" for n in names])
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
+        batches = self._names("batch")  # before the fold is read: a batch it has is not counted twice
+        fold, folded = self._folded()
+        return self._sums(fold, [n for n in batches if n not in folded]).where("n_docs <> 0 OR n_tokens <> 0")
 
 
 def rollup_documents(docs: DataFrame, tokenizers: dict[str, str], path: str | None = None) -> DataFrame:
     """Totals of a corpus that arrives in batches: estimates first, then revised by real counts.
 
     The first batch inserts each document with a quarter of its bytes as the estimate of
-    a tokenizer's count, the second revises it; the first is then delivered once more,
-    as a restarted feed would, and has no effect.
+    a tokenizer's count, under the name of the crawl that brought it; the second revises
+    count and source; a third brings all documents once more, and a fourth deletes those.
+    The first is then delivered again, as a restarted feed would, and has no effect, and
+    the batches are folded.
     """
     spark = docs.sparkSession
     counts = materialize(count_tokens(docs, tokenizers), "token-counts")
     estimate = F.floor(F.col("n_bytes") / 4).cast("long")
-    none = [F.lit(None).cast("string").alias(f"old_{k}") for k in KEYS]
-    insert = counts.select(F.lit("insert").alias("op"), *KEYS, estimate.alias("tokens"), *none, F.lit(None).cast("long").alias("old_tokens"))
-    revise = counts.select(F.lit("revise").alias("op"), *KEYS, "tokens", *[F.col(k).alias(f"old_{k}") for k in KEYS], estimate.alias("old_tokens"))
+    crawl = F.concat(F.lit("crawl of "), F.coalesce("source", F.lit("")))
+    first = [crawl.alias("source"), "lang", "version", estimate.alias("tokens")]
+    new, old = [*KEYS, "tokens"], ["old_source", "old_lang", "old_version", "old_tokens"]
+    nothing = [F.lit(None).cast("string").alias(c) for c in old[:3]] + [F.lit(None).cast("long").alias(old[3])]
+    as_ = lambda frame, names: frame.toDF(*names)
+    insert = as_(counts.select(F.lit("insert"), *first, *nothing), ["op", *new, *old])
+    revise = as_(counts.select(F.lit("revise"), *new, *first), ["op", *new, *old])
+    again = as_(counts.select(F.lit("insert"), *new, *nothing), ["op", *new, *old])
+    delete = as_(counts.select(F.lit("delete"), *nothing, *new), ["op", *new, *old])
     rollup = TokenRollup(spark, path or new_path(spark, "token-rollup"))
     rollup.commit("000001-insert", insert)
     rollup.commit("000002-revise", revise)
+    rollup.commit("000003-again", again)
+    rollup.commit("000004-delete", delete)
     rollup.commit("000001-insert", insert)
+    rollup.fold()
+    drop(counts)
     return rollup.totals()

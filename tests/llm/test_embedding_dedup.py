@@ -53,3 +53,11 @@ def test_odd_vectors(spark):
         assert rows[i] == (4, 6, i == 6)
     assert rows[None] == (4, 6, False)
     assert embedding_links(df.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = [(i, [1.0, float(i // 2)], f"a{i}", f"b{i}", f"c{i}", f"d{i}", f"e{i}") for i in range(4)]
+    names = ["_ok", "_v", "_k1", "_links", "_component"]
+    out = {r.vec_id: r for r in embedding_links(spark.createDataFrame(rows, ["vec_id", "embedding", *names])).collect()}
+    assert [out[i].component_id for i in range(4)] == [0, 0, 2, 2] and {r.n_links for r in out.values()} == {1}
+    assert all([out[i][c] for c in names] == list(rows[i][2:]) for i in range(4))

@@ -73,3 +73,12 @@ def test_line_dedup(spark):
         got = sorted(map(str, ((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup(df, min_sites=least).collect())))
         assert got == sorted(map(str, plain_lines(rows, least)))
     assert line_dedup(df.limit(0)).count() == 0
+
+
+def test_lines_with_clashing_names(spark):
+    names = ["_row", "row", "gone", "split", "doc", "h", "_gone", "_split"]
+    rows = [(i, "same line here\nown line %d" % i, f"s{i}", *[f"{c}{i}" for c in names]) for i in range(6)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    out = {r.doc_id: r for r in line_dedup(df).collect()}
+    assert [out[i].text for i in range(6)] == [rows[0][1]] + [f"own line {i}" for i in range(1, 6)]
+    assert all(out[i][c] == f"{c}{i}" for i in range(6) for c in names)

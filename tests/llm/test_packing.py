@@ -1,5 +1,6 @@
 import random
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 
 import numpy as np
@@ -51,7 +52,7 @@ def test_plan_near_the_fewest(seed):
     capacity = 20
     lengths = [rng.randint(1, 20) for _ in range(11)]
     counts = np.bincount(lengths, minlength=capacity + 1)
-    plan = config_lp.plan(counts, capacity, rounds=100)
+    plan = config_lp.plan(counts, capacity)
     used = np.zeros(capacity + 1, dtype=int)
     for config, times in plan:
         assert sum(k * n for k, n in config.items()) <= capacity
@@ -68,6 +69,41 @@ def test_plan_at_scale_is_near_the_bound():
     assert bins <= 1.02 * (counts * np.arange(1025)).sum() / 1024
 
 
+def best_fit_bins(lengths, capacity):
+    """Best-fit decreasing, one item after the other."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        insort(rooms, room - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("low, high", [(200, 1024), (340, 600), (1, 1024), (20, 300)])
+def test_plan_against_best_fit(low, high):
+    """Every item is placed once; bins are close to best-fit decreasing's, and most come from the program."""
+    lengths = np.random.default_rng(low).integers(low, high + 1, 6000)
+    counts = np.bincount(lengths, minlength=1025)
+    plan = config_lp.plan(counts, 1024)
+    used = np.zeros(1025, dtype=int)
+    for config, times in plan:
+        assert sum(k * n for k, n in config.items()) <= 1024 and times > 0
+        for k, n in config.items():
+            used[k] += n * times
+    assert (used == counts).all()
+    plain = best_fit_bins(lengths.tolist(), 1024)
+    assert sum(t for _, t in config_lp.best_fit(counts, 1024)) == plain
+    assert sum(t for _, t in plan) <= 1.01 * plain + 1
+    taken, left = config_lp.rounded(counts, 1024, config_lp.dual_prices(counts, 1024)[0], 1.0, 0.01, 0.05)
+    assert left @ np.arange(1025) <= 0.06 * lengths.sum()
+
+
+def test_dual_prices_bound_the_program():
+    counts = np.bincount([600] * 10 + [400] * 10 + [300] * 5, minlength=1025)
+    prices, bins = config_lp.dual_prices(counts, 1024)
+    assert 8 < bins <= 12 and config_lp.price(prices, 1024)[0][1024] <= 1 + 1e-9
+
+
 def test_documents(spark):
     rng = random.Random(3)
     texts = [None, "", "a <|endoftext|> b"] + [" ".join(rng.choice(["alpha", "Beta,", "été", "\n", "x  y"]) for _ in range(rng.choice([1, 20, 300, 3000]))) for _ in range(60)]
@@ -92,5 +128,5 @@ def test_documents(spark):
         assert sum(r.length for r in own) <= 256
     assert len(by_sequence) <= 1 + 1.02 * sum(r.length for r in rows) / 256
     assert pack_documents(df.limit(0), PATH).count() == 0
-    again = place_pieces(df.selectExpr("doc_id AS k", "1 + doc_id % 9 AS length", "'x' AS _task"), 16).collect()
-    assert sorted(r.k for r in again) == list(range(len(texts))) and again[0].asDict().keys() == {"k", "length", "sequence_id", "offset"}
+    again = place_pieces(df.selectExpr("doc_id AS k", "1 + doc_id % 9 AS length", "'x' AS _task", "0 AS _nth", "1 AS sequence_id"), 16).collect()
+    assert sorted(r.k for r in again) == list(range(len(texts))) and {r._task for r in again} == {"x"} and len({(r.sequence_id, r.offset) for r in again}) == len(again)

@@ -4,7 +4,7 @@ import re
 import pytest
 import xxhash
 
-from pathloom.llm.simhash import group_fingerprints, segments, simhash_components
+from pathloom.llm.simhash import group_fingerprints, segments, simhash_components, simhash_dedup
 
 
 def plain_fingerprint(text, k):
@@ -80,3 +80,11 @@ def test_documents_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e", "x", "y", "z"), (2, "A b c d e", "u", "v", "w")]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "_fp", "_row", "_lfp"])
+    got = sorted(simhash_components(df).collect())
+    assert [tuple(r[:5]) for r in got] == rows and {r.component_id for r in got} == {1}
+    assert [tuple(r) for r in simhash_dedup(df).collect()] == rows[:1]

@@ -59,3 +59,31 @@ def test_documents(spark):
     got = {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in rollup_documents(df, {"words": "", "bpe": PATH}).collect()}
     assert got == want
     assert rollup_documents(df.limit(0), {"words": ""}).count() == 0
+
+
+def test_two_writers_and_folds(spark, tmp_path):
+    change = lambda *rows: spark.createDataFrame([(op, "s", "en", "v", n, "s", "en", "v", o) for op, n, o in rows], "op string, source string, lang string, version string, tokens long, old_source string, old_lang string, old_version string, old_tokens long")
+    one, two = (TokenRollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    held = lambda: [(r.n_docs, r.n_tokens) for r in one.totals().collect()]
+    assert held() == [] and not one.fold()
+    real = TokenRollup._put
+
+    def late(self, staged, name):
+        """The other writer commits between staging and renaming."""
+        TokenRollup._put = real
+        assert two.commit("a", change(("insert", 5, None)))
+        return real(self, staged, name)
+
+    TokenRollup._put = late
+    try:
+        assert not one.commit("a", change(("insert", 5, None)))
+    finally:
+        TokenRollup._put = real
+    assert held() == [(1, 5)] and one.committed() == ["a"]
+    assert one.commit("b", change(("insert", 7, None), ("revise", 4, 5))) and held() == [(2, 11)]
+    assert one.fold() and held() == [(2, 11)] and not two.fold()
+    assert not two.commit("a", change(("insert", 5, None))) and held() == [(2, 11)]
+    assert two.commit("c", change(("delete", None, 7))) and held() == [(1, 4)]
+    assert one.fold() and held() == [(1, 4)] and one.committed() == ["a", "b", "c"]
+    assert two.commit("d", change(("delete", None, 4))) and held() == []
+    assert not [x for x in (tmp_path / "r").iterdir() if x.name.startswith("staging")]
