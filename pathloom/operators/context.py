@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators.ranges import near_steps
 from pathloom.plans.graph import Graph
 from pathloom.plans.prefix import dense_index
 from pathloom.plans.scratch import materialize
@@ -19,7 +20,7 @@ def contexts(g: Graph, at: DataFrame, before: str = "before", after: str = "afte
     """
     cur = at.join(g.steps.select("path_id", "step_rank", F.col("pos").alias("cpos"), F.col("len").alias("clen")), ["path_id", "step_rank"])
     cur = cur.select("key", "path_id", F.col("step_rank").alias("crank"), "cpos", "clen", F.col(before).alias("b"), F.col(after).alias("a"))
-    near = cur.join(g.steps, "path_id")
+    near = near_steps(g.steps, cur, F.col("cpos") - F.col("b"), F.col("cpos") + F.col("clen") + F.col("a"))
     earlier = (F.col("step_rank") < F.col("crank")) & (F.col("cpos") - (F.col("pos") + F.col("len")) < F.col("b"))
     later = (F.col("step_rank") > F.col("crank")) & (F.col("pos") - (F.col("cpos") + F.col("clen")) < F.col("a"))
     near = near.where(earlier | later | (F.col("step_rank") == F.col("crank")))
@@ -148,7 +149,7 @@ def map_segments(g: Graph, queries: DataFrame, targets: DataFrame, best: int = 1
 
     def visits(segs: DataFrame, k: str) -> tuple[DataFrame, DataFrame]:
         ids = materialize(dense_index(segs.select("path_id", "start", "end"), ["path_id", "start"], f"{k}_seg"), f"segments-{k}")
-        hit = g.steps.join(ids.withColumnsRenamed({"start": "s", "end": "e"}), "path_id").where("s <= pos AND pos < e")
+        hit = near_steps(g.steps, ids.withColumnsRenamed({"start": "s", "end": "e"}), F.col("s"), F.col("e")).where("s <= pos AND pos < e")
         w = Window.partitionBy(f"{k}_seg", "node_id").orderBy("step_rank")
         return ids, hit.select(f"{k}_seg", "node_id", "len", F.col("is_rev").alias(f"{k}_rev"), F.row_number().over(w).alias("visit"))
 
@@ -159,7 +160,7 @@ def map_segments(g: Graph, queries: DataFrame, targets: DataFrame, best: int = 1
     span = lambda ids, k, n: ids.select(k, F.col("path_id").alias(f"{n}_id"), F.col("start").alias(f"{n}_start"), F.col("end").alias(f"{n}_end"))
     qs, ts = span(qi, "q_seg", "query"), span(ti, "t_seg", "target")
     own = Window.partitionBy("path_id", "node_id")
-    cover = g.steps.withColumn("visits", F.count(F.lit(1)).over(own)).join(qi.withColumnsRenamed({"start": "s", "end": "e"}), "path_id").where("s <= pos AND pos < e")
+    cover = near_steps(g.steps.withColumn("visits", F.count(F.lit(1)).over(own)), qi.withColumnsRenamed({"start": "s", "end": "e"}), F.col("s"), F.col("e")).where("s <= pos AND pos < e")
     cover = cover.groupBy("q_seg").agg((F.sum(F.col("visits") * F.col("len")) / F.sum("len")).alias("self_coverage"))
     hit = hit.join(qs, "q_seg").join(ts, "t_seg").join(cover, "q_seg")
     q_len, t_len = F.col("query_end") - F.col("query_start"), F.col("target_end") - F.col("target_start")

@@ -8,15 +8,31 @@ from pyspark.sql import functions as F
 from pathloom.plans.graph import Graph, by_step
 
 
+#: Base pairs of a path (as a power of two) that share a join key.
+STRETCH_BITS = 13
+
+
+def near_steps(steps: DataFrame, others: DataFrame, low: Column, high: Column) -> DataFrame:
+    """Each row of ``others`` with the steps of its path that may reach into ``low..high``, every such pair once.
+
+    Steps and rows are joined by the path and the stretches of 8192 bp that they touch, so
+    one long path is many keys, and a pair meets in the first stretch that both touch.
+    The caller still tests the interval.
+    """
+    stretch = lambda x: F.shiftright(x.cast("long"), STRETCH_BITS)
+    s = steps.withColumn("_first", stretch(F.col("pos"))).withColumn("_b", F.explode(F.sequence("_first", stretch(F.col("pos") + F.col("len")))))
+    o = others.withColumn("_from", stretch(low)).withColumn("_b", F.explode(F.sequence("_from", F.greatest("_from", stretch(high)))))
+    return s.join(o, ["path_id", "_b"]).where(F.col("_b") == F.greatest("_first", "_from")).drop("_b", "_first", "_from")
+
+
 def range_steps(steps: DataFrame, ranges: DataFrame, touching: bool = False) -> DataFrame:
     """Each range with the steps it overlaps: its columns, the step's, and ``overlap`` in bp.
 
-    The path is an equi-key, so the plan is a hash or merge join with the interval as its
-    residual.  ``touching`` also takes a step that ends where the range starts.
+    ``touching`` also takes a step that ends where the range starts.
     """
     r = ranges.withColumnsRenamed({c: f"{c}_r" for c in ("len", "pos") if c in ranges.columns})
     after = (F.col("pos") + F.col("len") >= F.col("start")) if touching else (F.col("pos") + F.col("len") > F.col("start"))
-    hit = steps.join(r, "path_id").where(after & (F.col("pos") < F.col("end")))
+    hit = near_steps(steps, r, F.col("start"), F.col("end") - 1).where(after & (F.col("pos") < F.col("end")))
     return hit.withColumn("overlap", F.greatest(F.lit(0), F.least(F.col("pos") + F.col("len"), F.col("end")) - F.greatest("pos", "start")))
 
 
@@ -61,7 +77,7 @@ def locate(g: Graph, positions: DataFrame) -> DataFrame:
     Offsets past the end have no row.
     """
     p = positions.withColumnRenamed("offset", "at")
-    return p.join(g.steps, "path_id").where("pos <= at AND at < pos + len").withColumn("node_offset", F.col("at") - F.col("pos")).drop("len", "pos", "step_rank").withColumnRenamed("at", "offset")
+    return near_steps(g.steps, p, F.col("at"), F.col("at")).where("pos <= at AND at < pos + len").withColumn("node_offset", F.col("at") - F.col("pos")).drop("len", "pos", "step_rank").withColumnRenamed("at", "offset")
 
 
 def depth_at(g: Graph, positions: DataFrame) -> DataFrame:
@@ -149,7 +165,7 @@ def annotate_nodes(g: Graph, features: DataFrame) -> DataFrame:
     A node is annotated by every feature whose closed interval meets the node's, labels
     in order and joined by ``;``; the colour is taken from their hash.
     """
-    hit = g.steps.join(features, "path_id").where("pos <= end AND pos + len >= start")
+    hit = near_steps(g.steps, features, F.col("start"), F.col("end")).where("pos <= end AND pos + len >= start")
     text = F.array_join(F.array_sort(F.collect_set("label")), ";")
     return hit.groupBy("node_id").agg(text.alias("annotation")).withColumn("color", color_of(F.col("annotation")))
 
