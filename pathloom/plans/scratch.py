@@ -2,7 +2,8 @@
 
 Writing a table cuts lineage and survives the loss of an executor, unlike cached
 blocks or local checkpoints.  The folder is the session's ``spark.checkpoint.dir``;
-only where that is unset (tests, a laptop) a temporary folder is made instead.
+only where that is unset and the master is local (tests, a laptop) a temporary folder is
+made instead.  On a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="pathloom-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
