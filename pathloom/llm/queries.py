@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bpe, embedding_dedup, html_extract, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from pathloom.llm import bpe, context_tree, embedding_dedup, html_extract, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 from pathloom.plans.scratch import materialize
 from pathloom.plans.session import ship_package
 
@@ -75,7 +75,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_substring_dedup, op5_token_counts, op6_best_fit_packing, op7_embedding_near_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules]
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    out = context_tree.score_documents(docs, held_out, depth=5)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
+_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_substring_dedup, op5_token_counts, op6_best_fit_packing, op7_embedding_near_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules, op11_lm_scoring]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
