@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import bpe, context_tree, embedding_dedup, html_extract, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from pathloom.llm import bpe, context_tree, embedding_dedup, html_extract, line_dedup, merkle, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 from pathloom.plans.scratch import materialize
 from pathloom.plans.session import ship_package
 
@@ -82,7 +82,15 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
 
 
-_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_substring_dedup, op5_token_counts, op6_best_fit_packing, op7_embedding_near_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules, op11_lm_scoring]
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claim = merkle.leaf_digest(*[changed if c == "text" else F.col(c) for c in columns])
+    return merkle.merkle_manifest(docs, columns, keep=["doc_id"], claim=claim)
+
+
+_OPERATORS = [op1_line_dedup, op2_simhash_near_dedup, op3_html_extraction, op4_substring_dedup, op5_token_counts, op6_best_fit_packing, op7_embedding_near_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules, op11_lm_scoring, op12_merkle_manifest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -90,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
