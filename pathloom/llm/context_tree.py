@@ -15,7 +15,8 @@ have no evidence; there the mix ends one depth above.
 that follows) occurs.  These strings are 64-bit keys, most recent context byte first:
 
 1. texts are packed into blocks; a block sends each different key once, with its count, to
-   the key's bucket (by hash, so that no context is hot), and buckets add up;
+   the key's bucket (by hash, so that no context is hot); buckets add up and remember which
+   of their keys each block has;
 2. the different keys of one pair of most recent bytes are a subtree, weighted from its
    leaves up to depth 2 in one task; the nodes of depth 1 and 0 (at most 256 x 255 and 255 of
    them, whatever the corpus) are sums over pairs;
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +43,7 @@ from pathloom.plans.scratch import materialize
 #: Bytes of text in a block; the longest text may exceed it.
 BLOCK_BYTES = 16 << 20
 #: Bytes of text sorted at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Keys of a subtree in one row.
 PIECE = 1 << 18
 #: Stands before the first and after the last byte of a text; UTF-8 never uses it.
@@ -203,18 +205,20 @@ class Chunk:
 
     def __init__(self, keys: np.ndarray, of: np.ndarray):
         order = np.argsort(keys, kind="stable")
-        keys, self.of = keys[order], of[order]
+        keys, self.of = keys[order], of[order].astype(np.uint32)
         first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=bool)
-        self.keys, self.nth = keys[first], np.cumsum(first) - 1
+        self.keys, self.nth = keys[first], (np.cumsum(first) - 1).astype(np.uint32)
 
     @classmethod
     def packed(cls, keys: np.ndarray, of: np.ndarray, bits: int) -> Chunk:
         """The same where key and text number fit one integer: one sort of plain numbers."""
         self = cls.__new__(cls)
-        both = np.sort(keys << np.uint64(bits) | of.astype(np.uint64))
-        keys, self.of = both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
-        first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=bool)
-        self.keys, self.nth = keys[first], np.cumsum(first) - 1
+        both = keys << np.uint64(bits) | of.astype(np.uint64)
+        both.sort()
+        self.of = (both & np.uint64((1 << bits) - 1)).astype(np.uint32)
+        both >>= np.uint64(bits)
+        first = np.concatenate(([True], both[1:] != both[:-1])) if len(both) else np.zeros(0, dtype=bool)
+        self.keys, self.nth = both[first], (np.cumsum(first) - 1).astype(np.uint32)
         return self
 
     def counts(self, weight: np.ndarray) -> np.ndarray:
@@ -275,14 +279,16 @@ def _numbers(cell: pa.Scalar, kind: type) -> np.ndarray:
 # --- Spark ---------------------------------------------------------------------------------
 
 _SENT = "kind int, bucket int, block_id long, keys binary, counts binary"
-_TOTALS = "kind int, bucket int, keys binary, counts binary, n_seen long, n_all long"
+#: Without a block: a bucket's keys and counts.  With one: which of them the block has.
+_ADDED = "kind int, bucket int, block_id long, keys binary, counts binary, n_seen long, n_all long"
 _PAIRED = "pair int, keys binary, counts binary"
 _WEIGHED = "pair int, node int, zeros long, ones long, lw double, keys binary, mixed binary"
 _VALUES = "kind int, bucket int, keys binary, held binary"
+_ANSWER = "block_id long, kind int, keys binary, held binary"
 
 
-def _send(packed: DataFrame, text_col: str, held: str, depth: int, buckets: int, counted: bool) -> DataFrame:
-    """The different keys of each block, each bucket's in a row, with training counts if ``counted``."""
+def _send(packed: DataFrame, text_col: str, held: str, depth: int, buckets: int) -> DataFrame:
+    """The different keys of each block, each bucket's in a row, with their training counts."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,25 +299,44 @@ def _send(packed: DataFrame, text_col: str, held: str, depth: int, buckets: int,
                 for at, texts, by_kind, _ in chunks(docs, text_col, depth):
                     weight = train[at : at + texts].astype(np.float64)
                     for kind, c in by_kind.items():
-                        found[kind].append((c.keys, c.counts(weight) if counted else None))
+                        found[kind].append((c.keys, c.counts(weight)))
                 for kind, parts in found.items():
                     keys = _merged([k for k, _ in parts])
                     n = np.zeros(len(keys), dtype=np.int64)
-                    for k, more in parts if counted else ():
+                    for k, more in parts:
                         n[np.searchsorted(keys, k)] += more
                     order, of = _dealt(keys, buckets)
-                    keys, n = keys[order], n[order]
-                    yield _rows(_SENT, [(kind, b, block, keys[a:z].tobytes(), n[a:z].tobytes() if counted else None) for b, a, z in _groups(of)])
+                    keys, n = keys[order], n[order].astype(np.uint32)
+                    yield _rows(_SENT, [(kind, b, block, keys[a:z].tobytes(), n[a:z].tobytes()) for b, a, z in _groups(of)])
 
     return packed.mapInArrow(B.lean(emit), _SENT)
 
 
+def _members(size: int, at: np.ndarray) -> bytes:
+    """The places ``at`` of a table of ``size``, as a list or as bits, whichever is shorter."""
+    if len(at) * 32 < size:
+        return b"\x00" + at.astype(np.uint32).tobytes()
+    mask = np.zeros(size, dtype=bool)
+    mask[at] = True
+    return b"\x01" + np.packbits(mask).tobytes()
+
+
+def _places(size: int, members: bytes) -> np.ndarray:
+    """Inverse of :func:`_members`."""
+    if members[0] == 0:
+        return np.frombuffer(members, dtype=np.uint32, offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(members, dtype=np.uint8, offset=1), count=size))
+
+
 def _add_up(key: tuple, table: pa.Table) -> pa.Table:
-    keys = np.concatenate([_numbers(x, np.uint64) for x in table.column("keys")])
-    n = np.concatenate([_numbers(x, np.int64) for x in table.column("counts")])
+    mine = [_numbers(x, np.uint64) for x in table.column("keys")]
+    keys, n = np.concatenate(mine), np.concatenate([_numbers(x, np.uint32) for x in table.column("counts")])
     order = np.argsort(keys, kind="stable")
-    keys, n = _sums(keys[order], n[order])
-    return pa.Table.from_batches([_rows(_TOTALS, [(key[0].as_py(), key[1].as_py(), keys.tobytes(), n.tobytes(), int((n > 0).sum()), int(n.sum()))])])
+    keys, n = _sums(keys[order], n[order].astype(np.int64))
+    kind, bucket = key[0].as_py(), key[1].as_py()
+    rows = [(kind, bucket, None, keys.tobytes(), n.tobytes(), int((n > 0).sum()), int(n.sum()))]
+    rows += [(kind, bucket, block, _members(len(keys), np.searchsorted(keys, k)), None, None, None) for block, k in zip(table.column("block_id").to_pylist(), mine, strict=True)]
+    return pa.Table.from_batches([_rows(_ADDED, rows)])
 
 
 def _pairs(depth: int):
@@ -356,18 +381,18 @@ def _values(roots: Roots, depth: int, buckets: int):
     return B.lean(run)
 
 
-def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """For each block the values of its keys in one bucket, in the order it sent them."""
-    schema = "kind int, bucket int, block_id long, held binary"
+def _answer(members: pa.Table, known: pa.Table) -> pa.Table:
+    """For each block its keys of one bucket, with their values."""
     rows = []
-    if asked.num_rows:
+    if members.num_rows:
         keys = np.concatenate([_numbers(x, np.uint64) for x in known.column("keys")])
         held = np.concatenate([_numbers(x, np.float64) for x in known.column("held")])
         order = np.argsort(keys)
         keys, held = keys[order], held[order]
-        for kind, bucket, block, mine in zip(*(asked.column(c) for c in ("kind", "bucket", "block_id", "keys")), strict=True):
-            rows.append((kind.as_py(), bucket.as_py(), block.as_py(), held[np.searchsorted(keys, _numbers(mine, np.uint64))].tobytes()))
-    return pa.Table.from_batches([_rows(schema, rows)])
+        for kind, block, mine in zip(*(members.column(c) for c in ("kind", "block_id", "keys")), strict=True):
+            at = _places(len(keys), mine.as_py())
+            rows.append((block.as_py(), kind.as_py(), keys[at].tobytes(), held[at].tobytes()))
+    return pa.Table.from_batches([_rows(_ANSWER, rows)])
 
 
 def _as_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,20 +401,18 @@ def _as_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([_numbers(x, np.int64).astype(np.float64).tobytes() for x in batch.column(3)], pa.binary())], ["kind", "bucket", "keys", "held"])
 
 
-def _score(schema: T.StructType, text_col: str, held: str, depth: int, buckets: int, n_all: int, n_seen: int):
+def _score(schema: T.StructType, text_col: str, held: str, depth: int, n_all: int, n_seen: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                docs, found = B.decode(batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
-                parts = list(chunks(docs, text_col, depth))
+                docs, found = B.decode(batch.column(1)[i].as_py()), batch.column(2)[i].values
                 value, keys = {}, {}
                 for kind in (GRAM, WORD):
-                    keys[kind] = _merged([p[2][kind].keys for p in parts])
-                    order, _ = _dealt(keys[kind], buckets)
-                    back = sorted((x["bucket"], x["held"]) for x in found if x["kind"] == kind)
-                    value[kind] = np.empty(len(order))
-                    value[kind][order] = np.frombuffer(b"".join(x for _, x in back), dtype=np.float64)
-                for at, texts, by_kind, sizes in parts:
+                    own = found.filter(pc.equal(found.field("kind"), kind))
+                    keys[kind], value[kind] = (np.concatenate([_numbers(x, t) for x in own.field(c)]) for c, t in (("keys", np.uint64), ("held", np.float64)))
+                    order = np.argsort(keys[kind])
+                    keys[kind], value[kind] = keys[kind][order], value[kind][order]
+                for at, texts, by_kind, sizes in chunks(docs, text_col, depth):
                     mine = {k: value[k][np.searchsorted(keys[k], c.keys)] for k, c in by_kind.items()}
                     seen = mine[WORD]
                     score = by_kind[GRAM].total(mine[GRAM], texts)
@@ -429,8 +452,8 @@ def score_documents(docs: DataFrame, held_out: Column, text_col: str = "text", d
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.coalesce(held_out, F.lit(False)).alias(held))
     packed = B.pack(plain, text, BLOCK_BYTES)
     buckets = B.bucket_count(packed, 1 << 19)
-    sent = _send(packed, text, held, depth, buckets, counted=True)
-    totals = materialize(sent.groupBy("kind", "bucket").applyInArrow(_add_up, _TOTALS), "lm-totals")
+    added = materialize(_send(packed, text, held, depth, buckets).groupBy("kind", "bucket").applyInArrow(_add_up, _ADDED), "lm-totals")
+    totals = added.where("block_id IS NULL")
     n_all, n_seen = totals.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_seen"), F.lit(0))).first()
     paired = totals.where(F.col("kind") == GRAM).select("keys", "counts").mapInArrow(_pairs(depth), _PAIRED)
     weighed = materialize(paired.groupBy("pair").applyInArrow(_weigh_pair(depth), _WEIGHED), "lm-subtrees")
@@ -438,12 +461,12 @@ def score_documents(docs: DataFrame, held_out: Column, text_col: str = "text", d
     roots = Roots([tuple(r) for r in upper.collect()])  # at most 256 x 255 rows, whatever the corpus
     values = weighed.where("node IS NULL").select("keys", "mixed").mapInArrow(_values(roots, depth, buckets), _VALUES)
     counts = totals.where(F.col("kind") == WORD).select("kind", "bucket", "keys", "counts").mapInArrow(_as_numbers, _VALUES)
-    asked = _send(packed, text, held, depth, buckets, counted=False).drop("counts")
+    members = added.where("block_id IS NOT NULL").select("kind", "bucket", "block_id", "keys")
     by = ("kind", "bucket")
-    answers = asked.groupBy(*by).cogroup(values.union(counts).groupBy(*by)).applyInArrow(_answer, "kind int, bucket int, block_id long, held binary")
-    found = answers.groupBy("block_id").agg(F.collect_list(F.struct("kind", "bucket", "held")).alias("found"))
+    answers = members.groupBy(*by).cogroup(values.union(counts).groupBy(*by)).applyInArrow(_answer, _ANSWER)
+    found = answers.groupBy("block_id").agg(F.collect_list(F.struct("kind", "keys", "held")).alias("found"))
     schema = B.with_columns(T.StructType([f for f in plain.schema if f.name != held]), _SCORES)
-    out = packed.join(found, "block_id").select("block_id", "payload", "found").mapInArrow(_score(schema, text, held, depth, buckets, int(n_all), int(n_seen)), schema)
+    out = packed.join(found, "block_id").select("block_id", "payload", "found").mapInArrow(_score(schema, text, held, depth, int(n_all), int(n_seen)), schema)
     new = [f.name for f in T.StructType.fromDDL(_SCORES)]
     kept = [F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True) if c.lower() not in new]
     return out.select(*kept, *new)
