@@ -124,6 +124,26 @@ def coverage_classes(g: Graph, groups: DataFrame, levels: list[float], fraction:
     return n.crossJoin(total).select("node_id", "len", level_class(F.col("n") / F.col("total"), levels).alias("class"))
 
 
+def share_class(share: Column, core: float, cloud: float) -> Column:
+    """``core`` from one share of groups on, ``cloud`` below another, else ``shell``."""
+    return F.when(share >= core, "core").when(share < cloud, "cloud").otherwise("shell")
+
+
+def composition(g: Graph, nodes: DataFrame, classes: list[str], reference: DataFrame) -> DataFrame:
+    """What each path with steps is made of, from ``nodes(node_id, n, class)`` (``n`` groups on a node).
+
+    ``mean_depth`` and ``mean_samples`` weigh nodes by their length in the path; then the base
+    pairs on nodes of each class, and in ``reference_bp`` on nodes of the paths of ``reference``.
+    """
+    shared = g.steps.join(reference.select("path_id"), "path_id", "left_semi").select("node_id").distinct().withColumn("shared", F.lit(True))
+    about = nodes.select("node_id", "n", "class").join(g.depths().select("node_id", "depth"), "node_id").join(shared, "node_id", "left")
+    # A path's visits to one node are one row with their number before nodes are looked up.
+    visits = g.steps.groupBy("path_id", "node_id").agg(F.sum("len").alias("bp")).join(about, "node_id")
+    bp = lambda c: F.coalesce(F.sum(F.when(c, F.col("bp"))), F.lit(0))
+    mean = lambda c: F.sum(F.col("bp") * F.col(c)) / F.nullif(F.sum("bp"), F.lit(0))
+    return visits.groupBy("path_id").agg(mean("depth").alias("mean_depth"), mean("n").alias("mean_samples"), *[bp(F.col("class") == c).alias(f"{c}_bp") for c in classes], bp(F.col("shared")).alias("reference_bp"))
+
+
 def class_ranges(g: Graph, classes: DataFrame) -> DataFrame:
     """``(path_id, start, end, class)``: maximal runs of equal class along paths."""
     s = g.steps.join(classes.select("node_id", "class"), "node_id")
