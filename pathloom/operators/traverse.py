@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pathloom.functions.dna import oriented
 from pathloom.operators.edits import unchop
 from pathloom.plans.graph import Graph, canonical_edges, handle
-from pathloom.plans.scratch import drop, materialize
+from pathloom.plans.scratch import materialize
+from pathloom.plans.strong import strong_components
 
 
 def follow(g: Graph) -> DataFrame:
@@ -94,18 +95,10 @@ def unitigs(g: Graph) -> DataFrame:
     return unchop(plain).nodes.select(F.col("node_id").alias("unitig"), "seq")
 
 
-def cyclic_handles(g: Graph) -> DataFrame:
-    """Handles on, or between, directed cycles: what is left when ends are peeled off, a layer a round."""
-    e = materialize(follow(g), "directed")
-    while True:
-        inner = e.join(e.select(F.col("t").alias("h")).distinct(), "h", "left_semi").join(e.select(F.col("h").alias("t")).distinct(), "t", "left_semi").select("h", "t")
-        new = materialize(inner, "directed")
-        same = new.count() == e.count()
-        drop(e)
-        e = new
-        if same:
-            break
-    return e.select("h").union(e.select("t")).distinct()
+def handles_on_cycles(g: Graph) -> DataFrame:
+    """``(h)``: oriented nodes from which a walk leads back to themselves."""
+    way = follow(g)
+    return strong_components(way, "h", "t").select(F.col("node").alias("h")).union(way.where("h = t").select("h")).distinct()
 
 
 def acyclic_components(g: Graph) -> DataFrame:
@@ -113,7 +106,7 @@ def acyclic_components(g: Graph) -> DataFrame:
     from pathloom.operators.summary import components
 
     c = components(g)
-    bad = cyclic_handles(g).select((F.floor(F.col("h") / 2) + 1).alias("node_id")).distinct().join(c, "node_id").select("component").distinct().withColumn("bad", F.lit(True))
+    bad = handles_on_cycles(g).select((F.floor(F.col("h") / 2) + 1).alias("node_id")).distinct().join(c, "node_id").select("component").distinct().withColumn("bad", F.lit(True))
     return c.select("component").distinct().join(bad, "component", "left").select("component", F.col("bad").isNull().alias("acyclic"))
 
 
@@ -121,9 +114,13 @@ def cycle_edges(g: Graph, max_bp: int, max_steps: int | None = None) -> DataFram
     """Canonical edges that close a directed cycle of at most ``max_bp`` bases (and ``max_steps`` edges, if given).
 
     Walks carry their start; an edge back to it closes a cycle.  A walk goes on only where it
-    is the first or the shortest yet, so the search ends by itself.
+    is the first or the shortest yet, so the search ends by itself.  Only edges within a strongly
+    connected component can close a cycle; no other is walked.
     """
     way = follow(g)
+    label = materialize(strong_components(way, "h", "t"), "cycle-components")
+    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    way = way.join(of("h"), "h", "left").join(of("t"), "t", "left").where("h_in = t_in OR h = t").select("h", "t")
     size = g.nodes.select(handle(F.col("node_id"), F.lit(False)).alias("n2"), "len")
     way = materialize(way.join(size, F.col("n2") == F.col("t") - F.col("t") % 2).select("h", "t", "len"), "ways")
     start = F.col("h").alias("start")
