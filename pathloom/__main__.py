@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.names import prefix
-from pathloom.operators import context, edges, edits, order, paths, ranges, sampling, summary, traverse
+from pathloom.operators import context, edges, edits, order, paths, ranges, sampling, structure, summary, traverse
 from pathloom.plans.graph import Graph
 from pathloom.plans.session import local_session
 from pathloom.sources import gfa, side
@@ -46,6 +46,9 @@ COMMANDS = {
     "links": lambda g, a: edges.mean_links_length(g),
     "validate": lambda g, a: edges.missing_edges(g),
     "components": lambda g, a: summary.component_sizes(g),
+    "strong": lambda g, a: structure.strong_nodes(g),
+    "nice": lambda g, a: structure.nice_components(g),
+    "ends": lambda g, a: structure.distances_to_ends(g, a.number),
     "kmers": lambda g, a: traverse.kmers(g, a.number),
     "unitig": lambda g, a: traverse.unitigs(g),
     "untangle": lambda g, a: context.untangle(g, g.paths, _targets(g, a)),
@@ -60,7 +63,8 @@ COMMANDS = {
     "normalize": lambda g, a: sampling.normalize(g),
     "groom": lambda g, a: order.groom(g),
     "sort": lambda g, a: order.sort(g, a.pipeline, _targets(g, a), a.seed),
-    "extract": lambda g, a: edits.extract(g, ranges=_ranges(g, a)),
+    "extract": lambda g, a: edits.extract(g, ranges=_ranges(g, a), max_gap=a.max_gap, lace=g.paths.where(F.col("path_name") == a.lace) if a.lace else None),
+    "dagify": lambda g, a: structure.dagify(traverse.split_strands(g), a.number)[0],
     "inject": lambda g, a: edits.inject(g, _ranges(g, a).select("path_id", "start", "end", "name")),
     "prune": lambda g, a: edits.prune(g, max_degree=a.number),
     "break": lambda g, a: traverse.break_cycles(g, a.number),
@@ -81,6 +85,8 @@ def main(argv: list[str]) -> int:
     p.add_argument("-p", "--delim-pos", type=int, default=1)
     p.add_argument("-r", "--target", help="name of the target path")
     p.add_argument("-P", "--pipeline", default="Ygs", help="letters of the sort orders")
+    p.add_argument("-d", "--max-gap", type=int, default=300_000, help="extract: base pairs of a stretch between extracted nodes that is filled in")
+    p.add_argument("-R", "--lace", help="extract: a path whose stretches outside become a node each")
     p.add_argument("-s", "--seed", type=int, default=0)
     a = p.parse_args(argv)
     spark = local_session()

@@ -180,29 +180,157 @@ def expand(g: Graph, seeds: DataFrame, steps: int) -> DataFrame:
     return seen
 
 
-def extract(g: Graph, nodes: DataFrame | None = None, ranges: DataFrame | None = None, context_steps: int = 0, inverse: bool = False) -> Graph:
+def expand_bp(g: Graph, seeds: DataFrame, length: int) -> DataFrame:
+    """The seeds and whole rounds of their neighbours until the nodes added hold ``length`` base pairs."""
+    sides = g.edges.select(F.col("from_id").alias("node_id"), F.col("to_id").alias("nbr"))
+    both = materialize(sides.union(sides.select(F.col("nbr").alias("node_id"), F.col("node_id").alias("nbr"))).distinct(), "neighbours")
+    seen = frontier = materialize(seeds.select("node_id").distinct(), "seen")
+    added = 0
+    while added < length:
+        new = both.join(frontier, "node_id", "left_semi").select(F.col("nbr").alias("node_id")).distinct().join(seen, "node_id", "left_anti")
+        frontier = materialize(new.join(g.nodes.select("node_id", "len"), "node_id"), "frontier")
+        bp = frontier.agg(F.sum("len")).first()[0]
+        if bp is None:
+            break
+        added += bp
+        seen = materialize(seen.union(frontier.select("node_id")), "seen")
+    drop(both)
+    return seen
+
+
+def flanks(g: Graph, ranges: DataFrame) -> DataFrame:
+    """What each range leaves of its path: up to two ranges before and after it."""
+    r = ranges.select("path_id", "start", "end").join(g.path_lengths().select("path_id", "length_bp"), "path_id")
+    two = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("start").cast("long").alias("end")), F.struct(F.col("end").cast("long").alias("start"), F.col("length_bp").alias("end")))
+    return r.select("path_id", F.explode(two).alias("r")).select("path_id", "r.start", "r.end").where("start < end")
+
+
+def fill_gaps(g: Graph, keep: DataFrame, max_gap: int, rounds: int) -> DataFrame:
+    """``keep(node_id)`` with the nodes of stretches that paths leave it for.
+
+    A stretch lies between two steps of a path on kept nodes and holds at most ``max_gap``
+    base pairs.  What a round adds may close further stretches; ``rounds`` bounds that.
+    """
+    for _ in range(rounds):
+        inside = g.steps.join(keep, "node_id", "left_semi").select("path_id", "step_rank", (F.col("pos") + F.col("len")).alias("start"), "pos")
+        after = inside.withColumn("end", F.lead("pos").over(by_step())).withColumn("next", F.lead("step_rank").over(by_step()))
+        gaps = after.where((F.col("next") > F.col("step_rank") + 1) & (F.col("end") - F.col("start") <= max_gap)).select("path_id", "start", "end")
+        new = materialize(range_steps(g.steps, gaps).select("node_id").distinct().join(keep, "node_id", "left_anti"), "gap-nodes")
+        if new.isEmpty():
+            drop(new)
+            break
+        keep, old = materialize(keep.union(new), "kept-nodes"), keep
+        drop(new)
+        drop(old)
+    return keep
+
+
+def laced(g: Graph, keep: DataFrame, lace: DataFrame) -> tuple[Graph, DataFrame]:
+    """The graph in which the stretches of the paths ``lace`` outside ``keep`` are a node each, and ``keep`` with these.
+
+    A stretch's sequence reads along the path; its node gets an id and a rank after all others.
+    """
+    s = g.steps.join(lace.select("path_id").distinct(), "path_id", "left_semi")
+    out = s.join(keep, "node_id", "left_anti")
+    if out.isEmpty():
+        return g, keep
+    out = out.withColumn("run", F.col("step_rank") - F.row_number().over(by_step()))
+    seq = F.when(F.col("is_rev"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    pieces = out.join(g.nodes.select("node_id", "seq"), "node_id").select("path_id", "run", "step_rank", seq.alias("piece"))
+    runs = pieces.groupBy("path_id", "run").agg(F.min("step_rank").alias("step_rank"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step_rank", "piece"))), lambda x: x["piece"]), "").alias("seq"))
+    top = g.nodes.agg(F.max("node_id").alias("top_id"), F.max("rank").alias("top_rank"))
+    made = dense_index(runs, ["path_id", "run"], "nth").crossJoin(top)  # one row
+    made = materialize(made.select((F.col("top_id") + 1 + F.col("nth")).alias("node_id"), (F.col("top_rank") + 1 + F.col("nth")).alias("rank"), "seq", "path_id", "step_rank"), "laced")
+    nodes = materialize(with_pan_pos(g.nodes.select("node_id", "seq", "rank").unionByName(made.select("node_id", "seq", "rank"))), "laced-nodes")
+    stay = g.steps.select("path_id", "step_rank", "node_id", "is_rev").join(out.select("path_id", "step_rank"), ["path_id", "step_rank"], "left_anti")
+    whole = stay.unionByName(made.select("path_id", "step_rank", "node_id", F.lit(False).alias("is_rev")))
+    steps = materialize(with_positions(whole.withColumn("step_rank", F.row_number().over(by_step()) - 1), nodes), "laced-steps")
+    return g.with_(nodes=nodes, steps=steps), materialize(keep.union(made.select("node_id")), "kept-nodes")
+
+
+def extract(
+    g: Graph,
+    nodes: DataFrame | None = None,
+    ranges: DataFrame | None = None,
+    context_steps: int = 0,
+    inverse: bool = False,
+    context_bp: int = 0,
+    pangenome: tuple[int, int] | None = None,
+    full_range: bool = False,
+    max_gap: int = 300_000,
+    gap_rounds: int = 6,
+    lace: DataFrame | None = None,
+) -> Graph:
     """The sub-graph of some nodes and of the nodes that ranges touch.
 
-    Seeds grow by ``context_steps`` edges and may be inverted before range nodes are
-    added.  Paths come out as their maximal runs inside, named ``path:start-end``.
+    In this order: seeds ``nodes`` grow by ``context_steps`` edges or by rounds of edges until
+    they gained ``context_bp``; with ``inverse`` they turn into all other nodes, and ranges into
+    what they leave of their path or of the graph; nodes touched by ``ranges`` and by the graph
+    range ``pangenome`` (both ends included) are added, with ``full_range`` all ids between the
+    smallest and the largest too; stretches of at most ``max_gap`` base pairs that other paths
+    make outside are filled in (:func:`fill_gaps`, up to ``gap_rounds``).  Paths that ranges name
+    come out as these ranges, widened to whole nodes; the others as their maximal runs inside.
+    Both are named ``path:start-end`` unless they are the whole path.  What the paths of ``lace``
+    have outside becomes a node a stretch, so they stay whole.
     """
+    if context_steps and context_bp:
+        raise ValueError("grow by steps or by base pairs, not by both")
     keep = nodes.select("node_id").distinct() if nodes is not None else None
     if keep is not None and context_steps:
         keep = expand(g, keep, context_steps)
-    if keep is not None and inverse:
+    if keep is not None and context_bp:
+        keep = expand_bp(g, keep, context_bp)
+    if keep is not None and inverse and not keep.isEmpty():
         keep = g.nodes.select("node_id").join(keep, "node_id", "left_anti")
+    parts = [keep] if keep is not None else []
+    spans = named = None
     if ranges is not None:
-        hit = range_steps(g.steps, ranges.select("path_id", "start", "end")).select("node_id").distinct()
-        keep = hit if keep is None else keep.union(hit).distinct()
-    keep = materialize(keep, "kept-nodes")
+        asked = flanks(g, ranges) if inverse else ranges.select("path_id", "start", "end")
+        named = asked.select("path_id").distinct()
+        hit = materialize(range_steps(g.steps, asked.distinct()), "range-steps")
+        parts.append(hit.select("node_id"))
+        # Widened to whole nodes, different ranges may be the same one.
+        spans = hit.groupBy("path_id", F.col("start").alias("_s"), F.col("end").alias("_e")).agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("len")).alias("end"))
+        spans = materialize(spans.select("path_id", "start", "end").distinct(), "spans")
+    if pangenome is not None:
+        a, b = pangenome
+        touched = lambda lo, hi: (F.col("pan_pos") + F.col("len") >= lo) & (F.col("pan_pos") <= hi)
+        if inverse:
+            end = g.nodes.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+            parts += [g.nodes.where(touched(lo, hi)).select("node_id") for lo, hi in ((0, a), (b, end)) if lo < hi]
+        else:
+            parts.append(g.nodes.where(touched(a, b)).select("node_id"))
+    if not parts:
+        raise ValueError("name nodes, ranges or a range of the graph")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p)
+    keep = materialize(g.nodes.select("node_id").join(found.distinct(), "node_id", "left_semi"), "kept-nodes")
+    if full_range:
+        edge = keep.agg(F.min("node_id").alias("lo"), F.max("node_id").alias("hi"))  # one row
+        keep = materialize(g.nodes.select("node_id").crossJoin(edge).where("node_id BETWEEN lo AND hi").select("node_id"), "kept-nodes")
+    rest = g if named is None else g.select_paths(g.paths.join(named, "path_id", "left_anti"))
+    if max_gap > 0:
+        keep = fill_gaps(rest, keep, max_gap, gap_rounds)
+    if lace is not None:
+        g, keep = laced(g, keep, lace if named is None else lace.join(named, "path_id", "left_anti"))
     inside = g.nodes.join(keep, "node_id", "left_semi")
     e = g.edges.join(keep.withColumnRenamed("node_id", "from_id"), "from_id", "left_semi").join(keep.withColumnRenamed("node_id", "to_id"), "to_id", "left_semi")
-    s = g.steps.join(keep, "node_id", "left_semi").withColumn("run", F.col("step_rank") - F.row_number().over(by_step()))
+    s = g.steps.join(keep, "node_id", "left_semi")
+    if named is not None:
+        s = s.join(named, "path_id", "left_anti")
+    s = s.withColumn("run", (F.col("step_rank") - F.row_number().over(by_step())).cast("long"))
     runs = s.groupBy("path_id", "run").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("len")).alias("end"))
-    runs = dense_index(runs, ["path_id", "run"], "nth").join(g.path_lengths(), "path_id")
+    if spans is not None:
+        # A range and its steps share the range's start and end; two ranges of a path may share either.
+        s = s.withColumn("last", F.lit(None).cast("long")).unionByName(range_steps(g.steps, spans).select("path_id", "step_rank", "node_id", "is_rev", "len", "pos", F.col("start").alias("run"), F.col("end").alias("last")))
+        runs = runs.withColumn("last", F.lit(None).cast("long")).unionByName(spans.select("path_id", F.col("start").alias("run"), "start", "end", F.col("end").alias("last")))
+    else:
+        s, runs = s.withColumn("last", F.lit(None).cast("long")), runs.withColumn("last", F.lit(None).cast("long"))
+    runs = dense_index(runs, ["path_id", "run", "end"], "nth").join(g.path_lengths(), "path_id")
     whole = (F.col("start") == 0) & (F.col("end") == F.col("length_bp"))
-    runs = materialize(runs.select("path_id", "run", "start", (F.col("nth") + 1).alias("new_id"), F.when(whole, F.col("path_name")).otherwise(subpath(F.col("path_name"), F.col("start"), F.col("end"))).alias("new_name")), "runs")
-    s = s.join(runs, ["path_id", "run"])
+    runs = materialize(runs.select(F.col("path_id").alias("of"), F.col("run").alias("r"), F.col("last").alias("z"), "start", (F.col("nth") + 1).alias("new_id"), F.when(whole, F.col("path_name")).otherwise(subpath(F.col("path_name"), F.col("start"), F.col("end"))).alias("new_name")), "runs")
+    s = s.join(runs, (F.col("path_id") == F.col("of")) & (F.col("run") == F.col("r")) & F.col("last").eqNullSafe(F.col("z")))
     steps = s.select(F.col("new_id").alias("path_id"), (F.row_number().over(Window.partitionBy("new_id").orderBy("step_rank")) - 1).alias("step_rank"), "node_id", "is_rev", "len", (F.col("pos") - F.col("start")).alias("pos"))
     edges = canonical_edges(e.select("from_id", "from_rev", "to_id", "to_rev").union(step_edges(steps)))
     return Graph(with_pan_pos(inside.select("node_id", "seq", "rank")), edges, runs.select(F.col("new_id").alias("path_id"), F.col("new_name").alias("path_name")), steps)

@@ -268,8 +268,8 @@ def layout_2d(g: Graph, seed: int = 0, iterations: int = 30, per_step: float = 1
 
 
 def sort(g: Graph, pipeline: str, targets: DataFrame | None = None, seed: int = 0) -> Graph:
-    """Orders applied one after the other: ``s n w b z r f Y g H`` as letters."""
-    steps = {"s": topological, "n": lambda x: topological(x, False), "w": two_way, "b": breadth_first, "z": depth_first, "f": reverse, "r": lambda x: shuffled(x, seed), "Y": lambda x: path_guided(x, seed), "H": lambda x: by_paths(x, targets)}
+    """Orders applied one after the other: ``s n d w b z r f Y g H`` as letters."""
+    steps = {"s": topological, "n": lambda x: topological(x, False), "d": dagified, "w": two_way, "b": breadth_first, "z": depth_first, "f": reverse, "r": lambda x: shuffled(x, seed), "Y": lambda x: path_guided(x, seed), "H": lambda x: by_paths(x, targets)}
     for letter in pipeline:
         if letter == "g":
             g = groom(g, targets)
@@ -332,3 +332,14 @@ def by_strands(g: Graph) -> DataFrame:
     bare = split_strands(g.with_(paths=g.paths.limit(0), steps=g.steps.limit(0)))
     first = topological(bare).groupBy(F.floor((F.col("node_id") + 1) / 2).alias("node_id")).agg(F.min("nth").alias("k"))
     return dense_index(first, ["k", "node_id"], "nth").select("node_id", "nth")
+
+
+def dagified(g: Graph) -> DataFrame:
+    """Nodes by the mean place of their forward copies in the topological order of the unrolled, strand-split graph."""
+    from pathloom.operators.structure import dagify
+    from pathloom.operators.traverse import split_strands
+
+    dag, names = dagify(split_strands(g.with_(paths=g.paths.limit(0), steps=g.steps.limit(0))), 1)
+    # Splitting made 2k - 1 of node k's forward reading.
+    forward = topological(dag).join(names, "node_id").where("old_id % 2 = 1").select(((F.col("old_id") + 1) / 2).cast("long").alias("node_id"), "nth")
+    return dense_index(forward.groupBy("node_id").agg(F.avg("nth").alias("k")), ["k", "node_id"], "nth").select("node_id", "nth")

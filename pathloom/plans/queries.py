@@ -15,11 +15,14 @@ from pathloom.operators import edits as M
 from pathloom.operators import order as O
 from pathloom.operators import paths as P
 from pathloom.operators import ranges as R
+from pathloom.operators import structure as X
 from pathloom.operators import summary as S
 from pathloom.operators import traverse as T
 from pathloom.operators.alignment import local_alignments
 from pathloom.plans.graph import Graph, by_step, with_positions
+from pathloom.plans.prefix import dense_index
 from pathloom.plans.session import ship_package
+from pathloom.plans.strong import strong_components
 from pathloom.sources import gfa
 from pathloom.sources.tables import RANGES_SQL, SQL, example_ranges, graph_of_tables
 
@@ -371,11 +374,34 @@ register("t13_target_order", "SELECT node_id, row_number() OVER (ORDER BY a IS N
 register("u1_squeeze", "SELECT node_id, seq FROM nodes UNION ALL SELECT node_id + (SELECT max(node_id) FROM nodes), seq FROM nodes")(lambda g: M.squeeze([g, g], "_").nodes.select("node_id", "seq"))
 register("u2_common_paths", "SELECT path_name FROM paths WHERE path_name LIKE '%#BUILDING#%' INTERSECT SELECT path_name FROM lengths WHERE length_bp > 50")(lambda g: g.paths.where("path_name LIKE '%#BUILDING#%'").select("path_name").intersect(g.path_lengths().where("length_bp > 50").select("path_name")))
 register("u5_inverse_extract", "SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM degrees WHERE degree > 40)")(lambda g: M.extract(g, g.degrees().where("degree > 40").select("node_id"), inverse=True).nodes.select("node_id"))
-register(
-    "m14_extract_ranges",
-    "SELECT path_name || CASE WHEN s = 0 AND e = length_bp THEN '' ELSE ':' || s || '-' || e END AS path_name, n AS step_count FROM (SELECT path_id, min(pos) AS s, max(pos + len) AS e, count(*) AS n FROM (SELECT *, step_rank - row_number() OVER (PARTITION BY path_id ORDER BY step_rank) AS r FROM steps WHERE node_id IN (SELECT node_id FROM hit JOIN paths USING (path_id) WHERE starts_with(path_name, 'NATION_3#'))) GROUP BY path_id, r) JOIN lengths USING (path_id)",
-    HIT,
-)(lambda g: (lambda x: x.path_lengths().select("path_name", "step_count"))(M.extract(g, ranges=example_ranges(g).join(reference(g), "path_id", "left_semi"))))
+
+
+def _filled(gap: int, rounds: int) -> str:
+    """Views k0, k1, ...: kept nodes before and after each round of gap filling, and the paths that ranges do not name."""
+    views = "k0 AS MATERIALIZED (SELECT DISTINCT node_id FROM hit JOIN paths USING (path_id) WHERE starts_with(path_name, 'NATION_3#')), others AS MATERIALIZED (SELECT s.* FROM steps s JOIN paths USING (path_id) WHERE NOT starts_with(path_name, 'NATION_3#'))"
+    for i in range(rounds):
+        flagged = f"SELECT o.*, k.node_id IS NOT NULL AS kept FROM others o LEFT JOIN k{i} k USING (node_id)"
+        views += (
+            f", k{i + 1} AS MATERIALIZED (SELECT node_id FROM k{i} UNION SELECT node_id FROM (SELECT *, max(CASE WHEN kept THEN pos + len END) OVER (PARTITION BY path_id ORDER BY step_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,"
+            f" min(CASE WHEN kept THEN pos END) OVER (PARTITION BY path_id ORDER BY step_rank ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM ({flagged})) WHERE NOT kept AND b - a <= {gap})"
+        )
+    return f"{HIT}, {views}"
+
+
+def _extracted(last: str) -> str:
+    return (
+        "SELECT path_name || CASE WHEN s = 0 AND e = length_bp THEN '' ELSE ':' || s || '-' || e END AS path_name, n AS step_count FROM ("
+        f"SELECT path_id, min(pos) AS s, max(pos + len) AS e, count(*) AS n FROM (SELECT *, step_rank - row_number() OVER (PARTITION BY path_id ORDER BY step_rank) AS r FROM others WHERE node_id IN (SELECT node_id FROM {last})) GROUP BY path_id, r "
+        "UNION ALL SELECT path_id, min(pos), max(pos + len), count(*) FROM hit JOIN paths USING (path_id) WHERE starts_with(path_name, 'NATION_3#') GROUP BY path_id) JOIN lengths USING (path_id)"
+    )
+
+
+def _of_reference(g: Graph, **more) -> DataFrame:
+    return M.extract(g, ranges=example_ranges(g).join(reference(g), "path_id", "left_semi"), **more).path_lengths().select("path_name", "step_count")
+
+
+register("m14_extract_ranges", _extracted("k6"), _filled(300_000, 6))(_of_reference)
+register("m14_extract_small_gaps", _extracted("k1"), _filled(20, 1))(lambda g: _of_reference(g, max_gap=20, gap_rounds=1))
 register("m11_prune", "SELECT node_id FROM degrees WHERE degree <= 50")(lambda g: M.prune(g, max_degree=50).nodes.select("node_id"))
 _GROW = "SELECT t.node_id, min(least(t.l, u.l)) AS l FROM {} t JOIN nbrs ON t.node_id = nbrs.a JOIN {} u ON u.node_id = nbrs.b GROUP BY t.node_id"
 _LABELS = "nbrs AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM edges UNION SELECT to_id, from_id FROM edges UNION SELECT node_id, node_id FROM nodes), l0 AS (SELECT node_id, node_id AS l FROM nodes), " + ", ".join(f"l{i + 1} AS MATERIALIZED ({_GROW.format(f'l{i}', f'l{i}')})" for i in range(8))
@@ -455,3 +481,72 @@ def _neighbour_alignments(g: Graph) -> DataFrame:
     """Each node aligned with the next by id."""
     a, b = g.nodes.select("node_id", F.col("seq").alias("a")), g.nodes.select((F.col("node_id") - 1).alias("node_id"), F.col("seq").alias("b"))
     return local_alignments(a.join(b, "node_id"))
+
+
+# --- structure ---------------------------------------------------------------------------
+
+
+def thin(g: Graph) -> Graph:
+    """Only the edges that paths walk twice or more."""
+    return g.with_(edges=E.edge_walks(g).where("n >= 2").select("from_id", "from_rev", "to_id", "to_rev"))
+
+
+def _ways(edges: str) -> str:
+    """Oriented nodes as integers: ``hs`` all of them, ``hw`` each with those that may follow."""
+    return (
+        "hs AS MATERIALIZED (SELECT (node_id - 1) * 2 + b AS h, node_id, len FROM nodes, (VALUES (0), (1)) v(b)), "
+        f"hw AS MATERIALIZED (SELECT (from_id - 1) * 2 + from_rev::INT AS h, (to_id - 1) * 2 + to_rev::INT AS t FROM {edges} UNION SELECT (to_id - 1) * 2 + (NOT to_rev)::INT, (from_id - 1) * 2 + (NOT from_rev)::INT FROM {edges})"
+    )
+
+
+THIN = f"thin AS MATERIALIZED (SELECT from_id, from_rev, to_id, to_rev FROM walked GROUP BY ALL HAVING count(*) >= 2), {_ways('thin')}"
+SIDES = (
+    "meet AS MATERIALIZED (SELECT h, t FROM hw UNION SELECT t, h FROM hw), reach AS (SELECT h, h AS r FROM hs UNION SELECT reach.h, meet.t FROM reach JOIN meet ON reach.r = meet.h), side AS MATERIALIZED (SELECT h, min(r) AS c FROM reach GROUP BY h), "
+    "turned AS MATERIALIZED (SELECT a.h // 2 + 1 AS node_id, least(a.c, b.c) // 2 + 1 AS component, b.c < a.c AS flip, a.c <> b.c AS oriented FROM side a JOIN side b ON b.h = a.h + 1 WHERE a.h % 2 = 0), "
+    "tips AS MATERIALIZED (SELECT node_id, h NOT IN (SELECT t FROM hw) AS head, h NOT IN (SELECT h FROM hw) AS tail FROM hs WHERE h % 2 = 0)"
+)
+register("c2_component_ends", "SELECT component, count(*) FILTER (head) AS heads, count(*) FILTER (tail) AS tails FROM turned JOIN tips USING (node_id) GROUP BY component", f"{THIN}, {SIDES}")(lambda g: T.component_ends(thin(g)))
+register("c3_orientations", "SELECT * FROM turned", f"{THIN}, {SIDES}")(lambda g: X.orientations(thin(g)))
+register(
+    "c3_nice_components",
+    "SELECT component, oriented, acyclic, nice, CASE WHEN nice THEN heads ELSE 0 END AS heads FROM (SELECT *, oriented AND acyclic AND (turned = 0 OR straight = 0) AS nice FROM (SELECT component, bool_and(oriented) AS oriented, bool_and(node_id NOT IN (SELECT h // 2 + 1 FROM onward WHERE h = t)) AS acyclic, count(*) FILTER ((head OR tail) AND flip) AS turned, count(*) FILTER ((head OR tail) AND NOT flip) AS straight, count(*) FILTER (head) AS heads FROM turned JOIN tips USING (node_id) GROUP BY component))",
+    f"{THIN}, {SIDES}, onward AS (SELECT h, t FROM hw UNION SELECT o.h, w.t FROM onward o JOIN hw w ON o.t = w.h)",
+)(lambda g: X.nice_components(thin(g)))
+register("c4_acyclic_components", "SELECT component, bool_and(node_id NOT IN (SELECT h // 2 + 1 FROM onward WHERE h = t)) AS acyclic FROM turned GROUP BY component", f"{THIN}, {SIDES}, onward AS (SELECT h, t FROM hw UNION SELECT o.h, w.t FROM onward o JOIN hw w ON o.t = w.h)")(lambda g: T.acyclic_components(thin(g)))
+# The part around the handle with most ways, and what is left, pair by pair.
+register(
+    "c5_strong_components",
+    "SELECT node_id, CASE WHEN node_id IN (SELECT h // 2 + 1 FROM core) THEN (SELECT min(h) // 2 + 1 FROM core) ELSE coalesce((SELECT min(least(a.h, a.t)) // 2 + 1 FROM onward a JOIN onward b ON a.h = b.t AND a.t = b.h WHERE a.h // 2 + 1 = n.node_id), node_id) END AS component FROM nodes n",
+    f"{_ways('edges')}, hub AS (SELECT h FROM hw GROUP BY h ORDER BY count(*) DESC, h LIMIT 1), ahead AS (SELECT h FROM hub UNION SELECT t FROM ahead JOIN hw USING (h)), behind AS (SELECT h FROM hub UNION SELECT hw.h FROM behind JOIN hw ON behind.h = hw.t), core AS MATERIALIZED (SELECT h FROM ahead INTERSECT SELECT h FROM behind), "
+    "left_over AS MATERIALIZED (SELECT h, t FROM hw WHERE h NOT IN (SELECT h FROM core) AND t NOT IN (SELECT h FROM core)), onward AS (SELECT h, t FROM left_over UNION SELECT o.h, w.t FROM onward o JOIN left_over w ON o.t = w.h)",
+)(X.strong_nodes)
+_HEAVIEST = "counted AS (SELECT (from_id - 1) * 2 + from_rev::INT AS a, (to_id - 1) * 2 + to_rev::INT AS b, count(*) AS n FROM walked GROUP BY ALL), heaviest AS MATERIALIZED (SELECT h, arg_min(t, (-n, t)) AS t FROM (SELECT a AS h, b AS t, n FROM counted UNION SELECT xor(b, 1), xor(a, 1), n FROM counted) GROUP BY h)"
+register("c11_heaviest_ways", "SELECT h, t FROM heaviest", _HEAVIEST)(X.heaviest_ways)
+register("c5_heaviest_cycles", "SELECT a.h AS node, least(a.h, min(a.t)) AS component FROM onward a JOIN onward b ON a.h = b.t AND a.t = b.h WHERE a.h <> a.t GROUP BY a.h", f"{_HEAVIEST}, onward AS (SELECT h, t FROM heaviest UNION SELECT o.h, w.t FROM onward o JOIN heaviest w ON o.t = w.h)")(
+    lambda g: strong_components(X.heaviest_ways(g), "h", "t")
+)
+_NEAR = "dist{0} AS (SELECT h, 0 AS d FROM hs JOIN tips USING (node_id) WHERE {1} UNION SELECT {2}, d + len FROM dist{0} w JOIN hs USING (h) JOIN hw e ON e.{3} = w.h WHERE d + len <= 500)"
+register(
+    "c8_distances_to_ends",
+    "SELECT node_id, min(a.d) AS to_head, min(b.d) AS to_tail FROM hs LEFT JOIN dist0 a USING (h) LEFT JOIN dist1 b USING (h) WHERE h % 2 = 0 GROUP BY node_id",
+    f"{THIN}, {SIDES}, {_NEAR.format(0, 'head', 'e.t', 'h')}, {_NEAR.format(1, 'tail', 'e.h', 't')}",
+)(lambda g: X.distances_to_ends(thin(g), 500))
+register(
+    "c8_connecting",
+    "SELECT h // 2 + 1 AS node_id, h % 2 = 1 AS is_rev, a.d AS from_start, b.d AS to_end FROM (SELECT h, min(d) AS d FROM ahead GROUP BY h) a JOIN (SELECT h, min(d) AS d FROM back GROUP BY h) b USING (h) WHERE a.d + b.d <= 90",
+    f"{_ways('edges')}, ahead AS (SELECT 0 AS h, 0 AS d UNION SELECT t, d + len FROM ahead JOIN hs USING (h) JOIN hw USING (h) WHERE d + len <= 90), back AS (SELECT 4 AS h, 0 AS d UNION SELECT hw.h, d + hs.len FROM back JOIN hw ON hw.t = back.h JOIN hs ON hs.h = hw.h WHERE d + hs.len <= 90)",
+)(lambda g: X.connecting(g, (1, False, 0), (3, False, 0), 90))
+register("t16_largest_components", "SELECT component, count(*) AS n_nodes, sum(len)::BIGINT AS bp FROM turned JOIN nodes USING (node_id) GROUP BY component ORDER BY bp DESC, component LIMIT 10", f"{THIN}, {SIDES}")(lambda g: S.largest_components(thin(g), 10).select("component", "n_nodes", "bp"))
+register("t15_id_order", "SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS nth FROM nodes")(O.by_id)
+register("t12_given_order", "SELECT node_id, row_number() OVER (ORDER BY len DESC, node_id) - 1 AS nth FROM nodes")(lambda g: O.given(dense_index(g.nodes.select("node_id", (-F.col("len")).alias("k")), ["k", "node_id"], "nth")))
+register("o8_isolated_nodes", "SELECT any_value(node_id) AS node_id FROM steps WHERE path_id IN (SELECT path_id FROM lengths WHERE step_count = 1) GROUP BY node_id HAVING count(*) = 1")(lambda g: M.isolated_nodes(_single_steps(g)))
+register(
+    "m2_divide",
+    "SELECT row_number() OVER (ORDER BY rank, k) AS node_id, piece AS seq FROM (SELECT rank, 0 AS k, substr(seq, 1, CASE WHEN len > 1 THEN len // 2 ELSE len END) AS piece FROM nodes UNION ALL SELECT rank, 1, substr(seq, len // 2 + 1) FROM nodes WHERE len > 1)",
+)(lambda g: M.divide(g, g.nodes.select("node_id", F.floor(F.col("len") / 2).alias("offset"))).nodes.select("node_id", "seq"))
+
+
+def _single_steps(g: Graph) -> Graph:
+    """The paths of one step alone, without edges."""
+    one = g.select_paths(g.path_lengths().where("step_count = 1"))
+    return one.with_(edges=one.edges.limit(0))
