@@ -169,17 +169,31 @@ def groom(g: Graph, targets: DataFrame | None = None, depth: bool = False) -> Gr
 
 
 def _terms(steps: list[tuple[np.ndarray, np.ndarray]], n: int, rng: np.random.Generator, theta: float, cooling: bool) -> tuple[np.ndarray, ...]:
-    """Random pairs of steps of one path: a uniform first, the second at a Zipf-like distance."""
+    """Random pairs of steps of one path: the first uniform, the second some jump away, as far as the path goes.
+
+    Jumps have a density that falls as distance ** -theta, and half of the pairs are uniform in
+    their path.  When cooling no pair is, and jumps are of one or two steps as often as the first
+    two distances of that law come up, else uniform: near order is set at last while far
+    distances hold.
+    """
     sizes = np.array([len(s[0]) for s in steps])
-    p = rng.choice(len(steps), n, p=sizes / sizes.sum())
+    weight = np.where(sizes > 1, sizes, 0)  # a path of one step has no pair
+    p = rng.choice(len(steps), n, p=weight / weight.sum())
     a = (rng.random(n) * sizes[p]).astype(np.int64)
-    space = np.maximum(sizes[p] - 1, 1)
-    power = 0.001 if cooling else theta
-    # Inverse of the distribution whose density falls as distance ** -power.
-    jump = np.maximum(1, (space ** (1 - power) * rng.random(n)) ** (1 / (1 - power))).astype(np.int64)
-    far = rng.random(n) < 0.5 if not cooling else np.zeros(n, dtype=bool)
-    b = np.where(far, (rng.random(n) * sizes[p]).astype(np.int64), a + np.where(rng.random(n) < 0.5, 1, -1) * jump)
-    ok = (b >= 0) & (b < sizes[p]) & (a != b)
+    back = (rng.random(n) < 0.5) & (a > 0) | (a == sizes[p] - 1)
+    room = np.where(back, a, sizes[p] - 1 - a)
+    q = 1 - theta
+    spread = ((room + 1.0) ** q - 1) / q  # the law's total over 1 .. room
+    if cooling:
+        at = rng.random(n) * (spread + np.euler_gamma)
+        jump = np.where(at < 1, 1, np.where(at < 2, 2, 1 + rng.random(n) * room))
+    else:
+        jump = (1 + q * spread * rng.random(n)) ** (1 / q)
+    jump = np.clip(jump.astype(np.int64), 1, room)
+    b = np.where(back, a - jump, a + jump)
+    if not cooling:
+        b = np.where(rng.random(n) < 0.5, (rng.random(n) * sizes[p]).astype(np.int64), b)
+    ok = a != b
     base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
     return base[p[ok]] + a[ok], base[p[ok]] + b[ok]
 

@@ -94,3 +94,19 @@ def test_stored_components_and_records(spark, tmp_path, bubble):
     u = traverse.unitigs(bubble)
     assert any(r.value.endswith("\nCATG\n+\nIIII") for r in gfa.sequence_records(u, "unitig", "seq", "I").collect())
     assert all(r.value.startswith(">") for r in gfa.sequence_records(u, "unitig", "seq").collect())
+
+
+def test_descent_brings_near_steps_together():
+    """Shuffled nodes of a long chain with detours come out with most steps next to each other."""
+    import numpy as np
+
+    from pathloom.operators import order
+
+    rng = np.random.default_rng(5)
+    walks = [np.array([n for n in range(900) if n % 3 != 1 or rng.random() < 0.5]) for _ in range(6)]
+    at, pos = np.concatenate(walks), np.concatenate([np.arange(len(w)) * 5 for w in walks])
+    x = rng.permutation(900).astype(float).reshape(-1, 1) * 5
+    apart = lambda x: np.mean(np.concatenate([np.abs(np.diff(np.argsort(np.argsort(x[:, 0]))[w])) for w in walks]))
+    assert apart(x) > 200
+    done = order._descend(x.copy(), at, pos, [(w, w) for w in walks], 1, 100, len(at), 0.99, 0.01)
+    assert apart(done) < 3
