@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.numbers import curve_levels, hilbert_point
 from pathloom.operators.edits import renumber
 from pathloom.operators.summary import components
 from pathloom.plans.graph import Graph, handle
@@ -230,10 +231,11 @@ def _descend(x: np.ndarray, at: np.ndarray, pos: np.ndarray, steps, seed: int, i
     return x
 
 
-def _layout(g: Graph, dims: int, seed: int, iterations: int, per_step: float, theta: float) -> DataFrame:
+def _layout(g: Graph, dims: int, seed: int, iterations: int, per_step: float, theta: float, start: str = "d") -> DataFrame:
     c = components(g)
-    n = g.nodes.join(c, "node_id").select("component", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("path_id"), F.lit(0).cast("long").alias("step_rank"), "node_id", F.lit(False).alias("is_rev"), "len", F.col("pan_pos").alias("pos"))
-    s = g.steps.join(c, "node_id").select("component", F.lit(1).alias("kind"), "path_id", "step_rank", "node_id", "is_rev", "len", "pos")
+    begin = layout_start(g, start, seed).groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("end", "x", "y"))), lambda e: F.array(e["x"], e["y"])).alias("begin"))  # two rows a node
+    n = g.nodes.join(c, "node_id").join(begin, "node_id").select("component", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("path_id"), F.lit(0).cast("long").alias("step_rank"), "node_id", F.lit(False).alias("is_rev"), "len", F.col("pan_pos").alias("pos"), F.flatten("begin").alias("begin"))
+    s = g.steps.join(c, "node_id").select("component", F.lit(1).alias("kind"), "path_id", "step_rank", "node_id", "is_rev", "len", "pos", F.lit(None).cast("array<double>").alias("begin"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = pdf[pdf.kind == 0].sort_values("pos")
@@ -245,7 +247,7 @@ def _layout(g: Graph, dims: int, seed: int, iterations: int, per_step: float, th
             x = nodes.pos.to_numpy(float).reshape(-1, 1).copy()
             at, where = k, pos
         else:  # two points a node: where it begins and where it ends
-            x = np.column_stack((np.column_stack((nodes.pos, nodes.pos + nodes.len)).reshape(-1), np.random.default_rng(seed).normal(0, np.sqrt(2 * len(nodes)), 2 * len(nodes)))).astype(float)
+            x = np.concatenate(nodes.begin.to_list()).astype(float).reshape(-1, 2)
             end = np.random.default_rng(seed + 1).random(len(k)) < 0.5
             at, where = 2 * k + (end != rev), pos + np.where(end, size, 0)
         paths = walks.path_id.to_numpy()
@@ -270,9 +272,35 @@ def path_guided(g: Graph, seed: int = 0, iterations: int = 100, per_step: float
     return dense_index(x.join(mean, "component"), ["mean", "component", "x", "node_id"], "nth").select("node_id", "nth")
 
 
-def layout_2d(g: Graph, seed: int = 0, iterations: int = 30, per_step: float = 10.0, theta: float = 0.99, border: float = 1000.0) -> DataFrame:
-    """``(node_id, end, x, y)``: node ends in the plane, components stacked with a border between."""
-    x = _layout(g, 2, seed, iterations, per_step, theta)
+def layout_start(g: Graph, kind: str = "d", seed: int = 0) -> DataFrame:
+    """``(node_id, end, x, y)``: where a layout begins.
+
+    ``d``: along the graph, ``y`` normal noise; ``u``: the same with uniform noise; ``r``: uniform along the
+    graph's length in both; ``g``: normal noise in both; ``h``: node ends in storage order on a Hilbert
+    curve.  Noise is as wide as the square root of twice the nodes, and seeded.
+    """
+    ends = g.nodes.select("node_id", "rank", "pan_pos", "len", F.explode(F.array(F.lit(0), F.lit(1))).alias("end"))
+    along = (F.col("pan_pos") + F.col("end") * F.col("len")).cast("double")
+    n, total = g.nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+    width = float(2 * n) ** 0.5
+    # Two uniform numbers for each end and coordinate, whatever the partitioning.
+    unit = lambda k: (F.xxhash64(F.lit(seed), F.lit(k), "node_id", "end").bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
+    normal = lambda k: F.sqrt(-2.0 * F.log(unit(k))) * F.cos(2.0 * F.pi() * unit(k + 1)) * width
+    if kind == "h":
+        p = hilbert_point(F.col("rank") * 2 + F.col("end"), curve_levels(2 * n))
+        x, y = p["x"].cast("double"), p["y"].cast("double")
+    else:
+        ways = {"d": (along, normal(0)), "u": (along, unit(0) * width), "r": (unit(0) * float(total), unit(1) * float(total)), "g": (normal(0), normal(2))}
+        x, y = ways[kind]
+    return ends.select("node_id", "end", x.alias("x"), y.alias("y"))
+
+
+def layout_2d(g: Graph, seed: int = 0, iterations: int = 30, per_step: float = 10.0, theta: float = 0.99, border: float = 1000.0, start: str = "d") -> DataFrame:
+    """``(node_id, end, x, y)``: node ends in the plane, components stacked with a border between.
+
+    ``start`` names where they begin (:func:`layout_start`).
+    """
+    x = _layout(g, 2, seed, iterations, per_step, theta, start)
     box = x.groupBy("component").agg(F.min("y").alias("lo"), (F.max("y") - F.min("y") + border).alias("h"), F.min("x").alias("left"))
     from pyspark.sql import Window
 

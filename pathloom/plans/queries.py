@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions import dna, names
+from pathloom.functions import dna, names, numbers
 from pathloom.functions.names import haplotype_of, sample_of
 from pathloom.operators import context as C
 from pathloom.operators import edges as E
@@ -550,3 +550,24 @@ def _single_steps(g: Graph) -> Graph:
     """The paths of one step alone, without edges."""
     one = g.select_paths(g.path_lengths().where("step_count = 1"))
     return one.with_(edges=one.edges.limit(0))
+
+
+# --- number functions ----------------------------------------------------------------------
+
+_DJB2 = "list_reduce(list_concat([5381::HUGEINT], list_transform(string_split(seq, ''), lambda c: ord(c)::HUGEINT)), lambda h, c: (h * 33 + c) % {})"
+register("f9_djb2_hashes", f"SELECT node_id, ({_DJB2.format('4294967296')})::BIGINT AS djb2_32, ({_DJB2.format('18446744073709551616')})::VARCHAR AS djb2_64 FROM nodes")(
+    lambda g: g.nodes.select("node_id", numbers.djb2(F.col("seq"), 32).alias("djb2_32"), numbers.djb2(F.col("seq")).cast("string").alias("djb2_64"))
+)
+_DISTANCE = "least(1.0, ln((1.0 + j) / (2.0 * j)))"
+register("f14_distances", f"SELECT group_a, group_b, round({_DISTANCE}, 9)::DOUBLE AS distance, round((1.0 - {_DISTANCE}) * 100.0, 7)::DOUBLE AS identity FROM (SELECT *, intersection / (a_len + b_len - intersection) AS j FROM i)", _SIM)(
+    lambda g: P.similarity(g, samples(g)).select("group_a", "group_b", F.round(numbers.mash_distance(F.col("jaccard")), 9).alias("distance"), F.round(numbers.percent_identity(F.col("jaccard")), 7).alias("identity"))
+)
+# The quarter of each level, finest first, turns and shifts the point built so far.
+_QUARTER = "SELECT *, (d // (side * side)) % 4 AS q FROM curve"
+register(
+    "f16_hilbert_start",
+    'SELECT node_id, "end", x::DOUBLE AS x, y::DOUBLE AS y FROM curve WHERE side = (SELECT side FROM square)',
+    "square AS (SELECT min(s) AS side FROM (SELECT (1::BIGINT << k) AS s FROM range(1, 40) t(k)) WHERE s >= (SELECT 2 * count(*) FROM nodes)), "
+    'curve AS (SELECT node_id, "end", rank * 2 + "end" AS d, 1::BIGINT AS side, 0::BIGINT AS x, 0::BIGINT AS y FROM nodes, (VALUES (0), (1)) v("end") '
+    f"UNION ALL SELECT node_id, \"end\", d, side * 2, CASE q WHEN 0 THEN y WHEN 3 THEN side - 1 - y ELSE x END + CASE WHEN q >= 2 THEN side ELSE 0 END, CASE q WHEN 0 THEN x WHEN 3 THEN side - 1 - x ELSE y END + CASE WHEN q IN (1, 2) THEN side ELSE 0 END FROM ({_QUARTER}) WHERE side < (SELECT side FROM square))",
+)(lambda g: O.layout_start(g, "h"))
