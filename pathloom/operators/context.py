@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.operators.ranges import near_steps
+from pathloom.functions.numbers import percent_identity
 from pathloom.plans.graph import Graph
 from pathloom.plans.prefix import dense_index
 from pathloom.plans.scratch import materialize
@@ -202,3 +203,65 @@ def merge_mappings(mappings: DataFrame) -> DataFrame:
     goes_on = (F.lag("query_end").over(w) == F.col("query_start")) & ahead
     m = mappings.where("nth = 1").withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
     return m.groupBy("query_id", "target_id", "inverted", "run").agg(F.min("query_start").alias("query_start"), F.max("query_end").alias("query_end"), F.min("target_start").alias("target_start"), F.max("target_end").alias("target_end"), F.avg("jaccard").alias("jaccard")).drop("run")
+
+
+# --- what mappings are written as ----------------------------------------------------------
+
+
+def _named(g: Graph, mappings: DataFrame) -> DataFrame:
+    """Mappings with the names and lengths of both paths, and a strand of ``+`` or ``-``."""
+    p = g.path_lengths()
+    of = lambda k: p.select(F.col("path_id").alias(f"{k}_id"), F.col("path_name").alias(f"{k}_name"), F.col("length_bp").alias(f"{k}_length"))
+    return mappings.join(of("query"), "query_id").join(of("target"), "target_id").withColumn("strand", F.when(F.col("inverted"), "-").otherwise("+"))
+
+
+def paf(g: Graph, mappings: DataFrame) -> DataFrame:
+    """The columns of a PAF file: names, lengths and ranges of both paths, then identity, similarity, self coverage and place.
+
+    Matching bases are not counted (0), the block is the longer of both ranges, the quality 255.
+    """
+    span = F.greatest(F.col("target_end") - F.col("target_start"), F.col("query_end") - F.col("query_start"))
+    return _named(g, mappings).select(
+        "query_name", "query_length", "query_start", "query_end", "strand", "target_name", "target_length", "target_start", "target_end",
+        F.lit(0).cast("long").alias("matches"), span.alias("block"), F.lit(255).alias("quality"), percent_identity(F.col("jaccard")).alias("identity"), "jaccard", "self_coverage", "nth",
+    )
+
+
+def paf_lines(rows: DataFrame) -> DataFrame:
+    """``(value)``: rows of :func:`paf` as text, with the tags ``id jc sc nb``."""
+    tag = lambda name, kind, c: F.concat(F.lit(f"{name}:{kind}:"), F.col(c).cast("string"))
+    plain = [F.col(c).cast("string") for c in rows.columns[:12]]
+    return rows.select(F.concat_ws("\t", *plain, tag("id", "f", "identity"), tag("jc", "f", "jaccard"), tag("sc", "f", "self_coverage"), tag("nb", "i", "nth")).alias("value"))
+
+
+def bedpe(g: Graph, mappings: DataFrame) -> DataFrame:
+    """The columns of a BEDPE file: both ranges, similarity, strand, self coverage and place."""
+    return _named(g, mappings).select("query_name", "query_start", "query_end", "target_name", "target_start", "target_end", "jaccard", "strand", "self_coverage", "nth")
+
+
+def gene_order(g: Graph, mappings: DataFrame) -> DataFrame:
+    """``(query_name, place, target_name, query_start, query_end, target_start, target_end, inverted)``: targets along each query.
+
+    Successive mappings of a query (by start, then place) are one range where they go on without a
+    gap on the query and on one target, on one strand.  ``place`` counts from 0.
+    """
+    w = Window.partitionBy("query_id").orderBy("query_start", "nth")
+    same = [F.lag(a).over(w) == F.col(b) for a, b in (("target_id", "target_id"), ("inverted", "inverted"), ("query_end", "query_start"), ("target_end", "target_start"))]
+    goes_on = F.coalesce(same[0] & same[1] & same[2] & same[3], F.lit(False))
+    runs = mappings.withColumn("place", F.sum(F.when(goes_on, 0).otherwise(1)).over(w) - 1)
+    one = runs.groupBy("query_id", "target_id", "inverted", "place").agg(F.min("query_start").alias("query_start"), F.max("query_end").alias("query_end"), F.min("target_start").alias("target_start"), F.max("target_end").alias("target_end"))
+    return _named(g, one).select("query_name", "place", "target_name", "query_start", "query_end", "target_start", "target_end", "inverted")
+
+
+def gene_order_lines(order: DataFrame) -> DataFrame:
+    """``(value)``: a line for each query: its name, a tab, and the targets' ranges with commas between."""
+    span = F.concat("target_name", F.lit(":"), F.col("target_start").cast("string"), F.lit("-"), F.col("target_end").cast("string"))
+    rows = order.groupBy("query_name").agg(F.sort_array(F.collect_list(F.struct("place", span.alias("s")))).alias("r"))
+    return rows.select(F.concat("query_name", F.lit("\t"), F.array_join(F.transform("r", lambda x: x["s"]), ",")).alias("value"))
+
+
+def gene_arrows(order: DataFrame, schematic: bool = False) -> DataFrame:
+    """``(molecule, gene, start, end, strand)`` for plots of gene arrows; ``schematic`` sets ranges of 100 at gaps of 50."""
+    start = F.col("place") * 150 if schematic else F.col("query_start")
+    end = start + 100 if schematic else F.col("query_end")
+    return order.select(F.col("query_name").alias("molecule"), F.col("target_name").alias("gene"), start.alias("start"), end.alias("end"), F.when(F.col("inverted"), 0).otherwise(1).alias("strand"))

@@ -120,13 +120,52 @@ def without_nodes(g: Graph, gone: DataFrame) -> Graph:
     return Graph(nodes, e.select("from_id", "from_rev", "to_id", "to_rev"), g.paths.join(broken, "path_id", "left_anti"), g.steps.join(broken, "path_id", "left_anti"))
 
 
-def prune(g: Graph, max_degree: int = 0, min_depth: int = 0, max_depth: int = 0, cut_tips: bool = False, min_tip_depth: int = 0, drop_empty: bool = False, isolated: bool = False) -> Graph:
-    """Drop nodes by degree and depth, then tips, isolated single-path nodes and empty paths."""
+def _canonical(pairs: DataFrame) -> DataFrame:
+    """Canonical edges of ``(from_handle, to_handle)``."""
+    half = lambda c: ((F.floor(F.col(f"{c}_handle") / 2) + 1).cast("long").alias(f"{c}_id"), (F.col(f"{c}_handle") % 2 == 1).alias(f"{c}_rev"))
+    return canonical_edges(pairs.select(*half("from"), *half("to")))
+
+
+def prune(
+    g: Graph,
+    max_degree: int = 0,
+    min_depth: int = 0,
+    max_depth: int = 0,
+    cut_tips: bool = False,
+    min_tip_depth: int = 0,
+    drop_empty: bool = False,
+    isolated: bool = False,
+    edge_depth: bool = False,
+    best_edges: int = 0,
+    kmer: int = 0,
+    max_furcations: int = 0,
+) -> Graph:
+    """Drop nodes by degree, edges of furcations, nodes or edges by depth, edges beyond the best, tips, isolated nodes and empty paths.
+
+    In this order.  ``kmer`` and ``max_furcations`` go together (edges that a walk of ``kmer`` bases takes as
+    one furcation too many); with ``edge_depth`` the depth bounds are on edges; ``best_edges`` keeps each
+    node's most walked edges.  Both look at the graph as it is before either drops.  Paths over
+    what is dropped go.
+    """
+    from pathloom.operators.edges import edges_beyond_best, edges_outside_depth
+    from pathloom.operators.traverse import furcation_edges, without_edges
+
     if max_degree:
         g = without_nodes(g, g.degrees().where(F.col("degree") > max_degree))
-    if min_depth or max_depth:
+    if kmer and max_furcations:
+        g = without_edges(g, materialize(furcation_edges(g, kmer, max_furcations), "furcations"))
+    gone = edges_beyond_best(g, best_edges) if best_edges else None
+    few = None
+    if edge_depth and (min_depth or max_depth):
+        outside = edges_outside_depth(g, min_depth, max_depth)
+        gone = outside if gone is None else gone.union(outside)
+    elif min_depth or max_depth:
         d = F.col("depth")
-        g = without_nodes(g, g.depths().where((F.lit(bool(min_depth)) & (d < min_depth)) | (F.lit(bool(max_depth)) & (d > max_depth))))
+        few = materialize(g.depths().where((F.lit(bool(min_depth)) & (d < min_depth)) | (F.lit(bool(max_depth)) & (d > max_depth))), "depths")
+    if gone is not None:
+        g = without_edges(g, materialize(_canonical(gone), "pruned-edges"))
+    if few is not None:
+        g = without_nodes(g, few)
     if isolated:
         g = without_nodes(g, isolated_nodes(g))
     if cut_tips:

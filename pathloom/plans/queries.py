@@ -454,12 +454,17 @@ def _context_pairs(g: Graph) -> DataFrame:
     return C.context_jaccard(c, c, known)
 
 
-def _pair_segments(g: Graph) -> DataFrame:
-    """The best match of each segment of two steps among all."""
+def _pairs_of_steps(g: Graph) -> DataFrame:
+    """Each path in segments of two steps."""
     w = Window.partitionBy("path_id").orderBy("start")
     total = g.path_lengths().select("path_id", "length_bp")
     s = g.steps.groupBy("path_id", F.expr("step_rank div 2").alias("k")).agg(F.min("pos").alias("start")).join(total, "path_id")
-    s = s.select("path_id", "start", F.coalesce(F.lead("start").over(w), "length_bp").alias("end"))
+    return s.select("path_id", "start", F.coalesce(F.lead("start").over(w), "length_bp").alias("end"))
+
+
+def _pair_segments(g: Graph) -> DataFrame:
+    """The best match of each segment of two steps among all."""
+    s = _pairs_of_steps(g)
     return C.map_segments(g, s, s).drop("self_coverage", "nth")
 
 
@@ -571,3 +576,42 @@ register(
     'curve AS (SELECT node_id, "end", rank * 2 + "end" AS d, 1::BIGINT AS side, 0::BIGINT AS x, 0::BIGINT AS y FROM nodes, (VALUES (0), (1)) v("end") '
     f"UNION ALL SELECT node_id, \"end\", d, side * 2, CASE q WHEN 0 THEN y WHEN 3 THEN side - 1 - y ELSE x END + CASE WHEN q >= 2 THEN side ELSE 0 END, CASE q WHEN 0 THEN x WHEN 3 THEN side - 1 - x ELSE y END + CASE WHEN q IN (1, 2) THEN side ELSE 0 END FROM ({_QUARTER}) WHERE side < (SELECT side FROM square))",
 )(lambda g: O.layout_start(g, "h"))
+
+
+# --- mappings as files, and edges pruned -----------------------------------------------------
+
+# Segments of two steps, mapped to those of the reference paths; the best two of each.
+_MAPPED = """seg AS MATERIALIZED (SELECT path_id, start, lead(start, 1, total) OVER (PARTITION BY path_id ORDER BY start) AS "end" FROM (SELECT path_id, min(pos) AS start, sum(sum(len)) OVER (PARTITION BY path_id)::BIGINT AS total FROM steps GROUP BY path_id, step_rank // 2)),
+own AS (SELECT path_id, node_id, count(*) AS visits FROM steps GROUP BY ALL),
+vis AS MATERIALIZED (SELECT g.path_id, g.start, s.node_id, s.len, s.is_rev, visits, row_number() OVER (PARTITION BY g.path_id, g.start, s.node_id ORDER BY step_rank) AS k FROM steps s JOIN own USING (path_id, node_id) JOIN seg g ON s.path_id = g.path_id AND s.pos >= g.start AND s.pos < g."end"),
+cover AS (SELECT path_id, start, sum(visits * len) / sum(len) AS self_coverage FROM vis GROUP BY ALL),
+met AS (SELECT a.path_id AS qp, a.start AS qs, b.path_id AS tp, b.start AS ts, sum(a.len)::BIGINT AS i, sum(CASE WHEN a.is_rev <> b.is_rev THEN a.len ELSE 0 END)::BIGINT AS inv FROM vis a JOIN (SELECT * FROM vis JOIN paths USING (path_id) WHERE starts_with(path_name, 'NATION_3#')) b ON a.node_id = b.node_id AND a.k = b.k GROUP BY ALL),
+shares AS (SELECT q.path_id AS query_id, q.start AS query_start, q."end" AS query_end, t.path_id AS target_id, t.start AS target_start, t."end" AS target_end, i::BIGINT / (q."end" - q.start + t."end" - t.start - i)::BIGINT AS jaccard, inv * 2 > i AS inverted FROM met JOIN seg q ON q.path_id = qp AND q.start = qs JOIN seg t ON t.path_id = tp AND t.start = ts),
+mapped AS MATERIALIZED (SELECT shares.*, self_coverage, nth, ql.path_name AS query_name, ql.length_bp AS query_length, tl.path_name AS target_name, tl.length_bp AS target_length, CASE WHEN inverted THEN '-' ELSE '+' END AS strand
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, query_start ORDER BY jaccard DESC, query_id = target_id DESC, inverted DESC, target_id DESC, target_start DESC) AS nth FROM shares) shares JOIN cover ON cover.path_id = query_id AND cover.start = query_start JOIN lengths ql ON ql.path_id = query_id JOIN lengths tl ON tl.path_id = target_id WHERE nth <= 2)"""
+
+
+def _mapped(g: Graph) -> DataFrame:
+    s = _pairs_of_steps(g)
+    return C.map_segments(g, s, s.join(reference(g), "path_id", "left_semi"), best=2)
+
+
+register(
+    "c14_paf",
+    f"SELECT query_name, query_length, query_start, query_end, strand, target_name, target_length, target_start, target_end, 0 AS matches, greatest(target_end - target_start, query_end - query_start) AS block, 255 AS quality, round((1.0 - {_DISTANCE.replace('j', 'jaccard')}) * 100.0, 7)::DOUBLE AS identity, round(jaccard, 9) AS jaccard, round(self_coverage, 9) AS self_coverage, nth FROM mapped",
+    _MAPPED,
+)(lambda g: C.paf(g, _mapped(g)).withColumns({"identity": F.round("identity", 7), "jaccard": F.round("jaccard", 9), "self_coverage": F.round("self_coverage", 9)}))
+register("c14_bedpe", "SELECT query_name, query_start, query_end, target_name, target_start, target_end, round(jaccard, 9) AS jaccard, strand, round(self_coverage, 9) AS self_coverage, nth FROM mapped", _MAPPED)(
+    lambda g: C.bedpe(g, _mapped(g)).withColumns({"jaccard": F.round("jaccard", 9), "self_coverage": F.round("self_coverage", 9)})
+)
+register(
+    "w13_gene_order",
+    "SELECT query_name, place, target_name, min(query_start) AS query_start, max(query_end) AS query_end, min(target_start) AS target_start, max(target_end) AS target_end, inverted FROM (SELECT *, sum(CASE WHEN go THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY query_start, nth)::BIGINT - 1 AS place FROM (SELECT *, coalesce(lag(target_id) OVER w = target_id AND lag(inverted) OVER w = inverted AND lag(query_end) OVER w = query_start AND lag(target_end) OVER w = target_start, false) AS go FROM mapped WHERE nth = 1 WINDOW w AS (PARTITION BY query_id ORDER BY query_start, nth))) GROUP BY query_id, target_id, query_name, target_name, place, inverted",
+    _MAPPED,
+)(lambda g: C.gene_order(g, _mapped(g).where("nth = 1")))
+_GONE = "pairs_gone AS (SELECT from_handle // 2 + 1 AS a, from_handle % 2 = 1 AS ar, to_handle // 2 + 1 AS b, to_handle % 2 = 1 AS br FROM ({0})), gone AS MATERIALIZED (SELECT DISTINCT CASE WHEN turn THEN b ELSE a END AS from_id, CASE WHEN turn THEN NOT br ELSE ar END AS from_rev, CASE WHEN turn THEN a ELSE b END AS to_id, CASE WHEN turn THEN NOT ar ELSE br END AS to_rev FROM (SELECT *, (ar AND br) OR ((ar OR br) AND (a - 1) * 2 + ar::INT > (b - 1) * 2 + br::INT) AS turn FROM pairs_gone))"
+_LEFT = "SELECT from_id, from_rev, to_id, to_rev FROM edges ANTI JOIN gone USING (from_id, from_rev, to_id, to_rev)"
+register("m11_prune_edge_depth", _LEFT, f"{_NBR}, {_GONE.format(f'{_AS_PAIR} nbr WHERE n < 2')}")(lambda g: M.prune(g, min_depth=2, edge_depth=True).edges)
+register("m11_prune_best_edges", _LEFT, f"{_NBR}, " + _GONE.format(f"{_AS_PAIR} (SELECT *, row_number() OVER (PARTITION BY node_id, dir ORDER BY n) - 1 AS i FROM (SELECT node_id, dir, n, max(nbr) AS nbr, size FROM (SELECT *, count(*) OVER (PARTITION BY node_id, dir) AS size FROM nbr) GROUP BY node_id, dir, n, size)) WHERE size - i > 20"))(
+    lambda g: M.prune(g, best_edges=20).edges
+)
