@@ -13,7 +13,7 @@ from pathloom.plans.components import connected_components
 from pathloom.plans.graph import Graph, canonical_edges, handle, with_pan_pos
 from pathloom.plans.prefix import dense_index
 from pathloom.plans.scratch import drop, materialize
-from pathloom.plans.strong import strong_components
+from pathloom.plans.strong import strong_components, topological_keys
 
 MOST = (1 << 63) - 1
 
@@ -258,3 +258,22 @@ def count_walks(g: Graph) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("node_id", F.col("walks").cast("long").alias("walks"))
+
+
+def condensed_order(g: Graph) -> DataFrame:
+    """``(node_id, nth)``: an order in which no edge between strongly connected components goes back.
+
+    Edges must not change strand (split the strands first).  The nodes of a component stand
+    together in storage order; nodes without edges come last.  No task holds more than a share of
+    the rows, however long the graph's longest way is.
+    """
+    if not g.edges.where("from_rev OR to_rev").isEmpty():
+        raise ValueError("edges that change strand: split the strands first")
+    e = g.edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    label = materialize(strong_components(e), "order-components")
+    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    between = e.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")).where("a <> b")
+    keys = topological_keys(between)
+    n = g.nodes.select("node_id", "rank").join(label.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
+    n = n.join(keys.withColumnRenamed("node", "component"), "component", "left").withColumn("alone", F.col("key").isNull())
+    return dense_index(n.select("node_id", "alone", "key", "component", "rank"), ["alone", "key", "component", "rank", "node_id"], "nth").select("node_id", "nth")

@@ -22,7 +22,7 @@ from pathloom.operators.alignment import local_alignments
 from pathloom.plans.graph import Graph, by_step, with_positions
 from pathloom.plans.prefix import dense_index
 from pathloom.plans.session import ship_package
-from pathloom.plans.strong import strong_components
+from pathloom.plans.strong import strong_components, topological_keys
 from pathloom.sources import gfa
 from pathloom.sources.tables import RANGES_SQL, SQL, example_ranges, graph_of_tables
 
@@ -615,3 +615,19 @@ register("m11_prune_edge_depth", _LEFT, f"{_NBR}, {_GONE.format(f'{_AS_PAIR} nbr
 register("m11_prune_best_edges", _LEFT, f"{_NBR}, " + _GONE.format(f"{_AS_PAIR} (SELECT *, row_number() OVER (PARTITION BY node_id, dir ORDER BY n) - 1 AS i FROM (SELECT node_id, dir, n, max(nbr) AS nbr, size FROM (SELECT *, count(*) OVER (PARTITION BY node_id, dir) AS size FROM nbr) GROUP BY node_id, dir, n, size)) WHERE size - i > 20"))(
     lambda g: M.prune(g, best_edges=20).edges
 )
+
+
+def _ways_back(g: Graph) -> DataFrame:
+    """How many of the heaviest ways go back in the order of their condensation (none), and how many there are."""
+    ways = X.heaviest_ways(g)
+    nodes = g.nodes.select("node_id", "rank").join(ways.select((F.floor(F.col("h") / 2) + 1).cast("long").alias("node_id")).distinct(), "node_id", "left_semi")
+    label = strong_components(ways, "h", "t")
+    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    between = ways.join(of("h"), "h", "left").join(of("t"), "t", "left").select(F.coalesce("h_in", "h").alias("a"), F.coalesce("t_in", "t").alias("b"))
+    keys = topological_keys(between.where("a <> b"))
+    place = lambda c: keys.select(F.col("node").alias(c), F.col("key").alias(f"{c}_key"))
+    met = between.join(place("a"), "a", "left").join(place("b"), "b", "left")
+    return met.agg(F.count(F.lit(1)).alias("ways"), F.count_if((F.col("a") != F.col("b")) & ~F.coalesce(F.col("a_key") < F.col("b_key"), F.lit(False))).alias("back")).crossJoin(nodes.agg(F.count(F.lit(1)).alias("nodes")))  # one row each
+
+
+register("t1_condensed_ways", "SELECT (SELECT count(*) FROM heaviest) AS ways, 0 AS back, (SELECT count(DISTINCT h // 2) FROM heaviest) AS nodes", _HEAVIEST)(_ways_back)

@@ -97,12 +97,12 @@ def _single(e: DataFrame, turn: int) -> DataFrame:
 
 
 def _joined(e: DataFrame, turn: int) -> DataFrame:
-    """``(v, p, root)``: tails of :func:`_single` from which at most three steps lead to the first head, ``root``."""
+    """``(v, p, root, depth)``: tails of :func:`_single` from which at most three steps lead to the first head, ``root``."""
     heads = lambda c: F.xxhash64(c, F.lit(turn)) % 2 == 0
-    one = _single(e, turn).where(~heads("v")).withColumn("root", F.col("p"))
+    one = _single(e, turn).where(~heads("v")).withColumn("root", F.col("p")).withColumn("depth", F.lit(1))
     on = one.select(F.col("v").alias("root"), F.col("p").alias("further"))
-    two = one.where(~heads("root")).join(on, "root").select("v", "p", F.col("further").alias("root"))
-    three = two.where(~heads("root")).join(on, "root").select("v", "p", F.col("further").alias("root"))
+    two = one.where(~heads("root")).join(on, "root").select("v", "p", F.col("further").alias("root"), F.lit(2).alias("depth"))
+    three = two.where(~heads("root")).join(on, "root").select("v", "p", F.col("further").alias("root"), F.lit(3).alias("depth"))
     return one.unionByName(two).unionByName(three).where(heads("root"))
 
 
@@ -164,3 +164,66 @@ def _reached(start: DataFrame, e: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             return seen
         seen = materialize(seen.unionByName(frontier), "strong-reached")
+
+
+def topological_keys(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``(node, key)`` of every node with an edge: sorted by ``key`` (an array) no edge of an acyclic graph goes back.
+
+    The graph shrinks as in :func:`strong_components`.  Nodes without a way in are next in the
+    order, those without a way on next from its end.  A node with a single way in follows right
+    behind the node before it, one with a single way on stands right before the node after it, and
+    the two are one node from then on; so a long chain takes rounds by the logarithm of its
+    length.  What no node can join takes a round for each of its layers.  A key is the round in
+    which a node went, then its places within the nodes that it had joined.
+
+    Null ends and repeated edges add nothing.  A circle (an edge to itself included) is an error.
+    """
+    x, y = F.col(a), F.col(b)
+    e = materialize(edges.where(x.isNotNull() & y.isNotNull()).select(x.cast("long").alias("a"), y.cast("long").alias("b")).distinct(), "topo")
+    if e.where("a = b").head(1):
+        raise ValueError("the graph has a circle")
+    nodes = materialize(e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).distinct(), "topo-nodes")
+    undo: list[tuple[str, DataFrame, int]] = []
+    turn = 0
+    while left := nodes.count():
+        ins, outs = e.select(F.col("b").alias("node")), e.select(F.col("a").alias("node"))
+        first = nodes.join(ins, "node", "left_anti").withColumn("side", F.lit(0).cast("long")).withColumn("time", F.lit(turn).cast("long"))
+        last = nodes.join(ins, "node", "left_semi").join(outs, "node", "left_anti").withColumn("side", F.lit(1).cast("long")).withColumn("time", F.lit(-turn).cast("long"))
+        gone = materialize(first.union(last), "topo-gone")
+        undo.append(("gone", gone, turn))
+        nodes, old = materialize(nodes.join(gone, "node", "left_anti"), "topo-nodes"), nodes
+        drop(old)
+        stay = lambda c: nodes.select(F.col("node").alias(c))  # noqa: E731, B023
+        e, old = materialize(e.join(stay("a"), "a", "left_semi").join(stay("b"), "b", "left_semi").select("a", "b"), "topo"), e
+        drop(old)
+        if nodes.count() == left:
+            raise ValueError("the graph has a circle")
+        joined = materialize(_joined(e, turn).select("v", "root", "depth"), "topo-joined")
+        if joined.head(1):
+            v, p = _ends(turn)
+            # A way from a node back to the one that it joins behind would be lost with the join.
+            if e.join(joined.select(F.col("v").alias(p), F.col("root").alias(v)), [p, v], "left_semi").head(1):
+                raise ValueError("the graph has a circle")
+            undo.append(("joined", joined, turn))
+            e, old = materialize(_merged(e, joined), "topo"), e
+            drop(old)
+            nodes, old = materialize(nodes.join(joined.select(F.col("v").alias("node")), "node", "left_anti"), "topo-nodes"), nodes
+            drop(old)
+        turn += 1
+    places = None
+    for kind, rows, turn in reversed(undo):
+        if kind == "gone":
+            new = rows.select("node", F.array("side", "time", "node").alias("key"))
+            now = new if places is None else places.unionByName(new)
+        else:
+            sign = 1 if turn % 2 == 0 else -1  # behind the node before, or before the node after
+            zero = F.lit(0).cast("long")
+            of = places.select(F.col("node").alias("root"), F.col("key").alias("root_key"))
+            inner = rows.join(of, "root").select(F.col("v").alias("node"), F.concat("root_key", F.array((F.col("depth") * sign).cast("long"), F.col("v"))).alias("key"))
+            now = places.select("node", F.concat("key", F.array(zero, zero)).alias("key")).unionByName(inner)
+        now, old = materialize(now, "topo-keys"), places
+        drop(rows)
+        if old is not None:
+            drop(old)
+        places = now
+    return places if places is not None else nodes.select("node", F.array("node").alias("key"))

@@ -1,6 +1,8 @@
 import random
 
-from pathloom.plans.strong import strong_components
+import pytest
+
+from pathloom.plans.strong import strong_components, topological_keys
 
 
 def tarjan(edges):
@@ -87,3 +89,33 @@ def test_special_cases(spark):
     # Every node of the first part has two ways in and on: only colours help.
     check(spark, two_ways + circle + chain + [(101, 102), (102, 101), (103, 103), (None, 4), (4, None), (102, 103), (101, 102)])
     assert strong_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def in_order(spark, edges):
+    rows = topological_keys(spark.createDataFrame(edges, "a long, b long")).collect()
+    place = {r.node: k for k, r in enumerate(sorted(rows, key=lambda r: r.key))}
+    assert set(place) == {x for e in edges for x in e} and len(place) == len(rows) == len({tuple(r.key) for r in rows})
+    return all(place[a] < place[b] for a, b in edges)
+
+
+def test_topological_keys_of_random_graphs(spark):
+    rng, edges = random.Random(7), []
+    for k in range(25):
+        n = rng.randint(2, 30)
+        name = rng.sample(range(100), n)
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(int(n * rng.choice([0.7, 1, 1.5, 4])))}
+        edges += [(1000 * k + name[a], 1000 * k + name[b]) for a, b in pairs]
+    # Long chains, bubbles on a chain, and a node with many ways.
+    ids = rng.sample(range(50_000, 60_000), 3000)
+    edges += list(zip(ids[:1500], ids[1:1501], strict=True))
+    for i in range(1600, 2400, 4):
+        edges += [(ids[i], ids[i + 1]), (ids[i], ids[i + 2]), (ids[i + 1], ids[i + 4]), (ids[i + 2], ids[i + 4])]
+    edges += [(ids[2500], x) for x in ids[2600:2700]] + [(x, ids[2501]) for x in ids[2600:2700]]
+    assert in_order(spark, edges)
+
+
+def test_topological_keys_refuse_circles(spark):
+    for edges in ([(1, 2), (2, 3), (3, 1)], [(1, 1)], [(0, 1), (1, 2), (2, 1), (2, 3)]):
+        with pytest.raises(ValueError, match="circle"):
+            topological_keys(spark.createDataFrame(edges, "a long, b long"))
+    assert topological_keys(spark.createDataFrame([], "a long, b long")).count() == 0

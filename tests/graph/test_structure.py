@@ -246,3 +246,15 @@ def test_distances_to_ends_against_a_plain_search(spark):
     tails = {h: 0 for i in lengths if i - 1 not in right for h in (2 * i - 2, 2 * i - 1)}
     head, tail = shortest(lengths, ways, heads), shortest(lengths, against, tails)
     assert {r.node_id: (r.to_head, r.to_tail) for r in S.distances_to_ends(make(spark, lengths, edges), 1000).collect()} == {i: (head.get(2 * i - 2), tail.get(2 * i - 2)) for i in lengths}
+
+
+def test_condensed_order_of_a_cyclic_graph(spark):
+    lengths, edges = side_by_side(*[random_graph(seed, n, m, strands=False) for seed, n, m in ((1, 6, 8), (2, 9, 9), (3, 8, 12), (4, 5, 3))])
+    edges = {(a, False, b, False) for a, _, b, _ in edges}
+    nth = {r.node_id: r.nth for r in S.condensed_order(make(spark, lengths, edges)).collect()}
+    assert sorted(nth.values()) == list(range(len(lengths)))
+    part = {v: min(c) for c in tarjan([(a, b) for a, _, b, _ in edges]) for v in c}
+    assert all(nth[a] < nth[b] or part.get(a, -a) == part.get(b, -b) for a, _, b, _ in edges)
+    for c in set(part.values()):
+        mine = sorted(nth[v] for v, p in part.items() if p == c)
+        assert mine == list(range(mine[0], mine[0] + len(mine)))
