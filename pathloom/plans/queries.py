@@ -373,7 +373,7 @@ register("m20_reverse_order", "SELECT (SELECT count(*) FROM nodes) - rank AS nod
 register("t13_target_order", "SELECT node_id, row_number() OVER (ORDER BY a IS NULL, coalesce(a, rank), coalesce(b, 0), node_id) - 1 AS nth FROM nodes LEFT JOIN (SELECT node_id, min(path_id) AS a, arg_min(r, path_id) AS b FROM (SELECT node_id, path_id, min(step_rank) AS r FROM steps JOIN paths USING (path_id) WHERE starts_with(path_name, 'NATION_3#') GROUP BY ALL) GROUP BY node_id) USING (node_id)")(lambda g: O.by_paths(g, reference(g)))
 register("u1_squeeze", "SELECT node_id, seq FROM nodes UNION ALL SELECT node_id + (SELECT max(node_id) FROM nodes), seq FROM nodes")(lambda g: M.squeeze([g, g], "_").nodes.select("node_id", "seq"))
 register("u2_common_paths", "SELECT path_name FROM paths WHERE path_name LIKE '%#BUILDING#%' INTERSECT SELECT path_name FROM lengths WHERE length_bp > 50")(lambda g: g.paths.where("path_name LIKE '%#BUILDING#%'").select("path_name").intersect(g.path_lengths().where("length_bp > 50").select("path_name")))
-register("u5_inverse_extract", "SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM degrees WHERE degree > 40)")(lambda g: M.extract(g, g.degrees().where("degree > 40").select("node_id"), inverse=True).nodes.select("node_id"))
+register("u5_inverse_extract", "SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node_id FROM degrees WHERE degree > 40)")(lambda g: M.extract(g, g.degrees().where("degree > 40").select("node_id"), inverse=True, max_gap=0).nodes.select("node_id"))
 
 
 def _filled(gap: int, rounds: int) -> str:
