@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import dna, names, numbers
@@ -23,7 +23,8 @@ from pathloom.plans.graph import Graph, by_step, with_positions
 from pathloom.plans.prefix import dense_index
 from pathloom.plans.session import ship_package
 from pathloom.plans.strong import strong_components, topological_keys
-from pathloom.sources import gfa
+from pathloom.plans.scratch import new_path
+from pathloom.sources import gfa, side
 from pathloom.sources.tables import RANGES_SQL, SQL, example_ranges, graph_of_tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -631,3 +632,46 @@ def _ways_back(g: Graph) -> DataFrame:
 
 
 register("t1_condensed_ways", "SELECT (SELECT count(*) FROM heaviest) AS ways, 0 AS back, (SELECT count(DISTINCT h // 2) FROM heaviest) AS nodes", _HEAVIEST)(_ways_back)
+
+
+# --- files read back -------------------------------------------------------------------------
+
+
+def _file(lines: DataFrame) -> str:
+    """A new folder of text files with the lines of ``value``."""
+    path = new_path(lines.sparkSession, "text")
+    lines.select("value").write.text(path)
+    return path
+
+
+def _gfa_file(g: Graph) -> str:
+    path = new_path(g.nodes.sparkSession, "gfa")
+    gfa.write_gfa(g, path)
+    return path
+
+
+def _scanned(g: Graph) -> Graph:
+    return gfa.read_gfa(g.nodes.sparkSession, _gfa_file(g))
+
+
+def _text(*columns) -> Column:
+    return F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns]).alias("value")
+
+
+register("s1_gfa_nodes", "SELECT node_id, seq, len, rank, pan_pos FROM nodes")(lambda g: _scanned(g).nodes)
+register("s1_gfa_steps", "SELECT path_name, step_rank, node_id, is_rev, len, pos FROM steps JOIN paths USING (path_id)")(lambda g: (lambda x: x.steps.join(x.paths, "path_id").select("path_name", "step_rank", "node_id", "is_rev", "len", "pos"))(_scanned(g)))
+register("s1_gfa_edges", "SELECT * FROM edges")(lambda g: _scanned(g).edges)
+register("s2_line_types", "SELECT 'H' AS type, 1 AS n UNION ALL SELECT 'S', count(*) FROM nodes UNION ALL SELECT 'L', count(*) FROM edges UNION ALL SELECT 'P', count(*) FROM paths")(lambda g: gfa.line_types(g.nodes.sparkSession, _gfa_file(g)))
+register("s3_compact_ids", "SELECT row_number() OVER (ORDER BY rank) AS node_id, seq FROM nodes JOIN degrees USING (node_id) WHERE degree <= 45")(lambda g: M.compact_ids(M.without_nodes(g, g.degrees().where("degree > 45"))).nodes.select("node_id", "seq"))
+register("s7_bed_ranges", "SELECT path_id, path_name, start, \"end\", 'r' || path_id AS name, CASE WHEN path_id % 3 = 0 THEN '-' ELSE '+' END AS strand FROM ranges", RANGES_SQL)(
+    lambda g: side.read_bed(g.nodes.sparkSession, _file(example_ranges(g).select(_text("path_name", "start", "end", F.concat(F.lit("r"), F.col("path_id").cast("string")), F.lit("0"), F.when(F.col("path_id") % 3 == 0, "-").otherwise("+")))), g)
+)
+register("s8_bed_defaults", "SELECT path_id, path_name, 0 AS start, length_bp - 1 AS \"end\", '.' AS name, '+' AS strand FROM lengths WHERE length_bp > 0")(
+    lambda g: side.read_bed(g.nodes.sparkSession, _file(g.path_lengths().where("length_bp > 0").select(F.col("path_name").alias("value"))), g, inclusive_end=True)
+)
+register("s10_path_positions", "SELECT path_id, path_id * 7 % 50 AS \"offset\", path_id % 2 = 0 AS is_rev FROM paths")(
+    lambda g: side.path_positions(g.paths.select(F.concat_ws(",", "path_name", (F.col("path_id") * 7 % 50).cast("string"), F.when(F.col("path_id") % 2 == 0, "-").otherwise("+")).alias("value")), g)
+)
+register("s12_group_file", "SELECT path_id, split_part(path_name, '#', 2) AS grp FROM paths")(lambda g: side.read_groups(g.nodes.sparkSession, _file(g.paths.select(_text("path_name", F.split_part("path_name", F.lit("#"), F.lit(2))))), g))
+register("s13_node_mask", "SELECT node_id FROM nodes WHERE len % 3 = 0")(lambda g: side.read_node_mask(g.nodes.sparkSession, _file(g.nodes.orderBy("rank").select(F.when(F.col("len") % 3 == 0, "1").otherwise("0").alias("value"))), g))
+register("o15_node_list", "SELECT node_id FROM nodes WHERE node_id % 2 = 0")(lambda g: side.read_node_list(g.nodes.sparkSession, _file(g.nodes.select((F.col("node_id") * 2).cast("string").alias("value"))), g))

@@ -10,9 +10,17 @@ from pathloom.plans.prefix import dense_index
 from pathloom.plans.scratch import materialize
 
 
+def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """``(at, value)``: the lines of a file, or of a folder's files by name; ``at`` sorts them.
+
+    Spark deals the parts of files to tasks by size, so a task's number tells no order.
+    """
+    at = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(at.alias("at"), "value")
+
+
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).where("value <> ''")
-    return lines.select(F.monotonically_increasing_id().alias("at"), F.split("value", "\t").alias("f"))
+    return lines_in_order(spark, path).where("value <> ''").select("at", F.split("value", "\t").alias("f"))
 
 
 def line_types(spark: SparkSession, path: str) -> DataFrame:

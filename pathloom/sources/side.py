@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathloom.plans.graph import Graph
 from pathloom.plans.prefix import dense_index
+from pathloom.sources.gfa import lines_in_order
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +96,7 @@ def read_groups(spark: SparkSession, path: str, g: Graph) -> DataFrame:
 
 def read_node_mask(spark: SparkSession, path: str, g: Graph) -> DataFrame:
     """Nodes whose line in a file of 0 and 1 is 1; there must be a line for each node."""
-    lines = dense_index(spark.read.text(path).withColumn("at", F.monotonically_increasing_id()), ["at"], "nth")
+    lines = dense_index(lines_in_order(spark, path), ["at"], "nth")
     if (n := lines.count()) != (m := g.nodes.count()):
         raise ValueError(f"mask has {n} lines for {m} nodes")
     ranked = dense_index(g.nodes.select("node_id", "rank"), ["rank"], "nth")
