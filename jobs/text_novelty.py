@@ -62,8 +62,8 @@ def _pattern(path: str) -> str:
 def take(docs: DataFrame, batch: int, output: str, delim: str) -> dict:
     """Write the index and the ledger of one batch; gives the rows read and written."""
     spark = docs.sparkSession
-    index = _read(spark, f"{output}/index", INDEX)
-    if index is not None and index.where(F.col("batch") > batch).head(1):
+    index, ledger = _read(spark, f"{output}/index", INDEX), _read(spark, f"{output}/ledger", LEDGER)
+    if ledger is not None and ledger.where(F.col("batch") > batch).head(1):
         raise ValueError(f"{output} has batches after {batch}: its checkpoint is missing or is another one's")
     pieces = docs.select("doc_id", "source", "lang", segments(F.col("text"), delim).alias("pieces"))
     kept = materialize(pieces.where("doc_id IS NOT NULL"), "novelty")

@@ -137,7 +137,10 @@ def test_text_novelty_takes_only_what_is_new(spark, tmp_path, caplog):
         assert len(N.run(spark, o)) == 1
         assert ledger(spark, o["output"]) == brute_ledger([FIRST, SECOND])
 
-    # Another checkpoint would number the same batches anew.
+    # Another checkpoint would number the same batches anew (also where the last one held nothing new).
+    write(spark, o["input"], [(8, "a\nbb", "en", "s1", 4)], "three")
+    assert [n["new_segments"] for n in N.run(spark, o)] == [0]
+    shutil.rmtree(tmp_path / "out/ledger/batch=1")
     with pytest.raises(Exception, match="checkpoint is missing"):
         N.run(spark, o | {"checkpoint": f"{tmp_path}/other"})
 
