@@ -75,3 +75,9 @@ def test_break_points_equal_a_plain_loop_and_move_no_contexts(spark):
             want.add((t, q, direction, at, top[len(top) // 2], max(score.values())))
     assert {(r.target_id, r.query_id, r.direction, r.query_rank, r.target_rank, r.jaccard) for r in rows} == want
     assert n < 12000
+
+
+def test_segments_that_cannot_win_do_not_move(spark, hub):
+    rows, n = moved(spark, lambda: Q._pair_segments(hub))
+    assert {(r.query_id, r.target_id, r.jaccard, r.inverted) for r in rows} == {(p, p, 1.0, False) for p in range(1, 151)}
+    assert n < 6000  # 150 * 150 pairs meet on the node
