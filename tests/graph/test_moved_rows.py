@@ -81,3 +81,12 @@ def test_segments_that_cannot_win_do_not_move(spark, hub):
     rows, n = moved(spark, lambda: Q._pair_segments(hub))
     assert {(r.query_id, r.target_id, r.jaccard, r.inverted) for r in rows} == {(p, p, 1.0, False) for p in range(1, 151)}
     assert n < 6000  # 150 * 150 pairs meet on the node
+
+
+def test_context_pairs_do_not_move(spark, hub):
+    rows, n = moved(spark, lambda: Q._context_pairs(hub))
+    size = {p: 7 + 9 + p for p in range(1, 151)}
+    full = {p: s if s >= 60 else 0 for p, s in size.items()}
+    want = {(a * 1000, b * 1000): 7 / (full[a] + full[b] - 7) if full[a] and full[b] else 0.0 for a, b in product(size, size) if a < b and (full[a] or full[b])}
+    assert {(r.left, r.right): r.jaccard for r in rows} == want
+    assert n < 6000
