@@ -90,3 +90,10 @@ def test_context_pairs_do_not_move(spark, hub):
     want = {(a * 1000, b * 1000): 7 / (full[a] + full[b] - 7) if full[a] and full[b] else 0.0 for a, b in product(size, size) if a < b and (full[a] or full[b])}
     assert {(r.left, r.right): r.jaccard for r in rows} == want
     assert n < 6000
+
+
+def test_paths_are_cut_many_at_a_time(spark, hub):
+    """One row a path goes to Python, not one group: the plan groups nothing there."""
+    cut = C.segment_paths(hub, hub.paths)
+    assert "FlatMapGroups" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path_id, r.start_rank, r.start, r.end) for r in cut.collect()} == {x for p in range(1, 151) for x in ((p, 0, 0, 7), (p, 1, 7, 16 + p))}
