@@ -1,10 +1,12 @@
-"""Orders of dense components: the memory of their ways."""
+"""Orders: the memory of dense components, and work on all cores."""
 
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pathloom.operators import order
+from pathloom.plans.graph import Graph, with_pan_pos
 
 
 def test_ways_of_a_dense_component_take_a_few_words_an_edge():
@@ -20,3 +22,10 @@ def test_ways_of_a_dense_component_take_a_few_words_an_edge():
     handle = lambda p: int(2 * (nodes[p // 2] - 1) + p % 2)
     assert {(handle(h), handle(t)) for h in range(2 * len(nodes)) for t in out(h)} == want
     assert into.sum() == len(want) and all(out(h) == sorted(out(h)) for h in range(0, 8000, 97))
+
+
+def test_curve_points_are_worked_out_on_all_cores(spark):
+    nodes = with_pan_pos(spark.range(0, 3000, 1, 1).select((F.col("id") + 1).alias("node_id"), F.lit("AC").alias("seq"), F.col("id").alias("rank")))
+    g = Graph(nodes, spark.createDataFrame([], "from_id long"), spark.createDataFrame([], "path_id long"), spark.createDataFrame([], "path_id long"))
+    found = order.layout_start(g, "h").select(F.spark_partition_id().alias("p"), "node_id", "end").collect()
+    assert len({(r.node_id, r.end) for r in found}) == 6000 and len({r.p for r in found}) >= spark.sparkContext.defaultParallelism
