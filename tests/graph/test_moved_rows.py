@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.operators import context as C
+from pathloom.operators import edits as M
 from pathloom.plans import queries as Q
 from pathloom.plans.graph import Graph, step_edges, with_pan_pos, with_positions
+from pathloom.sources import gfa
 
 
 def graph_of_walks(spark, lengths, walks):
@@ -97,3 +99,16 @@ def test_paths_are_cut_many_at_a_time(spark, hub):
     cut = C.segment_paths(hub, hub.paths)
     assert "FlatMapGroups" not in cut._jdf.queryExecution().executedPlan().toString()
     assert {(r.path_id, r.start_rank, r.start, r.end) for r in cut.collect()} == {x for p in range(1, 151) for x in ((p, 0, 0, 7), (p, 1, 7, 16 + p))}
+
+
+def test_injected_ranges_do_not_cut_the_other_paths(spark):
+    """80 paths go 20 times over one node that 80 ranges cut: their steps' pieces are many, those in ranges few."""
+    g = graph_of_walks(spark, [100], {p: [1 if k % 3 else -1 for k in range(20)] for p in range(1, 81)})
+    ranges = g.paths.select("path_id", (F.col("path_id") + 3).alias("start"), (F.col("path_id") + 110).alias("end"), F.concat(F.lit("r"), "path_id").alias("name"))
+
+    rows, n = moved(spark, lambda: gfa.path_fasta(M.injected_paths(g, ranges)).select("value"))
+    node = "ACGTN"[0] * 100
+    back = node.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    whole = "".join(node if k % 3 else back for k in range(20))
+    assert {r.value for r in rows} == {f">r{p}\n{whole[p + 3 : p + 110]}" for p in range(1, 81)}
+    assert n < 80 * 20 * 81 / 2
