@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import context as C
 from pathloom.operators import edits as M
+from pathloom.operators import structure as X
+from pathloom.plans import graph as graph_module
 from pathloom.plans import queries as Q
 from pathloom.plans.graph import Graph, step_edges, with_pan_pos, with_positions
 from pathloom.sources import gfa
@@ -112,3 +114,18 @@ def test_injected_ranges_do_not_cut_the_other_paths(spark):
     whole = "".join(node if k % 3 else back for k in range(20))
     assert {r.value for r in rows} == {f">r{p}\n{whole[p + 3 : p + 110]}" for p in range(1, 81)}
     assert n < 80 * 20 * 81 / 2
+
+
+class Written(Exception):
+    """Raised in place of writing a table."""
+
+
+def write_nothing(df, name, partition_by=None):
+    raise Written(name)
+
+
+@pytest.mark.parametrize("part", [lambda g: X.distances_to_ends(g, 20), X.nice_components], ids=["distances_to_ends", "nice_components"])
+def test_edges_are_written_before_they_are_read_again(hub, monkeypatch, part):
+    monkeypatch.setattr(graph_module, "materialize", write_nothing)
+    with pytest.raises(Written, match="edges"):
+        part(hub)
