@@ -11,6 +11,7 @@ from pathloom.operators import edits as M
 from pathloom.operators import structure as X
 from pathloom.plans import graph as graph_module
 from pathloom.plans import queries as Q
+from pathloom.plans import scratch
 from pathloom.plans.graph import Graph, step_edges, with_pan_pos, with_positions
 from pathloom.sources import gfa
 
@@ -129,3 +130,15 @@ def test_edges_are_written_before_they_are_read_again(hub, monkeypatch, part):
     monkeypatch.setattr(graph_module, "materialize", write_nothing)
     with pytest.raises(Written, match="edges"):
         part(hub)
+
+
+def test_many_reached_handles_are_not_sent_through_the_driver(hub, monkeypatch):
+    way = X._ways(hub)
+    seeds = hub.nodes.where("node_id = 1").select(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("d"))
+    want = set(X._fewest(way, seeds, 60, "near").collect())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ends = ((1, False, 0), (3, False, 0), 90)
+    assert "BroadcastHashJoin" in plan(X.connecting(hub, *ends))
+    monkeypatch.setattr(scratch, "FEW", 0)
+    assert "BroadcastHashJoin" not in plan(X.connecting(hub, *ends))
+    assert set(X._fewest(way, seeds, 60, "near").collect()) == want and len(want) > 5
