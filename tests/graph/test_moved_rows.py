@@ -142,3 +142,9 @@ def test_many_reached_handles_are_not_sent_through_the_driver(hub, monkeypatch):
     monkeypatch.setattr(scratch, "FEW", 0)
     assert "BroadcastHashJoin" not in plan(X.connecting(hub, *ends))
     assert set(X._fewest(way, seeds, 60, "near").collect()) == want and len(want) > 5
+
+
+def test_extract_writes_what_it_reads_many_times(hub, monkeypatch):
+    monkeypatch.setattr(graph_module, "materialize", write_nothing)
+    with pytest.raises(Written, match="nodes"):
+        M.extract(hub, hub.nodes.select("node_id"))
