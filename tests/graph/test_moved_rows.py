@@ -148,3 +148,9 @@ def test_extract_writes_what_it_reads_many_times(hub, monkeypatch):
     monkeypatch.setattr(graph_module, "materialize", write_nothing)
     with pytest.raises(Written, match="nodes"):
         M.extract(hub, hub.nodes.select("node_id"))
+
+
+def test_heaviest_ways_are_written_before_they_are_read_again(hub, monkeypatch):
+    monkeypatch.setattr(Q, "materialize", write_nothing, raising=False)
+    with pytest.raises(Written, match="heaviest"):
+        Q._ways_back(hub)
