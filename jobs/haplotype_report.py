@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from jobs.options import command_line, log_to_stderr, logger, options
 from pathloom.functions.names import sample_of
-from pathloom.operators.paths import composition, groups_by, non_reference_ranges, samples_on_nodes, share_class
+from pathloom.operators.paths import composition, groups_by, share_class
 from pathloom.plans.graph import Graph
 from pathloom.plans.scratch import drop, materialize
 from pathloom.sources.gfa import load_graph, read_gfa
-from pathloom.sources.tables import graph_of_tables
+from pathloom.sources.tables import graph_of_tables, walks_of_tables
 
 DEFAULTS = {
     "input": ...,  # a folder of tables, a GFA file or a graph's Parquet folder, by "kind"
@@ -47,7 +47,8 @@ LOG = logger("haplotype_report")
 
 def _graph(spark: SparkSession, kind: str, path: str) -> Graph:
     if kind == "tables":
-        return graph_of_tables(spark, path)
+        g = graph_of_tables(spark, path)
+        return g.with_(steps=walks_of_tables(g.nodes.sparkSession, path, strands=False))  # nor are positions asked for
     if kind == "gfa":
         return read_gfa(spark, path)
     if kind == "parquet":
@@ -59,16 +60,11 @@ def report(g: Graph, reference: str, delim: str, fields: int, core: float, cloud
     """A row for each path, those without steps too (zero base pairs, null means)."""
     samples = groups_by(g, sample_of(F.col("path_name"), delim, fields))
     total = samples.select("grp").distinct().count()
-    nodes = samples_on_nodes(g, samples).select("node_id", "len", "n", share_class(F.col("n") / F.lit(max(total, 1)), core, cloud).alias("class"))
-    on_reference = samples.where(F.col("grp") == reference)
-    runs = non_reference_ranges(g, on_reference, least_run).groupBy("path_id").agg(
-        F.count(F.lit(1)).alias("novel_runs"), F.sum(F.col("end") - F.col("start")).alias("novel_bp"), F.max(F.col("end") - F.col("start")).alias("longest_novel_bp")
-    )
-    parts = composition(g, nodes, ["core", "shell", "cloud"], on_reference)
+    parts = composition(g, samples, reference, lambda n: share_class(n / F.lit(max(total, 1)), core, cloud), ["core", "shell", "cloud"], least_run)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    out = g.path_lengths().join(samples.withColumnRenamed("grp", "sample"), "path_id").join(parts, "path_id", "left").join(runs, "path_id", "left")
+    out = g.paths.select("path_id", "path_name", sample_of(F.col("path_name"), delim, fields).alias("sample")).join(parts, "path_id", "left")
     return out.select(
-        "path_id", "path_name", "step_count", "length_bp", "mean_depth", "mean_samples", zero("core_bp"), zero("shell_bp"), zero("cloud_bp"), zero("reference_bp"), zero("novel_runs"), zero("novel_bp"), zero("longest_novel_bp"), "sample"
+        "path_id", "path_name", zero("step_count"), zero("length_bp"), "mean_depth", "mean_samples", zero("core_bp"), zero("shell_bp"), zero("cloud_bp"), zero("reference_bp"), zero("novel_runs"), zero("novel_bp"), zero("longest_novel_bp"), "sample"
     )
 
 
@@ -81,19 +77,20 @@ def run(spark: SparkSession, given: dict) -> dict:
     """Do the job; gives the number of rows read and written."""
     o = options(DEFAULTS, given)
     g = _graph(spark, o["kind"], o["input"])
-    # Steps are read several times; where they come from sorted lines or text, once is enough.
-    kept = [] if o["kind"] == "parquet" else [materialize(t, "report") for t in (g.nodes, g.steps)]
+    # Paths and nodes are read several times; where they come from joins or text, once is enough.
+    kept = [] if o["kind"] == "parquet" else [materialize(t, "report") for t in (g.nodes, g.paths)]
     if kept:
-        g = g.with_(nodes=kept[0], steps=kept[1])
-    n = {"nodes": g.nodes.count(), "paths": g.paths.count(), "steps": g.steps.count()}
-    LOG.info("read %s: %d nodes, %d paths, %d steps", o["input"], n["nodes"], n["paths"], n["steps"])
+        g = g.with_(nodes=kept[0], paths=kept[1])
+    n = {"nodes": g.nodes.count(), "paths": g.paths.count()}
+    LOG.info("read %s: %d nodes, %d paths", o["input"], n["nodes"], n["paths"])
     rows = report(g, o["reference"], o["delim"], o["fields"], o["core"], o["cloud"], o["least_run"])
     # One task for each sample (or more, by size) writes its folder, not every task every folder.
     rows.hint("rebalance", "sample").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("sample").parquet(f"{o['output']}/paths")
     for table in kept:
         drop(table)
-    n["written"] = read_report(spark, o["output"]).count()
-    LOG.info("wrote %s/paths: %d rows", o["output"], n["written"])
+    done = read_report(spark, o["output"]).agg(F.coalesce(F.sum("step_count"), F.lit(0)).alias("steps"), F.count(F.lit(1)).alias("written")).first()
+    n |= done.asDict()
+    LOG.info("wrote %s/paths: %d rows of %d steps", o["output"], n["written"], n["steps"])
     return n
 
 

@@ -184,3 +184,30 @@ def test_command_lines(spark, tmp_path):
     assert rows_of(H.read_report(spark, f"{tmp_path}/h")) == sorted(brute_report("ref", 0.7, 0.5, 2))
     assert ledger(spark, f"{tmp_path}/n") == brute_ledger([FIRST])
     assert spark.read.parquet(f"{tmp_path}/h/paths").where(F.col("sample") == "x").count() == 2
+
+
+def test_haplotype_report_moves_a_step_to_its_path_its_node_and_back(spark):
+    """No step is counted and looked up in turn: three shuffles carry steps, the others paths, nodes and samples."""
+    g = graph(spark)
+    steps = spark.range(4000).select((F.col("id") % 50).alias("path_id"), F.floor(F.col("id") / 50).cast("int").alias("step_rank"), (F.col("id") * 7 % 6 + 1).alias("node_id"))
+    g = g.with_(paths=spark.range(50).select(F.col("id").alias("path_id"), F.concat(F.lit("s"), F.col("id") % 5, F.lit("#"), "id").alias("path_name")), steps=steps)
+    out = H.report(g, "s1", "#", 1, 0.9, 0.2, 1)
+    assert sum(r.step_count for r in out.collect()) == 4000
+
+    def exchanges(plan):
+        name, kids = plan.nodeName(), plan.children()
+        if name == "AdaptiveSparkPlan":
+            return exchanges(plan.executedPlan())
+        if name.endswith("QueryStage"):
+            return exchanges(plan.plan())
+        own = [plan.metrics().apply("shuffleRecordsWritten").value()] if name == "Exchange" else []
+        return own + [x for i in range(kids.size()) for x in exchanges(kids.apply(i))]
+
+    assert sum(n >= 4000 for n in exchanges(out._jdf.queryExecution().executedPlan())) <= 3
+
+
+def test_steps_without_strands_are_those_with(spark):
+    from pathloom.sources.tables import walks_of_tables
+
+    both = [walks_of_tables(spark, DATA, strands=x).select("path_id", "step_rank", "node_id") for x in (True, False)]
+    assert both[0].exceptAll(both[1]).isEmpty() and both[1].exceptAll(both[0]).isEmpty()
