@@ -119,3 +119,38 @@ def test_topological_keys_refuse_circles(spark):
         with pytest.raises(ValueError, match="circle"):
             topological_keys(spark.createDataFrame(edges, "a long, b long"))
     assert topological_keys(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_edges_are_not_written_anew_where_nobody_joins(spark, monkeypatch):
+    """Every node has two ways in and two on: no round of joins, colours find the circle at once."""
+    from pathloom.plans import strong
+
+    def nothing(*_):
+        raise AssertionError("all edges moved for no join")
+
+    monkeypatch.setattr(strong, "_merged", nothing)
+    e = spark.createDataFrame([(x, (x + k) % 40) for x in range(40) for k in (1, 7)], "a long, b long")
+    assert {(r.node, r.component) for r in strong.strong_components(e).collect()} == {(x, 0) for x in range(40)}
+
+
+def test_colours_spread_only_from_where_they_are_new(spark):
+    """A long circle with a tail: the largest node's colour goes round, smaller ones stop where it has been."""
+    from pathloom.plans import strong
+
+    e = spark.createDataFrame([(x, (x + 1) % 12) for x in range(12)] + [(3, 50), (50, 51)], "a long, b long")
+    start = spark.createDataFrame([(x, x) for x in [*range(12), 50, 51]], "node long, colour long")
+    assert {(r.node, r.colour) for r in strong._spread(start, e).collect()} == {(x, 11) for x in range(12)} | {(50, 50), (51, 51)}
+
+
+def test_both_directions_of_an_edge_come_from_one_pass(spark):
+    from pathloom.operators.traverse import follow
+    from pathloom.sources.tables import graph_of_tables
+
+    g = graph_of_tables(spark, "/root/testdata/sf0.001")
+    way = follow(g)
+    e = g.edges.collect()
+    h = lambda i, r: (i - 1) * 2 + r
+    want = {(h(x.from_id, x.from_rev), h(x.to_id, x.to_rev)) for x in e} | {(h(x.to_id, not x.to_rev), h(x.from_id, not x.from_rev)) for x in e}
+    rows = way.collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert "Union" not in way._jdf.queryExecution().executedPlan().toString()
