@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pathloom.operators import context as C
 from pathloom.operators import edits as M
 from pathloom.operators import structure as X
+from pathloom.operators import summary as S
+from pathloom.operators import traverse as T
 from pathloom.plans import graph as graph_module
 from pathloom.plans import queries as Q
 from pathloom.plans import scratch
@@ -154,3 +156,27 @@ def test_heaviest_ways_are_written_before_they_are_read_again(hub, monkeypatch):
     monkeypatch.setattr(Q, "materialize", write_nothing, raising=False)
     with pytest.raises(Written, match="heaviest"):
         Q._ways_back(hub)
+
+
+@pytest.mark.parametrize("part", [lambda g: T.kmers(g, 12), lambda g: T.kmers(g, 12, max_furcations=3), S.nondeterministic_edges], ids=["kmers", "kmers_of_few_forks", "nondeterministic_edges"])
+def test_many_nodes_are_not_sent_to_every_task(hub, monkeypatch, part):
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return scratch.materialize(df, name)
+
+    def run():
+        plans.clear()
+        rows = Counter(noted(part(g), "result").collect())
+        return rows, [p for p in plans if "Join" in p]
+
+    # Nodes read from files, which the optimizer takes to be few.
+    g = hub.written("nodes", "edges")
+    monkeypatch.setattr(T, "materialize", noted)
+    want, small = run()
+    assert any("BroadcastHashJoin" in p for p in small)
+    monkeypatch.setattr(scratch, "FEW", 0)
+    got, large = run()
+    assert got == want and sum(want.values()) > 100
+    assert len(large) > 0 and not any("BroadcastHashJoin" in p for p in large)
