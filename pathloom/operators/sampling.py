@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.dna import oriented
 from pathloom.operators.edits import unchop
-from pathloom.operators.order import _ways
 from pathloom.operators.summary import components
 from pathloom.operators.traverse import oriented_nodes
 from pathloom.plans.graph import Graph, by_step, canonical_edges, handle, with_pan_pos, with_positions
@@ -43,6 +42,16 @@ def _walks(g: Graph, kernel, label: str) -> Graph:
     return g.with_(paths=g.paths.union(paths), steps=g.steps.unionByName(steps))
 
 
+def _ways(edges: list[tuple[int, int]]) -> tuple[dict[int, list[int]], dict[int, int]]:
+    """What may follow each handle, ascending, and how many ways lead to it, over edges walked either way."""
+    out: dict[int, set[int]] = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b ^ 1, set()).add(a ^ 1)
+    into = Counter(t for ends in out.values() for t in ends)
+    return {h: sorted(t) for h, t in out.items()}, into
+
+
 def path_cover(g: Graph, paths: int = 16, window: int = 2) -> Graph:
     """Add ``paths`` walks to each component that prefer the least covered runs of ``window`` nodes."""
 
