@@ -142,6 +142,29 @@ def test_colours_spread_only_from_where_they_are_new(spark):
     assert {(r.node, r.colour) for r in strong._spread(start, e).collect()} == {(x, 11) for x in range(12)} | {(50, 50), (51, 51)}
 
 
+def test_no_table_of_many_rows_goes_through_the_driver(spark, monkeypatch):
+    """Tables of a few bytes a row, which the optimizer takes to be small, move on both sides instead."""
+    from pathloom.plans import scratch, strong
+
+    plans = []
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return scratch.materialize(df, name)
+
+    monkeypatch.setattr(strong, "materialize", noted)
+    for module in (strong, scratch):
+        monkeypatch.setattr(module, "FEW", -1)
+    two_ways = [(i, (i + d) % 6) for i in range(6) for d in (1, 2)]
+    found = strong_components(spark.createDataFrame(two_ways + [(i, i + 1) for i in range(20, 27)] + [(27, 25), (3, 20)], "a long, b long"))
+    assert {(r.node, r.component) for r in noted(found, "result").collect()} == {(x, 0) for x in range(6)} | {(x, 25) for x in (25, 26, 27)}
+    keys = noted(topological_keys(spark.createDataFrame([(i, i + d) for i in range(9) for d in (1, 3)], "a long, b long")), "keys")
+    place = {r.node: i for i, r in enumerate(keys.orderBy("key").collect())}
+    assert len(place) == 12 and all(place[i] < place[i + d] for i in range(9) for d in (1, 3))
+    joins = [(name, p) for name, p in plans if "Join" in p]
+    assert len(joins) > 10 and not [name for name, p in joins if "BroadcastHashJoin" in p]
+
+
 def test_both_directions_of_an_edge_come_from_one_pass(spark):
     from pathloom.operators.traverse import follow
     from pathloom.sources.tables import graph_of_tables
