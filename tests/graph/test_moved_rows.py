@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators import context as C
 from pathloom.operators import edits as M
+from pathloom.operators import ranges as R
 from pathloom.operators import structure as X
 from pathloom.operators import summary as S
 from pathloom.operators import traverse as T
@@ -180,3 +181,54 @@ def test_many_nodes_are_not_sent_to_every_task(hub, monkeypatch, part):
     got, large = run()
     assert got == want and sum(want.values()) > 100
     assert len(large) > 0 and not any("BroadcastHashJoin" in p for p in large)
+
+
+@pytest.fixture
+def by_path(spark):
+    """As in the session beside a small one: joins on the path and more take steps where they lie; no table is sent to all."""
+    own = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in own.items():
+        spark.conf.set(key, value)
+    yield
+    for key in own:
+        spark.conf.unset(key)
+
+
+def test_overlapping_paths_go_to_ranges_as_lists(spark, by_path, monkeypatch):
+    """Numbers on both sides of a limit of 31 bits, and lists of few."""
+    first = 3 * (1 << 31) - 75
+    many = graph_of_walks(spark, [7, *range(10, 160)], {first + p: [1, -(p + 1) if p % 2 else p + 1] for p in range(150)})
+    ranges = many.paths.selectExpr("path_id", "path_id % 5 AS start", "20L AS end")
+    got, n = moved(spark, lambda: R.overlapping_paths(many, ranges))
+    want = {(first + p, (first + p) % 5, 20, first + o) for p, o in product(range(150), range(150)) if p != o}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert n < 4000  # 150 * 149 pairs
+    monkeypatch.setattr(R, "LISTED", 16)
+    assert {tuple(r) for r in R.overlapping_paths(many, ranges).collect()} == want
+
+
+def test_contexts_are_put_together_where_the_path_lies(spark, hub, by_path):
+    rows, n = moved(spark, lambda: Q._context_pairs(hub))
+    assert len(rows) == 10272 and n < 2500
+
+
+def test_contexts_of_equal_numbers_are_one(spark):
+    """Step 1001 of path 1 has the number of step 1 of path 2."""
+    g = graph_of_walks(spark, [40, 9, 70], {1: [2] * 1001 + [1, 3], 2: [3, 1]})
+    got = {(r.left, r.right): r.jaccard for r in Q._context_pairs(g).collect()}
+    assert set(got) == {(2001, 2001), (2002, 2000)}
+    assert got[2001, 2001] == 1.0
+
+
+def test_surroundings_of_steps_are_put_together_where_the_path_lies(spark, by_path):
+    lengths = [5, 3, 8, 2, 13, 1, 9]
+    g = graph_of_walks(spark, lengths, {p: [(p * k * k + 3 * k + p) % 7 + 1 for k in range(2 + p % 6)] for p in range(1, 60)})
+    rows, n = moved(spark, lambda: C.break_points(g, g.paths.where("path_id % 7 = 3"), g.paths, 12))
+    assert len(rows) == 858 and n < 3000
+
+
+def test_large_tables_are_joined_where_they_lie(spark):
+    from pathloom.plans.session import session_for
+
+    assert session_for(spark, 1 << 30).conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false"
+    assert session_for(spark, 1) is spark
